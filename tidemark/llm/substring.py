@@ -20,10 +20,9 @@ from tidemark.llm._shared import partitions_for
 from tidemark.llm._words import span_hashes, text_parts, window_hashes, window_starts, word_spans
 
 WINDOW = 13
-SEGMENT_WINDOWS = 1_500_000
-BUCKET_BYTES = 16 << 20
-PIECE_SCHEMA = "bucket int, hashes binary, places binary, doc_id bigint, mark int, found binary"
-FOUND_SCHEMA = "doc_id bigint, mark int, found binary"
+SEGMENT_WINDOWS = 600_000
+BUCKET_BYTES = 8 << 20
+PIECE_SCHEMA = "bucket int, hashes binary, places binary, found binary"
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -79,7 +78,10 @@ class Segment:
         least = np.empty(len(ids), np.int64)
         least[order] = ids[order][groups(hashes[order])]
         later = ids > least
-        yield from found_rows(ids[later], marks[later], places[later], buckets)
+        none = lambda n: pa.nulls(n, pa.binary())
+        if packed := found_packs(ids[later], marks[later], places[later], buckets):
+            to, blobs = zip(*packed)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), none(len(to)), none(len(to)), pa.array(blobs, pa.binary())], names=["bucket", "hashes", "places", "found"])
         keep = ~later
         hashes, ids, marks, places = hashes[keep], ids[keep], marks[keep], places[keep]
         bucket = ((hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
@@ -100,39 +102,63 @@ class Segment:
             b, h, pl = zip(*out[i : i + 64])
             n = len(b)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b, pa.int32()), pa.array(h, pa.binary()), pa.array(pl, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["bucket", "hashes", "places", "doc_id", "mark", "found"],
+                [pa.array(b, pa.int32()), pa.array(h, pa.binary()), pa.array(pl, pa.binary()), pa.nulls(n, pa.binary())],
+                names=["bucket", "hashes", "places", "found"],
             )
 
 
-def found_rows(ids: np.ndarray, marks: np.ndarray, places: np.ndarray, buckets: int = 0) -> Iterator[pa.RecordBatch]:
-    """One row for each document (doc_id and mark) with the starts of its windows that go; with buckets, in the form of pieces."""
-    if not len(ids):
+def found_packs(ids: np.ndarray, marks: np.ndarray, places: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Starts of windows that go, packed as runs of consecutive ones, one pack for each bucket of documents."""
+    to = ids % buckets
+    order = np.lexsort((places, marks, ids, to))
+    to, ids, marks, places = to[order], ids[order], marks[order], places[order]
+    ends = np.searchsorted(to, np.arange(buckets + 1))
+    out = []
+    for b in np.flatnonzero(np.diff(ends)):
+        d, m, p = (x[ends[b] : ends[b + 1]] for x in (ids, marks, places))
+        doc = np.ones(len(d), bool)
+        doc[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1])
+        new = doc.copy()
+        new[1:] |= p[1:] > p[:-1] + 1
+        heads, docs = np.flatnonzero(new), np.flatnonzero(doc)
+        per = np.diff(np.append(np.searchsorted(heads, docs), len(heads)))
+        lengths = p[np.append(heads[1:], len(p)) - 1] - p[heads] + 1
+        low, high = (d[docs] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (d[docs] >> 32).astype(np.int32)
+        out.append((int(b), pack(deltas(low), deltas(high), m[docs], per, deltas(p[heads]), lengths)))
+    return out
+
+
+def found_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """One row for each document (doc_id and mark) of the packs, with the starts of its windows that go."""
+    parts = []
+    for blob in blobs:
+        low, high, marks, per, heads, lengths = unpack(blob)
+        ids = (np.cumsum(high, dtype=np.int32).astype(np.int64) << 32) | np.cumsum(low, dtype=np.int32).view(np.uint32).astype(np.int64)
+        parts.append((np.repeat(ids, per), np.repeat(marks, per), np.cumsum(heads, dtype=np.int32), lengths))
+    if not parts:
         return
-    order = np.lexsort((places, marks, ids))
-    ids, marks, places = ids[order], marks[order], places[order]
+    ids, marks, heads, lengths = (np.concatenate(c) for c in zip(*parts))
+    parts.clear()
+    order = np.lexsort((heads, marks, ids))
+    ids, marks, heads, lengths = ids[order], marks[order], heads[order], lengths[order]
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
     ends = np.append(np.flatnonzero(new), len(ids))
     for i in range(0, len(ends) - 1, 4096):
         at = ends[i : i + 4097]
-        blobs = [as_intervals(places[a:b]) for a, b in zip(at[:-1], at[1:])]
-        columns, names = [pa.array(ids[at[:-1]]), pa.array(marks[at[:-1]]), pa.array(blobs, pa.binary())], ["doc_id", "mark", "found"]
-        if buckets:
-            none = pa.nulls(len(blobs), pa.binary())
-            columns, names = [pa.array((ids[at[:-1]] % buckets).astype(np.int32)), none, none, *columns], ["bucket", "hashes", "places", *names]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def as_intervals(places: np.ndarray) -> bytes:
-    """Ascending starts as runs of consecutive ones: alternating gaps and lengths in the shortest integer type."""
-    places = np.unique(places)
-    new = np.ones(len(places), bool)
-    new[1:] = places[1:] != places[:-1] + 1
-    heads = np.flatnonzero(new)
-    runs = np.diff(np.append(heads, len(places)))
-    flat = np.empty(2 * len(heads), np.int64)
-    flat[0::2], flat[1::2] = deltas(places[heads].astype(np.int64)), runs
+        found = [as_intervals(heads[a:b], lengths[a:b]) for a, b in zip(at[:-1], at[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at[:-1]]), pa.array(marks[at[:-1]]), pa.array(found, pa.binary())], names=["doc_id", "mark", "found"])
+
+
+def as_intervals(heads: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Ascending runs of starts, joined where they touch: alternating gaps and lengths in the shortest integer type."""
+    ends = heads + lengths
+    new = np.ones(len(heads), bool)
+    new[1:] = heads[1:] > np.maximum.accumulate(ends)[:-1]
+    first = np.flatnonzero(new)
+    last = np.maximum.reduceat(ends, first)
+    flat = np.empty(2 * len(first), np.int64)
+    flat[0::2], flat[1::2] = deltas(heads[first].astype(np.int64)), last - heads[first]
     kind = next(k for k in (np.uint8, np.uint16, np.uint32) if flat.max() <= np.iinfo(k).max)
     return bytes([np.dtype(kind).itemsize]) + flat.astype(kind).tobytes()
 
@@ -158,44 +184,77 @@ def _hash_windows(size: int, buckets: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a few buckets' entries: windows whose least doc_id over all tasks is smaller than the entry's. What was found before passes."""
-    parts: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        known = batch.column("found").is_valid()
-        yield batch.select(["doc_id", "mark", "found"]).filter(known)
-        batch = batch.filter(pc.invert(known))
-        for h, p in zip(batch.column("hashes"), batch.column("places")):
-            places, runs, low, high, marks = unpack(p.as_py())
+def _count(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a few buckets' entries: windows whose least doc_id over all tasks is smaller than the entry's. What was found before passes."""
+        hashes: list[np.ndarray] = []
+        blobs: list[bytes] = []
+        for batch in batches:
+            known = batch.column("found").is_valid()
+            yield batch.select(["bucket", "found"]).filter(known)
+            batch = batch.filter(pc.invert(known))
+            hashes += [np.frombuffer(h.as_py(), np.uint64) for h in batch.column("hashes")]
+            blobs += [p.as_py() for p in batch.column("places")]
+        if packed := found_packs(*repeated(hashes, blobs), buckets):
+            to, found = zip(*packed)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(found, pa.binary())], names=["bucket", "found"])
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from found_rows([f.as_py() for batch in batches for f in batch.column("found")])
+
+
+def repeated(hashes: list[np.ndarray], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, marks and places of entries whose hash has a smaller doc_id."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    if not blobs:
+        return none
+    ends = np.cumsum([0, *map(len, hashes)])
+    whole = np.concatenate(hashes)
+    hashes.clear()
+    order = np.argsort(whole)
+    whole = whole[order]
+    twice = np.zeros(len(whole), bool)
+    twice[1:] = whole[1:] == whole[:-1]
+    twice[:-1] |= twice[1:]
+    order, whole = order[twice], whole[twice]
+    # only places of repeated windows are unpacked and kept, a blob at a time
+    back = np.argsort(order)
+    order, whole = order[back], whole[back]
+    kept = []
+    for k, blob in enumerate(blobs):
+        at = order[np.searchsorted(order, ends[k]) : np.searchsorted(order, ends[k + 1])] - ends[k]
+        if len(at):
+            places, runs, low, high, marks = unpack(blob)
             doc = (np.cumsum(high, dtype=np.int32).astype(np.int64) << 32) | np.cumsum(low, dtype=np.int32).view(np.uint32).astype(np.int64)
-            parts.append((np.frombuffer(h.as_py(), np.uint64), np.repeat(doc, runs), np.repeat(marks, runs), np.cumsum(places, dtype=np.int32)))
-    if not parts:
-        return
-    hashes, ids, marks, places = (np.concatenate(c) for c in zip(*parts))
-    parts.clear()
-    order = np.lexsort((ids, hashes))
+            of = np.repeat(np.arange(len(runs)), runs)[at]
+            kept.append((doc[of], marks[of], np.cumsum(places, dtype=np.int32)[at]))
+    if not kept:
+        return none
+    ids, marks, places = (np.concatenate(c) for c in zip(*kept))
+    order = np.lexsort((ids, whole))
     own = ids[order]
-    order = order[own > own[groups(hashes[order])]]
-    yield from found_rows(ids[order], marks[order], places[order])
+    order = order[own > own[groups(whole[order])]]
+    return ids[order], marks[order], places[order]
 
 
 def _rebuild(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words_n, removed, kept_text, row = [], [], [], 0
-            found, marks = batch.column("found"), batch.column("mark")
+            found = batch.column("found")
             for i, j, buf, offs in text_parts(batch.column("text")):
                 starts, ends, first = word_spans(buf, offs)
                 raw = buf.tobytes()
                 for row in range(i, j):
                     a, b = first[row - i], first[row - i + 1]
                     gone = np.zeros(b - a + 1, np.int32)
-                    here = found[row].as_py() or []
-                    for part in here:
-                        if part["mark"] == marks[row].as_py():
-                            s, n = of_intervals(part["found"])
-                            np.add.at(gone, s, 1)
-                            np.add.at(gone, s + n + size - 1, -1)
+                    if (here := found[row].as_py()) is not None:
+                        s, n = of_intervals(here)
+                        np.add.at(gone, s, 1)
+                        np.add.at(gone, s + n + size - 1, -1)
                     stay = np.cumsum(gone[:-1]) == 0
                     words_n.append(int(b - a))
                     removed.append(int(len(stay) - stay.sum()))
@@ -213,18 +272,18 @@ def remove_repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window of `size` consecutive words that covers it also starts in a document with a smaller
-    doc_id. Windows are judged on the input. Hashes have 64 bits besides the bucket's.
+    doc_id. Windows are judged on the input. Hashes have 64 bits; rows of one doc_id are told apart by 16 bits of their text's hash.
 
     A null text has no words. Rows with a null doc_id lose nothing and make no other row lose anything. Rows that
     share a doc_id are each judged against smaller doc_ids only, so a repeated row changes nothing. Extra columns are
     ignored; no rows give no rows.
     """
-    docs = docs.select("doc_id", "text", F.hash("text").alias("mark"))
+    docs = docs.select("doc_id", "text", F.hash("text").bitwiseAND(0xFFFF).alias("mark"))
     buckets = partitions_for(docs, BUCKET_BYTES)
     pieces = docs.mapInArrow(_hash_windows(size, buckets), PIECE_SCHEMA)
-    found = pieces.repartition(buckets, "bucket").mapInArrow(_count, FOUND_SCHEMA)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "found")).alias("found"))
-    return docs.join(by_doc, "doc_id", "left").mapInArrow(_rebuild(size), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    across = pieces.repartition(buckets, "bucket").mapInArrow(_count(buckets), "bucket int, found binary")
+    found = across.repartition(buckets, "bucket").mapInArrow(_merge, "doc_id bigint, mark int, found binary")
+    return docs.join(found, ["doc_id", "mark"], "left").mapInArrow(_rebuild(size), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
