@@ -25,13 +25,17 @@ U32 = np.uint32
 class NearDup:
     """size words a shingle; pairs link from a similarity of percent / 100. Of pairs just that similar, bands of
     rows coordinates miss (1 - 0.75**rows)**bands, which is 2e-5 here, and fewer of more similar ones. A pair
-    whose 128 sketch bits agree in fewer than least_bits (5.6 deviations below the threshold's mean) isn't read in full."""
+    whose 128 sketch bits agree in fewer than least_bits (4.8 deviations below the threshold's mean) isn't read in full,
+    nor, in buckets of several components, one whose longer sketches of two bits for each of `wide` coordinates agree in
+    fewer than least_wide (4.5 deviations)."""
 
     size: int = 5
     percent: int = 75
     bands: int = 40
     rows: int = 5
-    least_bits: int = 91
+    least_bits: int = 94
+    wide: int = 1024
+    least_wide: int = 1711
 
 
 def pi(x: np.ndarray) -> np.ndarray:
@@ -44,7 +48,7 @@ def pi(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signatures(sets: np.ndarray, offs: np.ndarray, count: int) -> np.ndarray:
+def signatures(sets: np.ndarray, offs: np.ndarray, count: int, first: int = 0) -> np.ndarray:
     """(rows, count) circulant MinHash coordinates of sets of 64-bit hashes; rows without members hold the largest value."""
     out = np.full((len(offs) - 1, count), 0xFFFFFFFF, U32)
     full = np.flatnonzero(np.diff(offs))
@@ -56,11 +60,19 @@ def signatures(sets: np.ndarray, offs: np.ndarray, count: int) -> np.ndarray:
         lo, hi = offs[rows[0]], offs[rows[-1] + 1]
         part, starts = sigma[lo:hi], offs[rows] - lo
         for k in range(count):
-            out[rows, k] = np.minimum.reduceat(pi(part - U32(k)), starts)
+            out[rows, k] = np.minimum.reduceat(pi(part - U32(first + k)), starts)
         at = to
     return out
 
 
+def set_keys(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Two 64-bit keys of each set, by which equal sets are known."""
+    sums = np.zeros((2, len(sets) + 1), np.uint64)
+    np.cumsum(mix(sets.copy()), out=sums[0, 1:])
+    np.cumsum(mix(sets ^ np.uint64(0xBB67AE8584CAA73B)), out=sums[1, 1:])
+    return sums[:, offs[1:]] - sums[:, offs[:-1]]
+
+
 def _sign(p: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,10 +81,7 @@ def _sign(p: NearDup):
                 sizes = np.diff(ends)
                 sig = signatures(sets, ends, p.bands * p.rows)
                 empty = sizes == 0
-                sums = np.zeros((2, len(sets) + 1), np.uint64)
-                np.cumsum(mix(sets.copy()), out=sums[0, 1:])
-                np.cumsum(mix(sets ^ np.uint64(0xBB67AE8584CAA73B)), out=sums[1, 1:])
-                keys = sums[:, ends[1:]] - sums[:, ends[:-1]]
+                keys = set_keys(sets, ends)
                 bits = np.packbits((sig[:, :128] & U32(1)).astype(bool), axis=1).view(np.int64)
                 bands = np.empty((len(sizes), p.bands), np.uint64)
                 for b in range(p.bands):
@@ -140,13 +149,53 @@ def verified(docs: DataFrame, pairs: DataFrame, p: NearDup) -> DataFrame:
     return both.mapInArrow(_verify(p), f"a {kind}, b {kind}").distinct()
 
 
+def open_members(members: DataFrame, group: DataFrame) -> DataFrame:
+    """Rows (key, who, group) of buckets whose members are of more than one component; a document without links is one of its own."""
+    now = members.select("key", "who").join(group.select("id", F.col("component").alias("group")), F.col("who.id") == F.col("id"), "left")
+    now = now.select("key", "who", F.coalesce("group", "who.id").alias("group"))
+    keys = now.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
+    return cut(now.join(keys, "key"))
+
+
+def _details(p: NearDup, wide: bool):
+    """(id, k1, x): x is the row's shingles or, with wide, its longer sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, offs in text_parts(batch.column("text")):
+                sets, ends = shingles(buf, offs, p.size)
+                keys = pa.array(set_keys(sets, ends)[0].view(np.int64))
+                if wide:
+                    sig = signatures(sets, ends, p.wide, p.bands * p.rows)
+                    bits = np.packbits(np.concatenate([sig & U32(1), sig & U32(2)], axis=1).astype(bool), axis=1).view(np.int64)
+                    x = pa.ListArray.from_arrays(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32), pa.array(bits.reshape(-1)))
+                else:
+                    x = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), keys, x], names=["id", "k1", "x"])
+
+    return run
+
+
+def details(docs: DataFrame, members: DataFrame, p: NearDup) -> DataFrame:
+    """(id, k1, wide, lone) of members' documents: lone shingles are those that no other of the documents has. Spark counts the hashes."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    some = docs.join(members.select(F.col("who.id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    get = lambda wide: some.mapInArrow(_details(p, wide), f"id {kind}, k1 bigint, x array<bigint>")
+    rows = get(False).select(F.struct("id", "k1").alias("d"), F.explode("x").alias("s"))
+    ones = rows.groupBy("s").agg(F.min("d").alias("d"), F.max("d").alias("last")).where("d = last")
+    lone = ones.groupBy("d").agg(F.count("*").alias("lone")).select("d.*", "lone")
+    sketches = get(True).groupBy("id", "k1").agg(F.first("x").alias("wide"))
+    return sketches.join(lone, ["id", "k1"], "left").select("id", "k1", "wide", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents of one shingle set form a class whose least doc_id stands for it. Classes that share a band are
     candidates: first each with the least of its bucket, which joins most of a large group in as many pairs as
-    it has members; then, in buckets that still hold several components, the pairs across components. Every
-    pair is confirmed on full sets, so the components are those of all found pairs, without emitting all pairs of a group.
+    it has members; then, in buckets that still hold several components, the pairs across components that bounds leave
+    possible. Every pair is confirmed on full sets, so the components are those of all found pairs, without emitting all
+    pairs of a group.
 
     A null or wordless text has no shingles, no links and is kept. A null doc_id has a null component_id and is
     kept. Rows that share a doc_id are one document and share its component. Extra columns are ignored; no rows give no rows.
@@ -176,22 +225,25 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     )
     links = cut(verified(docs, first, p))
     group = connected_components(links)
-    members = (
-        shared.select("key", "who")
-        .join(group.withColumnRenamed("component", "group"), F.col("who.id") == F.col("id"), "left")
-        .select("key", "who", F.coalesce("group", "who.id").alias("group"))
-    )
-    open_keys = members.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    left = cut(members.join(open_keys, "key"))
+    # Pairs across components of a bucket that still holds several. Shingles that no other of these documents has can't be
+    # shared, which bounds a pair's similarity; longer sketches then leave few pairs far below the threshold.
+    left = open_members(shared, group)
+    short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int"))
+    more_of = details(docs, left, p).join(least.select(F.col("doc_id").alias("id"), "k1", short.alias("bands")), ["id", "k1"])
+    left = left.join(more_of.select(F.col("id").alias("_i"), F.col("k1").alias("_k"), "wide", "lone", "bands"), (F.col("who.id") == F.col("_i")) & (F.col("who.k1") == F.col("_k")))
+    left = cut(left.select("key", F.struct("who.id", "who.n", "who.s1", "who.s2", "lone", "wide", "bands").alias("who"), "group"))
+
+    def possible(x: str, y: str):
+        common = F.least(F.col(f"{x}.n") - F.col(f"{x}.lone"), F.col(f"{y}.n") - F.col(f"{y}.lone"))
+        apart = F.aggregate(F.zip_with(f"{x}.wide", f"{y}.wide", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+        return alike(x, y) & (100 * common >= p.percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - common)) & (apart <= 2 * p.wide - p.least_wide)
+
     x, y = left.select("key", F.col("who").alias("x"), F.col("group").alias("gx")), left.select("key", F.col("who").alias("y"), F.col("group").alias("gy"))
-    second = (
-        x.join(y, (x["key"] == y["key"]) & (F.col("gx") != F.col("gy")) & (F.col("x.id") > F.col("y.id")) & alike("x", "y"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    second = cut(second)
-    more = verified(docs, second, p)
+    at = F.array_position(F.zip_with("x.bands", "y.bands", lambda u, v: u == v), True).cast("int") - 1
+    once = F.shiftright(x["key"], 32).cast("int") == F.get(F.col("x.bands"), at)  # in the first bucket that both share
+    second = x.join(y, (x["key"] == y["key"]) & (F.col("gx") != F.col("gy")) & (F.col("x.id") > F.col("y.id")) & possible("x", "y") & once)
+    second = second.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).join(first, ["a", "b"], "left_anti")
+    more = verified(docs, cut(second), p)
     component = connected_components(links.unionByName(more).unionByName(copies))
     return (
         signed.select("doc_id", "n_shingles")
