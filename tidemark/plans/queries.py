@@ -1,4 +1,262 @@
-"""Queries of the track engine and their SQL."""
+"""Queries of the track engine over the test tables; `plans.sql` has the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.config import AnomalyConfig, FederatedConfig, PairConfig, RuleConfig
+from tidemark.functions.core import micros
+from tidemark.operators import eda, graph, ml, pairs, rules, tracks
+from tidemark.plans.sql import ORACLE  # noqa: F401  the entry reads both here
+from tidemark.sources.adapters import incidents, points, supplier_cells
+
+ANY = PairConfig(min_windows=1)
+SHORT = RuleConfig(min_points=5)
+FEW = AnomalyConfig(trees=50)
+PERIOD_US = 5 * 86_400_000_000
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places; sums of doubles depend on the order of rows beyond that."""
+    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def period():
+    return F.floor(micros("ts") / F.lit(float(PERIOD_US))).cast("long")
+
+
+def cooccurrence_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.cooccurrence(pairs.vessel_cells(points(spark, sf)), 1))
+
+
+def edge_lift(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.build_edges(points(spark, sf), PairConfig(min_windows=2)))
+
+
+def voyages(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tracks.split_voyages(points(spark, sf)).select("mmsi", "ts", "voyage_seq", "voyage_id", "gap_hours"))
+
+
+def voyage_kinematics(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tracks.kinematics(tracks.split_voyages(points(spark, sf))))
+
+
+def course_std(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tracks.course_spread(tracks.split_voyages(points(spark, sf))))
+
+
+def coverage_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.coverage_grid(points(spark, sf))
+
+
+def gaps_of(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return tracks.signal_gaps(tracks.split_voyages(p), tracks.coverage_grid(p))
+
+
+def signal_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gaps_of(spark, sf))
+
+
+def gap_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tracks.gap_rollup(gaps_of(spark, sf)))
+
+
+def draft_usability(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tracks.draft_features(tracks.split_voyages(points(spark, sf))))
+
+
+def voyage_features(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tracks.build_features(points(spark, sf)))
+
+
+def yearly(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.accumulate(points(spark, sf), period(), ANY)
+
+
+def scored_truth(spark: SparkSession, sf: str) -> DataFrame:
+    truth = pairs.truth_pairs(incidents(points(spark, sf)))
+    return pairs.with_truth(pairs.build_scores(yearly(spark, sf)), truth)
+
+
+def edge_accumulate(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(yearly(spark, sf))
+
+
+def edge_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.score_edges(yearly(spark, sf)).select("mmsi_a", "mmsi_b", "n_both_moving", "n_months", "score", "rank"))
+
+
+def class_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.build_scores(yearly(spark, sf)).select("mmsi_a", "mmsi_b", "class_pair", *pairs.SCORES, "s_class_pct"))
+
+
+def class_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.class_baseline(scored_truth(spark, sf)))
+
+
+def incident_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.incident_pairs(incidents(points(spark, sf)))
+
+
+def validate_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return pairs.validate(incidents(p), pairs.cooccurrence(pairs.vessel_cells(p), 1))
+
+
+def topk_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.report(scored_truth(spark, sf)))
+
+
+def best_score(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.best_score(pairs.report(scored_truth(spark, sf))))
+
+
+def persistence(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.persistence(scored_truth(spark, sf), 2))
+
+
+def truth_hits(spark: SparkSession, sf: str) -> DataFrame:
+    truth = pairs.truth_pairs(incidents(points(spark, sf)))
+    return rounded(pairs.truth_hits(pairs.score_edges(yearly(spark, sf)), truth))
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return ml.label_voyages(tracks.build_features(p), incidents(p), AnomalyConfig(pad_hours=0.5))
+
+
+def voyage_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled(spark, sf).select("voyage_id", "mmsi", "is_incident")
+
+
+def incident_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return rounded(ml.incident_tracks(p, incidents(p), 0.5))
+
+
+def auc_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ml.auc(labelled(spark, sf), "max_sog", "is_incident"))
+
+
+def feature_contribution(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ml.feature_contribution(labelled(spark, sf), ("n_points", "duration_hours", "avg_sog", "max_sog", "stopped_ratio")))
+
+
+def ports(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rules.detect_ports(points(spark, sf)))
+
+
+def nearest_port(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    places = p.groupBy("mmsi").agg(F.max_by("lat", F.struct("ts", "lat", "lon")).alias("lat"), F.max_by("lon", F.struct("ts", "lat", "lon")).alias("lon"))
+    return rounded(rules.nearest_port(places, rules.detect_ports(p)))
+
+
+def checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = points(spark, sf)
+    v, harbours = tracks.split_voyages(p), rules.detect_ports(p)
+    return p, v, rules.apply_rules(rules.declarations(v, harbours, SHORT), v, harbours, SHORT)
+
+
+def declarations(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return rules.declarations(tracks.split_voyages(p), rules.detect_ports(p), SHORT)
+
+
+def rule_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(checked(spark, sf)[2])
+
+
+def confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.confusion(checked(spark, sf)[2])
+
+
+def fusion(spark: SparkSession, sf: str) -> DataFrame:
+    p, _, results = checked(spark, sf)
+    return rounded(rules.fuse(results, tracks.build_features(p), yearly(spark, sf)))
+
+
+def strong(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.cooccurrence(pairs.vessel_cells(points(spark, sf)), 2).select("mmsi_a", "mmsi_b", "n_windows")
+
+
+def components(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.components(strong(spark, sf))
+
+
+def degree_core(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.degree_core(strong(spark, sf))
+
+
+def ego_network(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.ego_network(strong(spark, sf), 5, "n_windows")
+
+
+def ring_communities(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(graph.communities(*graph.trade_layer(spark)))
+
+
+def ring_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.cycles(graph.trade_layer(spark)[1].where("type = 'trades'"))
+
+
+def snapshot_union(spark: SparkSession, sf: str) -> DataFrame:
+    edges = strong(spark, sf)
+    return graph.snapshot(edges, points(spark, sf).where("mmsi < 4").select("mmsi"), top=20)
+
+
+def eda_value_counts(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return (
+        eda.value_counts(p, "vessel_class").withColumn("what", F.lit("class"))
+        .unionByName(eda.counts_in_order(incidents(p), "evidence").drop("pos").withColumn("what", F.lit("evidence")))
+    )
+
+
+def null_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(eda.fill_rates(points(spark, sf), "draft", "vessel_class"))
+
+
+def quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(eda.quantiles(points(spark, sf), "sog"))
+
+
+def overview(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return eda.overview(p, incidents(p))
+
+
+def supplier_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.cooccurrence(supplier_cells(spark, sf), 3))
+
+
+def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return ml.isolation_scores(labelled(spark, sf), FEW.features, FEW).select("voyage_id", "score", "is_anomaly")
+
+
+def anomaly_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    return ml.ablation(graph.cut(labelled(spark, sf)), c=FEW)
+
+
+def federated(spark: SparkSession, sf: str) -> DataFrame:
+    task = ml.federated_task(tracks.build_features(points(spark, sf)))
+    return ml.federated_results(graph.cut(task), FederatedConfig(epochs=15))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "vessel_cells": lambda spark, sf: pairs.vessel_cells(points(spark, sf)),
+    **{
+        f.__name__: f
+        for f in (
+            cooccurrence_edges, edge_lift, voyages, voyage_kinematics, course_std, coverage_grid, signal_gaps, gap_rollup, draft_usability, voyage_features,
+            edge_accumulate, edge_scores, class_scores, class_baseline, incident_pairs, validate_incidents, topk_curve, best_score, persistence, truth_hits,
+            voyage_labels, incident_tracks, auc_exact, feature_contribution, ports, nearest_port, declarations, rule_checks, confusion, fusion, components,
+            degree_core, ego_network, ring_communities, ring_cycles, snapshot_union, eda_value_counts, null_rates, quantiles, overview, supplier_cooccurrence,
+            iforest_scores, anomaly_ablation, federated,
+        )
+    },
+}
