@@ -22,9 +22,10 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import new_path, partitions_for, stage
+from tidemark.llm._shared import cut, new_path, partitions_for, stage
 
 DATE = "2024-01-01T00:00:00Z"  # records made from a table carry no capture time
+FEW_REVISITS = 100_000  # rows of two numbers and a digest: 8 MB
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -87,6 +88,9 @@ def with_revisits(pages: DataFrame, w: Warc) -> DataFrame:
     slim = rows.where(F.octet_length("html") >= w.min_bytes).select("page_id", digest.alias("digest"))
     last = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to")
     revisits = slim.join(last, "digest").where("page_id < refers_to").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to").distinct()
+    revisits = cut(revisits)
+    if revisits.count() <= FEW_REVISITS:  # then payloads needn't be shuffled
+        revisits = F.broadcast(revisits)
     keyed = rows.withColumn("digest", digest)
     return keyed.join(revisits, (keyed["page_id"] == F.col("p")) & (keyed["digest"] == F.col("d")), "left").select("page_id", "url", "html", "refers_to")
 
