@@ -40,8 +40,9 @@ def above(x: str | Column, limit: float) -> Column:
 
 
 def wrapped_degrees(turn: Column) -> Column:
-    """A turn in degrees, as -180 up to but not including 180."""
-    return F.pmod(turn + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
+    """A turn in degrees, as -180 up to but not including 180 (but for rounding just below -180)."""
+    x = turn + F.lit(180.0)
+    return x - F.lit(360.0) * F.floor(x / F.lit(360.0)) - F.lit(180.0)
 
 
 def pair_of(a: str | Column, b: str | Column) -> tuple[Column, Column]:
