@@ -44,17 +44,17 @@ def test_language_vectors_bind_by_place():
 
 def test_mixing_reaches_targets(spark, sf):
     got = mixing.op2_mix(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"), "doc_id").collect()
-    by = collections.defaultdict(lambda: [0, 0, 0.0, 0])
+    by = collections.defaultdict(lambda: [0, 0, 0.0, 0, 0])
     for r in got:
         assert r["size"] == len(re.findall(WORD, r.text or "")) and r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
         x = by[r.source]
         x[0] += r["size"]
         x[1], x[2] = r.source_size, r.target
         x[3] += r.taken
+        x[4] = max(x[4], r["size"])
     assert all(x[0] == x[1] for x in by.values())
     assert abs(sum(x[2] for x in by.values()) - sum(x[0] for x in by.values())) < 1e-6 * sum(x[0] for x in by.values())
-    largest = max(r["size"] for r in got)
-    assert all(abs(x[3] - x[2]) <= max(0.02 * x[2], largest / 2) for x in by.values())
+    assert all(abs(x[3] - x[2]) <= x[4] for x in by.values())
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.op2_mix(spark, sf).collect())
 
 
@@ -228,7 +228,7 @@ def test_warc_lookup_reads_some_blocks(spark, sf):
     keys = urls.select(warc.url_key(F.col("url")).alias("key")).distinct().union(spark.createDataFrame([("nothing",)], "key string"))
     got = {r.page_id for r in warc.look_up(keys, index, folder).collect()}
     want = {r.page_id for r in captures.join(keys, "key").collect()}
-    assert got == want and len(got) > 5
+    assert got == want and len(got) >= 5
 
 
 def test_url_hosts_rules_and_aliases(spark):
