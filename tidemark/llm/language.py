@@ -174,7 +174,7 @@ def identify(docs: DataFrame, prototypes: DataFrame, p: Profile = Profile()) ->
     rows = sorted(prototypes.collect(), key=lambda r: r.lang)  # one row a language, never of documents
     if len(rows) > 20_000:
         raise ValueError("more languages than any list of languages has")
-    matrix = np.array([r.v for r in rows], np.float64).reshape(len(rows), -1)
+    matrix = np.array([r.v for r in rows], np.float64).reshape(len(rows), p.dims)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
     keep = [c for c in ("doc_id", "held_out") if c in docs.columns]
     fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
