@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import cut, stage
 
+SMALL_GROUPS = 10_000  # sources whose counts are broadcast: at most 160 kB
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,15 +23,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 class Mix:
     """weights by the sources' order, repeating; most copies of any document; about chunk fractions are folded in one row.
 
-    Documents of more than a large-th of their source's words are rounded first; the words by which they miss their
-    expectation shift the probabilities of the others, whose expectation that keeps, so no large one is left to the end.
+    Documents are rounded in strata, those of more than an eighth of their source's words first; the words by which a
+    stratum misses its expectation shift the probabilities of the next, so that no large document is left to the end.
     """
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     most: float = 3.0
     chunk: int = 48
     seed: int = 11
-    large: int = 500
+    strata: tuple[int, ...] = (8, 40, 200, 1000)
 
 
 def targets(sizes: DataFrame, m: Mix = Mix()) -> DataFrame:
@@ -89,9 +90,11 @@ def rounded(units: DataFrame, m: Mix) -> DataFrame:
     done, level, left = None, 0, units
     while True:
         counts = left.groupBy("g").agg(F.count("*").alias("n"))
-        most = counts.agg(F.max("n")).first()[0] or 0
-        if most <= 1:
+        most, groups = counts.agg(F.max("n"), F.count("*")).first()
+        if (most or 0) <= 1:
             break
+        if groups <= SMALL_GROUPS:  # a source of many rows then isn't dealt to one task
+            counts = F.broadcast(counts)
         chunks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / m.chunk))
         part = F.pmod(F.xxhash64(F.lit(m.seed), F.lit(level), "u"), chunks)
         rows = left.join(counts, "g").select("g", part.alias("part"), F.struct(F.xxhash64("u", F.lit(m.seed)).alias("o"), "u", "size", "p").alias("unit"))
@@ -134,15 +137,21 @@ def copies(sized: DataFrame, m: Mix) -> DataFrame:
             F.first(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())).alias("g"),
             F.first("source_size").alias("source_size"),
         )
-        .select("g", "u", "size", "p", (F.col("size") * m.large > F.col("source_size")).alias("large"))
+        .select("g", "u", "size", "p", sum((F.when(F.col("size") * k <= F.col("source_size"), 1).otherwise(0) for k in m.strata), F.lit(0)).alias("stratum"))
     )
-    large, small = (units.where(c).select("g", "u", "size", "p") for c in ("large", "not large"))
-    first = cut(rounded(large, m))
-    off = large.join(first, "u").groupBy("g").agg(F.sum((F.col("take") - F.col("p")) * F.col("size")).alias("off"))
-    shift = small.groupBy("g").agg(F.sum("size").alias("room")).join(off, "g").select("g", (F.col("off") / F.col("room")).alias("shift"))
-    moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") - F.coalesce("shift", F.lit(0.0))))
-    small = cut(small.join(shift, "g", "left").select("g", "u", "size", moved.alias("p")))
-    takes = first.unionByName(rounded(small.where("p > 0 and p < 1"), m)).unionByName(small.where("p >= 1").select("u", F.lit(1).alias("take")))
+    strata = sorted(r.stratum for r in units.select("stratum").distinct().collect())  # five at most
+    takes = keyed.sparkSession.createDataFrame([], "u bigint, take int")
+    missed = keyed.sparkSession.createDataFrame([], "g bigint, off double")  # words above expectation, by source
+    for k in strata:
+        part = units.where(F.col("stratum") == k).select("g", "u", "size", "p")
+        shift = part.groupBy("g").agg(F.sum("size").alias("room")).join(missed, "g").select("g", (F.col("off") / F.col("room")).alias("shift"))
+        moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") - F.coalesce("shift", F.lit(0.0))))
+        part = cut(part.join(shift, "g", "left").select("g", "u", "size", "p", moved.alias("q")))
+        free = part.where("q > 0 and q < 1").select("g", "u", "size", F.col("q").alias("p"))
+        now = cut(rounded(free, m).unionByName(part.where("q >= 1").select("u", F.lit(1).alias("take"))))
+        off = part.join(now, "u", "left").select("g", ((F.coalesce("take", F.lit(0)) - F.col("p")) * F.col("size")).alias("off"))
+        missed = cut(missed.unionByName(off).groupBy("g").agg(F.sum("off").alias("off")))
+        takes = takes.unionByName(now)
     return (
         keyed.join(takes, "u", "left")
         .withColumn("copies", F.col("whole") + F.coalesce("take", F.lit(0)))
