@@ -157,7 +157,8 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, q: Quality
     failed = (F.col("n_words") < q.min_words) | (100 * F.col("n_repeat_words") > q.max_repeat_percent * F.col("n_words"))
     seen = measured(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text"), q.window)
     seen = seen.select("row", failed.alias("failed"), *[c.alias(k) for k, c in rules.items()])
-    counts = cut(seen.groupBy("failed", *names).agg(F.count("*").alias("n")).coalesce(1))
+    cast = stage(seen.select("failed", *names), "votes")  # grouped over the measures themselves, each would be computed many times
+    counts = cut(cast.groupBy("failed", *names).agg(F.count("*").alias("n")).coalesce(1))
     model = fit(counts.where("not failed").drop("failed"), names, q)
     # a partition id isn't deterministic: the filter stays above the measures, which would else be copied into each of its terms
     judged = seen.withColumn("here", F.spark_partition_id())
