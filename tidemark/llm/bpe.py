@@ -10,8 +10,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -19,9 +20,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE_CACHE = 400_000
+PAIR_CACHE = 500_000
+RUN_CHARS = 1 << 20
 NONE = 1 << 60
 
 
+class Fits(dict):
+    """Answers of Vocabulary.compatible by pair, kept up to PAIR_CACHE of them; few pairs make up most questions."""
+
+    def __init__(self, ask: Callable[[int, int], bool]) -> None:
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, pair: tuple[int, int]) -> bool:
+        if len(self) >= PAIR_CACHE:
+            self.clear()
+        self[pair] = out = self.ask(*pair)
+        return out
+
+
 class Vocabulary:
     """Ranks of tokens, and the two tokens that each is merged from; tokens that merging can't reach have none."""
 
@@ -29,6 +46,7 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self.fits = Fits(self.compatible)
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], int] = {}
         self.reached: dict[bytes, int] = {t: i for t, i in ranks.items() if len(t) == 1}
@@ -84,14 +102,14 @@ class Prefixes:
         """Exact: entries of the old prefixes stay valid."""
         n = len(self.data)
         self.data += more
-        reached, last, width, fits, longest = self.v.reached, self.last, self.width, self.v.compatible, self.v.longest
+        get, last, width, fits, longest = self.v.reached.get, self.last, self.width, self.v.fits, self.v.longest
         data = bytes(self.data)
         for end in range(n + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = reached.get(data[start:end])
-                if token is not None and (start == 0 or fits(last[start - 1], token)):
+            for size in range(1, (longest if end > longest else end) + 1):  # one token fits, and most are short
+                token = get(data[end - size : end])
+                if token is not None and (size == end or fits[last[end - size - 1], token]):
                     last.append(token)
-                    width.append(end - start)
+                    width.append(size)
                     break
             else:
                 raise ValueError(f"no token ends at byte {end}; the ranks lack a byte")
@@ -111,29 +129,58 @@ class Prefixes:
 
 
 class Encoder:
-    """Whole texts: the pattern's matches are encoded each on its own; results of short pieces are kept, up to PIECE_CACHE of them."""
+    """Whole texts: the pattern's matches are encoded each on its own; results of short pieces are kept, up to PIECE_CACHE of them.
+
+    New pieces of a run of texts are taken in order, so each continues from the prefix that it shares with the one before.
+    """
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN) -> None:
         self.v = Vocabulary.load(path)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        raw = text.encode()
-        whole = self.v.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(Prefixes(self.v, raw).encode())
-        if len(raw) <= 64:
-            if len(self.known) >= PIECE_CACHE:
-                self.known.clear()
-            self.known[text] = ids
-        return ids
+    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """Token ids of pieces."""
+        out, walk, before = {}, Prefixes(self.v), b""
+        for raw, text in sorted((p.encode(), p) for p in pieces):
+            whole = self.v.ranks.get(raw)
+            if whole is not None:
+                out[text] = (whole,)
+                continue
+            same, most = 0, min(len(before), len(raw))
+            while same < most and before[same] == raw[same]:
+                same += 1
+            walk.replace(same, len(before), raw[same:])
+            out[text], before = tuple(walk.encode()), raw
+        return out
+
+    def encode_run(self, texts: list[str]) -> Iterator[list[int]]:
+        found = [self.find(t) for t in texts]
+        new = set().union(*found).difference(self.known)
+        now = self.learn(new)
+        kept = self.known
+        if len(kept) + len(now) > PIECE_CACHE:
+            self.known = {}
+        self.known.update((p, ids) for p, ids in now.items() if len(p) <= 64)
+        for pieces in found:
+            out: list[int] = []
+            for p in pieces:
+                out += now[p] if p in now else kept[p]
+            yield out
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text, in runs of about RUN_CHARS."""
+        run, size = [], 0
+        for t in texts:
+            run.append(t)
+            size += len(t)
+            if size >= RUN_CHARS:
+                yield from self.encode_run(run)
+                run, size = [], 0
+        yield from self.encode_run(run)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, piece = self.known, self.piece
-        for p in self.find(text):
-            out += known.get(p) or piece(p)
-        return out
+        return next(self.encode_run([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         table = self.v.bytes
@@ -149,8 +196,10 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            ids = [own.encode(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids = [np.array(x, np.int32) for x in own.encode_all(t.as_py() or "" for t in batch.column("text"))]
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends.astype(np.int32), flat)], names=["doc_id", "ids"])
 
     return run
 
@@ -160,8 +209,7 @@ def _digest(path: str):
         own = encoder(path)
         for batch in batches:
             counts, ids_sha, bytes_sha = [], [], []
-            for t in batch.column("text"):
-                ids = own.encode(t.as_py() or "")
+            for ids in own.encode_all(t.as_py() or "" for t in batch.column("text")):
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 bytes_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
