@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import AnomalyConfig, FederatedConfig, PairConfig
 from tidemark.operators import eda, graph, ml, pairs, rules, tracks
-from tidemark.plans import pipeline
+from tidemark.plans import pipeline, queries
 from tidemark.sources import readers
 
 T0 = dt.datetime(2024, 1, 1)
@@ -156,6 +156,14 @@ def test_graph(spark):
     assert {r["size"] for r in graph.communities(nodes, edges).collect()} == {4}
 
 
+def test_declared_snapshot(spark, monkeypatch):
+    edges = [(i, i + 1, 5000 - i) for i in range(0, 1400, 2)]
+    monkeypatch.setattr(queries, "strong", lambda spark, sf: spark.createDataFrame(edges, "mmsi_a long, mmsi_b long, n_windows long"))
+    monkeypatch.setattr(queries, "declarations", lambda spark, sf: spark.createDataFrame([("D0", 1201), ("D0F0", 1201), ("D1", 1300), ("D2", 4)], "decl_id string, mmsi long"))
+    got = sorted(tuple(r) for r in queries.QUERIES["snapshot_declared"](spark, "").collect())
+    assert got == edges[:500] + [edges[600], edges[650]]
+
+
 @pytest.mark.parametrize("scores,labels,want", [([1, 2, 3, 4], [0, 0, 1, 1], 1.0), ([4, 3, 2, 1], [0, 0, 1, 1], 0.0), ([1, 1, 1, 1], [0, 1, 0, 1], 0.5), ([1, 2], [1, 1], None)])
 def test_auc(spark, scores, labels, want):
     df = spark.createDataFrame([(float(s), bool(x)) for s, x in zip(scores, labels)], "s double, y boolean")

@@ -209,6 +209,11 @@ def snapshot_union(spark: SparkSession, sf: str) -> DataFrame:
     return graph.snapshot(edges, points(spark, sf).where("mmsi < 4").select("mmsi"), top=20)
 
 
+def snapshot_declared(spark: SparkSession, sf: str) -> DataFrame:
+    """The 500 largest edges and all of vessels that a declaration names."""
+    return graph.snapshot(strong(spark, sf), declarations(spark, sf).select("mmsi"))
+
+
 def eda_value_counts(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     return (
@@ -255,7 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             cooccurrence_edges, edge_lift, voyages, voyage_kinematics, course_std, coverage_grid, signal_gaps, gap_rollup, draft_usability, voyage_features,
             edge_accumulate, edge_scores, class_scores, class_baseline, incident_pairs, validate_incidents, topk_curve, best_score, persistence, truth_hits,
             voyage_labels, incident_tracks, auc_exact, feature_contribution, ports, nearest_port, declarations, rule_checks, confusion, fusion, components,
-            degree_core, ego_network, ring_communities, ring_cycles, snapshot_union, eda_value_counts, null_rates, quantiles, overview, supplier_cooccurrence,
+            degree_core, ego_network, ring_communities, ring_cycles, snapshot_union, snapshot_declared, eda_value_counts, null_rates, quantiles, overview, supplier_cooccurrence,
             iforest_scores, anomaly_ablation, federated,
         )
     },
