@@ -184,6 +184,21 @@ def test_federated_equals_centralized(spark):
     assert got["vertical_federated"] == pytest.approx(got["centralized"], abs=1e-9) and len(got) == 5
 
 
+def test_queries_take_the_whole_number_of_epochs_and_trees(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.graph, "cut", lambda df: df)
+    monkeypatch.setattr(queries, "labelled", lambda spark, sf: None)
+    monkeypatch.setattr(queries.tracks, "build_features", lambda p: None)
+    monkeypatch.setattr(queries, "points", lambda spark, sf: None)
+    monkeypatch.setattr(ml, "federated_task", lambda f: None)
+    monkeypatch.setattr(ml, "federated_results", lambda task, c=FederatedConfig(): seen.append(c.epochs))
+    monkeypatch.setattr(ml, "ablation", lambda f, c=AnomalyConfig(): seen.append(c.trees))
+    monkeypatch.setattr(ml, "isolation_scores", lambda f, columns, c=AnomalyConfig(): seen.append(c.trees) or spark.createDataFrame([], "voyage_id string, score double, is_anomaly boolean"))
+    for name in ("federated", "anomaly_ablation", "iforest_scores"):
+        queries.QUERIES[name](spark, "")
+    assert seen == [200, 300, 300]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "p.csv").write_text('﻿MMSI,datetime_utc,lat,lon,speed_over_ground_knots,heading_deg,vessel_name\n1,2024-01-01 00:00:00,10,20,1.5,511,"PI""IL"\n1,broken,1,1,1,1,x\n2,2024-01-01 00:00:00,95,20,1,90,y\n')
     got = readers.read_points(spark, str(tmp_path / "p.csv"), "features").collect()

@@ -159,33 +159,45 @@ def federated_task(features: DataFrame, c: FederatedConfig = FederatedConfig())
     )
 
 
-def fit_logistic(train: DataFrame, columns: list[str], c: FederatedConfig, parties: list[list[str]] | None = None) -> dict[str, float]:
-    """Full-batch gradient descent without intercept; each epoch is one aggregation of the gradient.
+def fit_logistic(train: DataFrame, models: dict[str, list[list[str]]], c: FederatedConfig) -> dict[str, dict[str, float]]:
+    """Full-batch gradient descent without intercept: weights by column for each model, given as the columns of its parties.
 
-    With parties, every party sums its own columns' partial score and gets back only the residual: the same gradient in other words.
+    Every party sums its own columns' partial score and gets back only the residual, so the gradient is that of all columns at one
+    place. An epoch is one aggregation of all models' gradients.
     """
-    w = dict.fromkeys(columns, 0.0)
-    train = train.select("label", *columns)
+    w = {m: {k: 0.0 for g in groups for k in g} for m, groups in models.items()}
+    train = train.select("label", *sorted({k for x in w.values() for k in x}))
+    names = [(m, k) for m, x in w.items() for k in x]
+    total = [F.sum(f"g{i}").alias(f"g{i}") for i in range(len(names))]
+
+    def gradient(w: dict[str, dict[str, float]]):  # weights go along as data: as literals they would make Spark compile each epoch anew
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out, y = [len(pdf)], pdf["label"].to_numpy(float)
+                for m, groups in models.items():
+                    partial = [sum(pdf[k].to_numpy(float) * w[m][k] for k in g) for g in groups]
+                    residual = 1.0 / (1.0 + np.exp(-np.clip(sum(partial), -30.0, 30.0))) - y
+                    out += [float(pdf[k].to_numpy(float) @ residual) for k in w[m]]
+                yield pd.DataFrame([out], columns=["n", *[f"g{i}" for i in range(len(names))]])
+
+        return run
+
+    schema = "n long, " + ", ".join(f"g{i} double" for i in range(len(names)))
     for _ in range(c.epochs):
-        groups = parties or [columns]
-        partial = [sum((F.col(k) * w[k] for k in g), F.lit(0.0)) for g in groups]
-        score = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum(partial, F.lit(0.0))))
-        residual = 1.0 / (1.0 + F.exp(-score)) - F.col("label").cast("double")
-        g = train.agg(*[F.avg(F.col(k) * residual).alias(k) for k in columns]).first()
-        w = {k: w[k] - c.rate * (float(g[k] or 0.0) + c.l2 * w[k]) for k in columns}
+        g = train.mapInPandas(gradient(w), schema).agg(F.sum("n").alias("n"), *total).first()
+        mean = {x: (g[f"g{i}"] or 0.0) / (g["n"] or 1) for i, x in enumerate(names)}
+        w = {m: {k: x[k] - c.rate * (mean[m, k] + c.l2 * x[k]) for k in x} for m, x in w.items()}
     return w
 
 
 def federated_results(task: DataFrame, c: FederatedConfig = FederatedConfig()) -> DataFrame:
     """model, auc on the held-out rows: all columns at one place, the same split by party, and each party alone."""
     parties = [[f"z_{k}" for k in fs] for _, fs in c.parties]
-    columns = [k for g in parties for k in g]
     train, test = task.where("is_train").cache(), task.where("not is_train")
-    models = [("centralized", columns, None), ("vertical_federated", columns, parties)] + [(f"single_{name}", g, None) for (name, _), g in zip(c.parties, parties)]
+    models = {"centralized": [[k for g in parties for k in g]], "vertical_federated": parties} | {f"single_{name}": [g] for (name, _), g in zip(c.parties, parties)}
     out = None
-    for name, cols, split in models:
-        w = fit_logistic(train, cols, c, split)
-        row = auc(test.withColumn("s", sum((F.col(k) * w[k] for k in cols), F.lit(0.0))), "s", "label").select(F.lit(name).alias("model"), "auc")
+    for name, w in fit_logistic(train, models, c).items():
+        row = auc(test.withColumn("s", sum((F.col(k) * x for k, x in w.items()), F.lit(0.0))), "s", "label").select(F.lit(name).alias("model"), "auc")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -15,7 +15,7 @@ from tidemark.sources.adapters import incidents, points, supplier_cells
 
 ANY = PairConfig(min_windows=1)
 SHORT = RuleConfig(min_points=5)
-FEW = AnomalyConfig(trees=50)
+FOREST = AnomalyConfig()
 PERIOD_US = 5 * 86_400_000_000
 
 
@@ -240,16 +240,16 @@ def supplier_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return ml.isolation_scores(labelled(spark, sf), FEW.features, FEW).select("voyage_id", "score", "is_anomaly")
+    return ml.isolation_scores(labelled(spark, sf), FOREST.features, FOREST).select("voyage_id", "score", "is_anomaly")
 
 
 def anomaly_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    return ml.ablation(graph.cut(labelled(spark, sf)), c=FEW)
+    return ml.ablation(graph.cut(labelled(spark, sf)), c=FOREST)
 
 
 def federated(spark: SparkSession, sf: str) -> DataFrame:
     task = ml.federated_task(tracks.build_features(points(spark, sf)))
-    return ml.federated_results(graph.cut(task), FederatedConfig(epochs=15))
+    return ml.federated_results(graph.cut(task), FederatedConfig())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
