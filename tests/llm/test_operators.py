@@ -117,6 +117,21 @@ def test_pseudonyms_leave_what_is_not_valid():
     assert pii.rewrite('token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"', b"k")[1] == 1
 
 
+def test_pseudonyms_of_values_before_other_groups():
+    iban = lambda v: pii.iban(v, b"k")
+    card = pii.card("4111 1111 1111 1111", b"k")
+    for v in ("BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201"):
+        for tail in (" BIC GEBABEBB", " EUR", " TOTAL 10", " GEBA BEBB XXX, paid", ""):
+            assert pii.rewrite(f"to {v}{tail}", b"k") == (f"to {iban(v)}{tail}", 1)
+    for tail in (" 12/26", " 124", " 12 34", "-99", " 12/26 124"):
+        assert pii.rewrite(f"4111 1111 1111 1111{tail}", b"k") == (card + tail, 1)
+    for v in ("5500005555555559", "371449635398431"):
+        assert pii.rewrite(f"{v} 123", b"k") == (pii.card(v, b"k") + " 123", 1)
+    for head in range(100):  # fourteen digits from a wrong start may pass by chance: the longer number counts
+        if pii.card(f"{head:02d} 4111 1111 1111 1111", b"k") is None:
+            assert pii.rewrite(f"{head:02d} 4111 1111 1111 1111", b"k") == (f"{head:02d} {card}", 1)
+
+
 def test_pseudonyms_of_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = {r.doc_id: pii.rewrite(r.text, pii.KEY) for r in docs.collect()}

@@ -184,12 +184,51 @@ def card(v: str, key: bytes) -> str | None:
 KINDS = {"email": email, "cloud": cloud, "secret": secret, "hex": hex_number, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card}
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in cs.split()
+}
+
+
+def ends(kind: str, v: str) -> list[int]:
+    """Where the value may end, in order of trial: a shape of groups can run on into what follows. An IBAN of its country's length comes first, then the longest."""
+    if kind not in ("iban", "card"):
+        return [len(v)]
+    at = [len(v), *[i for i in range(len(v) - 1, 12, -1) if not v[i].isalnum() and v[i - 1].isalnum()]]
+    if kind == "card":
+        return [i for i in at if sum(c in DIGITS for c in v[:i]) >= 13]
+    return sorted(at, key=lambda i: i - v.count(" ", 0, i) != IBAN_LENGTHS.get(v[:2]))
+
+
 @functools.lru_cache(maxsize=65536)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """None where the value is not valid for its kind."""
     return KINDS[kind](value, key)
 
 
+def settle(text: str, m: re.Match, kind: str, key: bytes) -> tuple[int, str] | None:
+    """Where m's value ends, and its pseudonym. A shortened card number gives way to a longer one that starts at a later group."""
+    a, v = m.start(kind), m[kind]
+    digits = lambda x: sum(c in DIGITS for c in x)
+    for size in ends(kind, v):
+        new = pseudonym(kind, v[:size], key)
+        if new is None:
+            continue
+        if kind == "card" and size < len(v):
+            for i in range(1, len(v)):
+                later = not v[i - 1].isalnum() and SHAPES.match(text, a + i)
+                if later and (w := later["card"]) and any(digits(w[:e]) > digits(v[:size]) and pseudonym(kind, w[:e], key) for e in ends(kind, w)):
+                    return None
+        return a + size, new
+    return None
+
+
 def rewrite(text: str, key: bytes) -> tuple[str, int]:
     """The text with pseudonyms, and how many."""
     if not SOME.search(text):
@@ -198,12 +237,11 @@ def rewrite(text: str, key: bytes) -> tuple[str, int]:
     while m := SHAPES.search(text, pos):
         kind = next(k for k in KINDS if m[k] is not None)
         a, b = m.span(kind)
-        new = pseudonym(kind, m[kind], key)
-        if new is None:
+        if (done := settle(text, m, kind, key)) is None:
             pos = a + 1 if b - a < 64 else b  # another kind may start inside
             continue
-        out += [text[at:a], new]
-        at = pos = b
+        out += [text[at:a], done[1]]
+        at = pos = done[0]
         n += 1
     out.append(text[at:])
     return "".join(out), n
@@ -229,7 +267,8 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, text with pseudonyms, n_pseudonyms.
 
     Kinds: email addresses, cloud keys, named secrets, long hexadecimal numbers, IBANs, dates, IPv4 addresses, social security,
-    phone and card numbers. What doesn't validate (check digits, octets, calendar, lengths) stays. A null text stays null.
+    phone and card numbers. What doesn't validate (check digits, octets, calendar, lengths) stays; of IBANs and cards that run on into
+    other groups, shorter ends at a group's border are tried. A null text stays null.
     Rows are independent: null and repeated doc_ids pass; extra columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
