@@ -167,6 +167,22 @@ def test_quality_measures_and_verdicts(spark, sf):
     assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(not r.kept for r in bad) >= 0.8 * len(bad)
 
 
+def test_quality_votes_do_not_depend_on_size(spark):
+    r = random.Random(3)
+    poor = [r.choice([f"w{i:03d}." for i in range(150)]) for _ in range(6000)]
+    rich = [f"{i % 2500:04d}" for i in range(7500)]
+    glued = " ".join("".join(r.choice("abcdefABCDEF0123") for _ in range(60)) for _ in range(30))
+    han = " ".join("".join(chr(0x4E00 + r.randrange(3000)) for _ in range(20)) for _ in range(30))
+    texts = [" ".join(poor), " ".join(poor[:4999]), " ".join(poor[:1500]), " ".join(rich), glued, han, han.replace(" ", "a" * 30 + " ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = quality.votes()
+    seen = quality.stage(quality.measured(docs).select("doc_id", "n_repeat_words", *[c.alias(k) for k, c in rules.items()]), "votes")
+    got = {x.doc_id: x for x in seen.collect()}
+    assert [got[i].n_repeat_words for i in range(3)] == [0, 0, 0]
+    assert [got[i].v_variety for i in range(7)] == [-1, -1, -1, 1, 1, 1, 1]
+    assert [got[i].v_length for i in range(4, 7)] == [-1, 0, -1]
+
+
 def test_quality_odd_rows(spark):
     texts = ["a b c d e f g h " * 4, "x\ny\nx\n \n\nx", "ß😀 é", "w " * 9, " ".join(map(str, range(40))) + " # | <b>"]
     odd = odd_documents(spark, texts)

@@ -17,6 +17,9 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"  # scripts that don't part words by spaces
+LONG = 7.2  # mean characters of a word
+BLOCK = 1000  # words among which variety is measured
 
 
 @dataclass(frozen=True)
@@ -42,7 +45,8 @@ class Quality:
 
 def measured(docs: DataFrame, window: int = 8) -> DataFrame:
     """docs (doc_id, text, whatever else) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and for the rules
-    n_lines, n_distinct, n_bangs and n_stops (sentence ends). Windows and lines are compared by 64-bit hashes within their text."""
+    n_lines, n_distinct (mean of distinct words in blocks of BLOCK words, the last of them ending with the text; of a shorter text, its
+    distinct words), n_unspaced (characters of scripts without spaces, counted where words are long), n_bangs and n_stops (sentence ends). Windows and lines are compared by 64-bit hashes within their text."""
     text = F.coalesce("text", F.lit(""))
     inner = F.btrim(text, F.lit(SPACES))
     df = docs.withColumn("_w", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE)))
@@ -58,8 +62,12 @@ def measured(docs: DataFrame, window: int = 8) -> DataFrame:
     starts = F.sequence(F.lit(0), F.col("n_words").cast("int") - window)
     each = F.transform(starts, lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(window)]))
     df = df.withColumn("_g", F.when(F.col("n_words") > window, each))
+    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_words") / BLOCK) - 1, F.lit(0)).cast("int"))
+    first = lambda i: F.greatest(F.least(i * BLOCK, F.size("_h") - BLOCK), F.lit(0)) + 1
+    distinct = F.transform(blocks, lambda i: F.size(F.array_distinct(F.slice("_h", first(i), BLOCK))))
     df = df.withColumns({
-        "n_distinct": F.size(F.array_distinct("_h")).cast("long"),
+        "n_distinct": F.aggregate(distinct, F.lit(0), lambda a, x: a + x) / F.size(blocks),
+        "n_unspaced": F.when(F.col("word_chars") >= LONG * F.col("n_words"), F.regexp_count(text, F.lit(UNSPACED))).otherwise(F.lit(0)).cast("long"),
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "_s": F.when(
@@ -80,6 +88,7 @@ def votes() -> dict[str, Column]:
     """Each rule votes 1 (quality), -1 (none) or 0 (it abstains)."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     rate = lambda c: F.col(c) / n
+    variety = F.col("n_distinct") / F.least(n, F.lit(BLOCK))
     length, lines = rate("word_chars"), F.greatest(F.col("n_lines"), F.lit(1))
 
     def vote(good: Column, bad: Column) -> Column:
@@ -87,10 +96,10 @@ def votes() -> dict[str, Column]:
 
     return {
         "v_symbols": vote(rate("n_symbols") <= 0.02, rate("n_symbols") > 0.1),
-        "v_length": vote(length.between(3.5, 6.5), (length < 2.5) | length.between(7.2, 14)),
+        "v_length": vote(length.between(3.5, 6.5), (length < 2.5) | ((length >= LONG) & (2 * F.col("n_unspaced") < F.col("word_chars")))),
         "v_repeats": vote(rate("n_repeat_words") <= 0.05, rate("n_repeat_words") > 0.25),
         "v_lines": vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") / lines > 0.4),
-        "v_variety": vote(rate("n_distinct") >= 0.4, (rate("n_distinct") < 0.3) & (n < 5000)),
+        "v_variety": vote(variety >= 0.4, variety < 0.3),
         "v_bangs": vote(F.col("n_bangs") == 0, rate("n_bangs") > 0.3),
         "v_stops": vote(rate("n_stops").between(0.02, 0.3), (F.col("n_stops") == 0) & (n >= 50)),
     }
