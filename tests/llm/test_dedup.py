@@ -118,17 +118,25 @@ def brute_removal(docs):
     return sorted(out)
 
 
-def removal(df):
+def removal(df, **how):
     from pyspark.sql import functions as F
 
-    return sorted(tuple(r) for r in substring.remove_repeated_windows(df).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect())
+    return sorted(tuple(r) for r in substring.remove_repeated_windows(df, **how).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect())
 
 
-def test_removal_on_tables_over_many_tasks(spark, sf, monkeypatch):
+def test_removal_on_tables_over_many_tasks(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     want = brute_removal([tuple(r) for r in docs.collect()])
     assert removal(docs.repartition(7)) == want
     assert removal(docs.coalesce(1)) == want
+    assert removal(docs.repartition(2), segment_windows=3000) == want  # several segments in each task
+
+
+def test_removal_where_one_id_has_many_texts(spark):
+    """Far more texts than a 16-bit key could tell apart, of several lengths, under one id."""
+    first = " ".join(f"w{i}" for i in range(40))
+    docs = [(1, first)] + [(7, " ".join(f"x{i}_{k}" for k in range(2 + i % 5)) + (" " + first if i % 3 == 0 else "")) for i in range(3000)]
+    assert removal(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute_removal(docs)
 
 
 def test_removal_odd_rows(spark):

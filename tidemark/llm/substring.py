@@ -16,12 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import partitions_for
-from tidemark.llm._words import span_hashes, text_parts, window_hashes, window_starts, word_spans
+from tidemark.llm._shared import cut, partitions_for
+from tidemark.llm._words import BASES, span_hashes, text_parts, window_hashes, window_starts, word_spans
 
 WINDOW = 13
 SEGMENT_WINDOWS = 600_000
 BUCKET_BYTES = 8 << 20
+MAX_BROADCAST = 100_000  # rows of a doc_id each
 PIECE_SCHEMA = "bucket int, hashes binary, places binary, found binary"
 
 
@@ -41,6 +42,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high 32 bits of 64-bit integers."""
+    return (x & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (x >> 32).astype(np.int32)
+
+
+def whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (high.astype(np.int64) << 32) | low.view(np.uint32).astype(np.int64)
+
+
 def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x[:1] * 0)
 
@@ -64,15 +74,16 @@ class Segment:
         starts, ends, first = word_spans(buf, offs)
         rows, at = window_starts(first, size)
         if len(at):
-            hashes = window_hashes(span_hashes(buf, starts, ends), size)[at]
-            self.parts.append((hashes, ids[rows], marks[rows], (at - first[:-1][rows]).astype(np.int32)))
+            words = span_hashes(buf, starts, ends)
+            hashes, other = window_hashes(words, size)[at], window_hashes(words, size, BASES[3])[at]
+            self.parts.append((hashes, (other >> np.uint64(32)).astype(np.uint32), ids[rows], marks[rows], (at - first[:-1][rows]).astype(np.int32)))
             self.count += len(at)
 
     def flush(self, buckets: int) -> Iterator[pa.RecordBatch]:
         """Entries for other tasks, by bucket, and windows already known to repeat a smaller doc_id of this segment."""
         if not self.parts:
             return
-        hashes, ids, marks, places = (np.concatenate(c) for c in zip(*self.parts))
+        hashes, other, ids, marks, places = (np.concatenate(c) for c in zip(*self.parts))
         self.__init__()
         order = np.lexsort((ids, hashes))
         least = np.empty(len(ids), np.int64)
@@ -84,7 +95,7 @@ class Segment:
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), none(len(to)), none(len(to)), pa.array(blobs, pa.binary())], names=["bucket", "hashes", "places", "found"])
         keep = ~later
         hashes, ids, marks, places = hashes[keep], ids[keep], marks[keep], places[keep]
-        bucket = ((hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+        bucket = (other[keep] % np.uint32(buckets)).astype(np.int32)  # by a hash of its own, so windows of one bucket agree in that too
         order = np.argsort(bucket, kind="stable")  # documents and places stay in order within a bucket
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         out = []
@@ -96,8 +107,8 @@ class Segment:
             head = np.flatnonzero(new)
             runs = np.diff(np.append(head, len(at)))
             doc = d[head]
-            low, high = (doc & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (doc >> 32).astype(np.int32)
-            out.append((int(b), hashes[at].tobytes(), pack(deltas(p), runs, deltas(low), deltas(high), m[head])))
+            low, high = halves(doc)
+            out.append((int(b), hashes[at].tobytes(), pack(deltas(p), runs, deltas(low), deltas(high), *halves(m[head]))))
         for i in range(0, len(out), 64):
             b, h, pl = zip(*out[i : i + 64])
             n = len(b)
@@ -123,8 +134,8 @@ def found_packs(ids: np.ndarray, marks: np.ndarray, places: np.ndarray, buckets:
         heads, docs = np.flatnonzero(new), np.flatnonzero(doc)
         per = np.diff(np.append(np.searchsorted(heads, docs), len(heads)))
         lengths = p[np.append(heads[1:], len(p)) - 1] - p[heads] + 1
-        low, high = (d[docs] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (d[docs] >> 32).astype(np.int32)
-        out.append((int(b), pack(deltas(low), deltas(high), m[docs], per, deltas(p[heads]), lengths)))
+        low, high = halves(d[docs])
+        out.append((int(b), pack(deltas(low), deltas(high), *halves(m[docs]), per, deltas(p[heads]), lengths)))
     return out
 
 
@@ -132,8 +143,8 @@ def found_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """One row for each document (doc_id and mark) of the packs, with the starts of its windows that go."""
     parts = []
     for blob in blobs:
-        low, high, marks, per, heads, lengths = unpack(blob)
-        ids = (np.cumsum(high, dtype=np.int32).astype(np.int64) << 32) | np.cumsum(low, dtype=np.int32).view(np.uint32).astype(np.int64)
+        low, high, m_low, m_high, per, heads, lengths = unpack(blob)
+        ids, marks = whole(np.cumsum(low, dtype=np.int32), np.cumsum(high, dtype=np.int32)), whole(m_low, m_high)
         parts.append((np.repeat(ids, per), np.repeat(marks, per), np.cumsum(heads, dtype=np.int32), lengths))
     if not parts:
         return
@@ -168,7 +179,7 @@ def of_intervals(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(flat[0::2]), flat[1::2]
 
 
-def _hash_windows(size: int, buckets: int):
+def _hash_windows(size: int, buckets: int, segment_windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = Segment()
         for batch in batches:
@@ -177,7 +188,7 @@ def _hash_windows(size: int, buckets: int):
             marks = batch.column("mark").to_numpy(zero_copy_only=False)
             for i, j, buf, offs in text_parts(batch.column("text")):
                 segment.add(ids[i:j], marks[i:j], buf, offs, size)
-                if segment.count >= SEGMENT_WINDOWS:
+                if segment.count >= segment_windows:
                     yield from segment.flush(buckets)
         yield from segment.flush(buckets)
 
@@ -208,35 +219,35 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated(hashes: list[np.ndarray], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, marks and places of entries whose hash has a smaller doc_id."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     if not blobs:
         return none
     ends = np.cumsum([0, *map(len, hashes)])
-    whole = np.concatenate(hashes)
+    keys = np.concatenate(hashes)
     hashes.clear()
-    order = np.argsort(whole)
-    whole = whole[order]
-    twice = np.zeros(len(whole), bool)
-    twice[1:] = whole[1:] == whole[:-1]
+    order = np.argsort(keys)
+    keys = keys[order]
+    twice = np.zeros(len(keys), bool)
+    twice[1:] = keys[1:] == keys[:-1]
     twice[:-1] |= twice[1:]
-    order, whole = order[twice], whole[twice]
+    order, keys = order[twice], keys[twice]
     # only places of repeated windows are unpacked and kept, a blob at a time
     back = np.argsort(order)
-    order, whole = order[back], whole[back]
+    order, keys = order[back], keys[back]
     kept = []
     for k, blob in enumerate(blobs):
         at = order[np.searchsorted(order, ends[k]) : np.searchsorted(order, ends[k + 1])] - ends[k]
         if len(at):
-            places, runs, low, high, marks = unpack(blob)
-            doc = (np.cumsum(high, dtype=np.int32).astype(np.int64) << 32) | np.cumsum(low, dtype=np.int32).view(np.uint32).astype(np.int64)
+            places, runs, low, high, m_low, m_high = unpack(blob)
+            doc, marks = whole(np.cumsum(low, dtype=np.int32), np.cumsum(high, dtype=np.int32)), whole(m_low, m_high)
             of = np.repeat(np.arange(len(runs)), runs)[at]
             kept.append((doc[of], marks[of], np.cumsum(places, dtype=np.int32)[at]))
     if not kept:
         return none
     ids, marks, places = (np.concatenate(c) for c in zip(*kept))
-    order = np.lexsort((ids, whole))
+    order = np.lexsort((ids, keys))
     own = ids[order]
-    order = order[own > own[groups(whole[order])]]
+    order = order[own > own[groups(keys[order])]]
     return ids[order], marks[order], places[order]
 
 
@@ -268,21 +279,34 @@ def _rebuild(size: int):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, mark): mark is 0, or a 64-bit hash of the text where a doc_id has several different texts, by which its rows are told apart."""
+    h = F.xxhash64("text")
+    several = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo != hi").select("doc_id", F.lit(True).alias("_s")))
+    n = several.count()
+    if not n:
+        return docs.withColumn("mark", F.lit(0).cast("long"))
+    several = F.broadcast(several) if n <= MAX_BROADCAST else several
+    return docs.join(several, "doc_id", "left").select("doc_id", "text", F.when(F.col("_s"), h).otherwise(F.lit(0).cast("long")).alias("mark"))
+
+
+def remove_repeated_windows(docs: DataFrame, size: int = WINDOW, segment_windows: int = SEGMENT_WINDOWS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window of `size` consecutive words that covers it also starts in a document with a smaller
-    doc_id. Windows are judged on the input. Hashes have 64 bits; rows of one doc_id are told apart by 16 bits of their text's hash.
+    doc_id. Windows are judged on the input, by a hash of 64 bits among those that a second hash deals to the same of b buckets: of n
+    windows about n**2 / (b * 2**65) go by chance. b grows with the input; for 100 TB (1e13 windows, 12 million buckets) that is less than one.
+    A task settles repeats among segment_windows at a time before it sends the rest on.
 
     A null text has no words. Rows with a null doc_id lose nothing and make no other row lose anything. Rows that
     share a doc_id are each judged against smaller doc_ids only, so a repeated row changes nothing. Extra columns are
     ignored; no rows give no rows.
     """
-    docs = docs.select("doc_id", "text", F.hash("text").bitwiseAND(0xFFFF).alias("mark"))
+    docs = marked(docs.select("doc_id", "text"))
     buckets = partitions_for(docs, BUCKET_BYTES)
-    pieces = docs.mapInArrow(_hash_windows(size, buckets), PIECE_SCHEMA)
+    pieces = docs.mapInArrow(_hash_windows(size, buckets, segment_windows), PIECE_SCHEMA)
     across = pieces.repartition(buckets, "bucket").mapInArrow(_count(buckets), "bucket int, found binary")
-    found = across.repartition(buckets, "bucket").mapInArrow(_merge, "doc_id bigint, mark int, found binary")
+    found = across.repartition(buckets, "bucket").mapInArrow(_merge, "doc_id bigint, mark bigint, found binary")
     return docs.join(found, ["doc_id", "mark"], "left").mapInArrow(_rebuild(size), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
