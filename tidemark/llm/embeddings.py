@@ -21,7 +21,7 @@ from tidemark.llm._shared import cut
 from tidemark.llm.components import connected_components
 
 STEPS = 127  # quantised coordinates of unit vectors are -127 .. 127
-GRID = 2  # coordinates of a block that make its grid
+GRID = 3  # coordinates of a block that make its grid
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Pigeonhole:
 
     cosine: float = 0.95
     blocks: int = 8
-    cell: float = 0.09
+    cell: float = 0.16
     chunk: int = 4096
 
 
@@ -55,9 +55,15 @@ class Budget:
         self.whole = limit(1.0, dims)
 
 
+def units(flat: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square overflows or vanishes."""
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
+    return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+
+
 def unit_int8(flat: np.ndarray) -> np.ndarray:
     """Rows rotated and quantised."""
-    unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    unit = units(flat)
     return np.rint(unit @ rotation(flat.shape[1]) * STEPS).astype(np.int8)
 
 
@@ -192,6 +198,7 @@ def _confirm(cosine: float):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.asarray(batch.column(c).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1) for c in ("va", "vb"))
+                x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))
                 dot = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
                 yield batch.select(["a", "b"]).filter(pa.array(dot >= cosine))
 
@@ -202,7 +209,7 @@ def candidate_pairs(vectors: DataFrame, dims: int, p: Pigeonhole) -> DataFrame:
     """Pairs (a < b) of vec_ids, each once, among which are all with that cosine. vectors: vec_id not null, v of dims finite values, not all 0."""
     spark = vectors.sparkSession
     counts = vectors.mapInArrow(_counts(dims, p), "block int, cell bigint, n bigint").groupBy("block", "cell").agg(F.sum("n").alias("n"))
-    # at most blocks * (2 / cell + 2)**GRID rows, however many vectors: 4,000 here
+    # at most blocks * (2 / cell + 3)**GRID rows, however many vectors: 30,000 here
     parts = {(r.block, r.cell): -(-r.n // p.chunk) for r in counts.collect()}
     dealt = vectors.mapInArrow(_deal(dims, p, parts), "block int, cell bigint, part int, kind int, ids binary, vectors binary")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, sum(parts.values())) // 16, 1)
@@ -213,10 +220,10 @@ def candidate_pairs(vectors: DataFrame, dims: int, p: Pigeonhole) -> DataFrame:
 def near_duplicate_vectors(rows: DataFrame, p: Pigeonhole = Pigeonhole()) -> DataFrame:
     """One row per row of rows (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    Vectors link if their cosine in double precision is p.cosine or more. A vector that is null, empty, zero or holds a null or
-    non-finite component links with nothing, as does one of a length other than the usual (the commonest; the larger of two as common).
-    A row with a null vec_id links with nothing and is kept, with a null component_id. Rows that share a vec_id are one vector:
-    the least by value; exact repeats change nothing. Extra columns are ignored; no rows give no rows.
+    Vectors of one length link if their cosine in double precision is p.cosine or more; those of other lengths are compared among themselves. Equal
+    vectors are one class, joined once by its least vec_id and counted, so copies aren't paired. A vector that is null, empty, zero or holds a null or
+    non-finite component links with nothing. A row with a null vec_id links with nothing and is kept, with a null component_id. Rows that share a vec_id
+    are one vector: the least by value; exact repeats change nothing. Extra columns are ignored; no rows give no rows.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     whole = rows.select("vec_id", v.alias("v")).where(
@@ -225,24 +232,33 @@ def near_duplicate_vectors(rows: DataFrame, p: Pigeonhole = Pigeonhole()) -> Dat
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
-    usual = whole.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    each = whole.groupBy("vec_id").agg(F.min("v").alias("v"))
+    # equal vectors are known by 128 bits of hashes; 0.0 for -0.0
+    plain = F.transform("v", lambda x: x + F.lit(0.0))
+    each = cut(each.withColumns({"k1": F.xxhash64(plain), "k2": F.xxhash64(F.lit(1), plain)}))
+    classes = each.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    members = cut(each.select("vec_id", "k1", "k2").join(classes, ["k1", "k2"]).select("vec_id", "rep", "copies"))
+    reps = cut(each.join(members.where("vec_id = rep").select("vec_id", "copies"), "vec_id").select("vec_id", "v", "copies"))
+    links = None
+    for r in reps.groupBy(F.size("v").alias("dims")).count().where("count > 1").collect():  # a row a length that occurs
+        vectors = reps.where(F.size("v") == r.dims)
+        side = lambda x: vectors.select(F.col("vec_id").alias(x), F.col("v").alias(f"v{x}"))  # noqa: E731, B023
+        both = candidate_pairs(vectors.select("vec_id", "v"), r.dims, p).join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb")
+        found = both.mapInArrow(_confirm(p.cosine), "a bigint, b bigint")
+        links = found if links is None else links.unionByName(found)
     ids = rows.select("vec_id")
-    if usual is None:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    vectors = cut(whole.where(F.size("v") == usual.dims).groupBy("vec_id").agg(F.min("v").alias("v")))
-    pairs = candidate_pairs(vectors, usual.dims, p)
-    both = (
-        pairs.join(vectors.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), "a")
-        .join(vectors.select(F.col("vec_id").alias("b"), F.col("v").alias("vb")), "b")
-        .select("a", "b", "va", "vb")
-    )
-    links = cut(both.mapInArrow(_confirm(p.cosine), "a bigint, b bigint"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("n_links"))
-    component = connected_components(links).withColumnRenamed("id", "vec_id")
+    if links is None:
+        links = rows.sparkSession.createDataFrame([], "a bigint, b bigint")
+    links = cut(links)
+    copies = reps.select("vec_id", "copies")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = ends.join(copies.withColumnRenamed("vec_id", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    component = connected_components(links).withColumnRenamed("id", "rep")
+    known = members.join(degree, "rep", "left").join(component, "rep", "left")
+    known = known.select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     return (
-        ids.join(degree, "vec_id", "left")
-        .join(component, "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        ids.join(known, "vec_id", "left")
+        .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", F.col("vec_id").cast("long")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
 
