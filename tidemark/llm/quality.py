@@ -17,6 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
+BARE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{M}\p{N}]+(?![^\x20\x09-\x0D])"
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"  # scripts that don't part words by spaces
 LONG = 7.2  # mean characters of a word
 BLOCK = 1000  # words among which variety is measured
@@ -24,29 +25,30 @@ BLOCK = 1000  # words among which variety is measured
 
 @dataclass(frozen=True)
 class Quality:
-    """rounds of expectation-maximisation from the given start; a document is kept from a posterior of least.
+    """rounds of expectation-maximisation at most, from the given start; a document is kept from a posterior of least.
 
-    good and bad are P(a vote for quality | good or bad document, the rule votes) at the start; a document of low quality
-    fails a few of the rules only, so bad starts high. The bounds keep the two classes from changing places.
+    good and bad are P(a vote for quality | good or bad document, the rule votes) at the start and of a weak prior that counts as `weight`
+    documents for each class and rule; the votes of all documents decide the rest, and no estimate is bounded otherwise. A document of low quality fails
+    some of the rules only, so bad starts above a half.
     """
 
     window: int = 8
     min_words: int = 20
     max_repeat_percent: int = 30
-    rounds: int = 12
+    rounds: int = 40
     prior: float = 0.9
-    good: float = 0.997
-    bad: float = 0.8
-    good_bounds: tuple[float, float] = (0.995, 0.9999)
-    bad_bounds: tuple[float, float] = (0.05, 0.95)
-    prior_bounds: tuple[float, float] = (0.5, 0.99)
+    good: float = 0.98
+    bad: float = 0.7
+    weight: float = 2.0
+    settled: float = 1e-6
     least: float = 0.5
 
 
 def measured(docs: DataFrame, window: int = 8) -> DataFrame:
     """docs (doc_id, text, whatever else) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and for the rules
     n_lines, n_distinct (mean of distinct words in blocks of BLOCK words, the last of them ending with the text; of a shorter text, its
-    distinct words), n_unspaced (characters of scripts without spaces, counted where words are long), n_bangs and n_stops (sentence ends). Windows and lines are compared by 64-bit hashes within their text."""
+    distinct words), n_unspaced (characters of scripts without spaces, counted where words are long), n_bangs, n_stops (sentence ends), n_runs (runs of
+    symbols), n_bare (words without a letter or digit) and n_twice (words equal to the one before). Windows and lines are compared by 64-bit hashes within their text."""
     text = F.coalesce("text", F.lit(""))
     inner = F.btrim(text, F.lit(SPACES))
     df = docs.withColumn("_w", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE)))
@@ -56,6 +58,8 @@ def measured(docs: DataFrame, window: int = 8) -> DataFrame:
         "_h": F.transform("_w", lambda w: F.xxhash64(w)),
         "_l": F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(x)),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
+        "n_runs": F.regexp_count(text, F.lit(SYMBOL + "+")).cast("long"),
+        "n_bare": F.regexp_count(text, F.lit(BARE)).cast("long"),
         "n_bangs": ((F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("")))) / 2).cast("long"),
         "n_stops": (F.length(text) - F.length(F.replace(F.replace(F.replace(text, F.lit(".")), F.lit("!")), F.lit("?")))).cast("long"),
     }).drop("_w")
@@ -68,6 +72,8 @@ def measured(docs: DataFrame, window: int = 8) -> DataFrame:
     df = df.withColumns({
         "n_distinct": F.aggregate(distinct, F.lit(0), lambda a, x: a + x) / F.size(blocks),
         "n_unspaced": F.when(F.col("word_chars") >= LONG * F.col("n_words"), F.regexp_count(text, F.lit(UNSPACED))).otherwise(F.lit(0)).cast("long"),
+        "n_twice": F.when(F.col("n_words") > 1, F.aggregate(F.zip_with(F.slice("_h", F.lit(1), F.size("_h") - 1), F.slice("_h", F.lit(2), F.size("_h") - 1), lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x))
+        .otherwise(0).cast("long"),
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "_s": F.when(
@@ -96,6 +102,9 @@ def votes() -> dict[str, Column]:
 
     return {
         "v_symbols": vote(rate("n_symbols") <= 0.02, rate("n_symbols") > 0.1),
+        "v_runs": vote(rate("n_runs") <= 0.05, rate("n_runs") > 0.2),
+        "v_bare": vote(rate("n_bare") <= 0.05, rate("n_bare") > 0.2),
+        "v_twice": vote(rate("n_twice") <= 0.05, rate("n_twice") > 0.3),
         "v_length": vote(length.between(3.5, 6.5), (length < 2.5) | ((length >= LONG) & (2 * F.col("n_unspaced") < F.col("word_chars")))),
         "v_repeats": vote(rate("n_repeat_words") <= 0.05, rate("n_repeat_words") > 0.25),
         "v_lines": vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") / lines > 0.4),
@@ -115,23 +124,24 @@ def posterior(rules: list[str], model: dict[str, float]) -> Column:
 
 
 def fit(patterns: DataFrame, rules: list[str], q: Quality) -> dict[str, float]:
-    """The model of largest likelihood near the start. patterns: the rules' votes and n, how often; 3**rules rows at most, whatever the corpus.
+    """The model of largest posterior likelihood near the start: prior, and g_<rule> and b_<rule>, the shares of votes for quality among good and bad documents.
 
-    Each round is one aggregation that gives one row."""
+    patterns: the rules' votes and n, how often; a row for each pattern of votes that occurs, 3**rules at most whatever the corpus. Each round is one aggregation that gives one row."""
     model = {"prior": q.prior} | {f"g_{r}": q.good for r in rules} | {f"b_{r}": q.bad for r in rules}
-    clamp = lambda x, lo_hi: min(max(x, lo_hi[0]), lo_hi[1])
     for _ in range(q.rounds):
         p = patterns.withColumn("_p", posterior(rules, model))
         good, bad = F.col("n") * F.col("_p"), F.col("n") * (1 - F.col("_p"))
 
-        def share(weight: Column, r: str, start: float) -> Column:  # smoothed by one document of the start's share
-            return (F.coalesce(F.sum(F.when(F.col(r) == 1, weight)), F.lit(0.0)) + start) / (F.coalesce(F.sum(F.when(F.col(r) != 0, weight)), F.lit(0.0)) + 1)
+        def share(weight: Column, r: str, start: float) -> Column:
+            of = lambda rows: F.coalesce(F.sum(F.when(rows, weight)), F.lit(0.0))
+            return (of(F.col(r) == 1) + q.weight * start) / (of(F.col(r) != 0) + q.weight)
 
-        aims = [((F.coalesce(F.sum(good), F.lit(0.0)) + q.prior) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("prior")]
+        aims = [((F.coalesce(F.sum(good), F.lit(0.0)) + q.weight * q.prior) / (F.coalesce(F.sum("n"), F.lit(0)) + q.weight)).alias("prior")]
         for r in rules:
             aims += [share(good, r, q.good).alias(f"g_{r}"), share(bad, r, q.bad).alias(f"b_{r}")]
-        now = p.agg(*aims).first().asDict()
-        model = {k: clamp(v, q.prior_bounds if k == "prior" else q.good_bounds if k[0] == "g" else q.bad_bounds) for k, v in now.items()}
+        before, model = model, {k: min(max(v, 1e-9), 1 - 1e-9) for k, v in p.agg(*aims).first().asDict().items()}  # logarithms must exist
+        if max(abs(model[k] - before[k]) for k in model) < q.settled:
+            break
     return model
 
 
