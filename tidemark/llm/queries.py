@@ -73,29 +73,32 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM coded
 """
 
-#: Tags with absolute addresses only; the tables have no others.
+#: Tags with absolute addresses only; the tables have no others. The parts of an address are taken by one pattern, and its spellings made one.
 ORACLE["op9_urls"] = r"""
-WITH RECURSIVE urls AS (
-  SELECT url FROM pages UNION SELECT b FROM (SELECT unnest(regexp_extract_all(html, '(?i)(https?://[^"'' >]+)', 1)) AS b, html FROM pages
-    WHERE regexp_matches(html, '(?i)<(link|meta)[^>]*(canonical|refresh)'))),
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)[^>]*(?:canonical|refresh)[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+raw AS (
+  SELECT url AS a, regexp_extract(tag, '(?i)(https?://[^"'' >]+)', 1) AS b FROM tags WHERE regexp_matches(tag, '(?i)https?://')),
+urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT a FROM raw UNION SELECT b FROM raw),
 parts AS (
-  SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM urls),
+  SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+    regexp_extract(split_part(url, '#', 1), '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?@]*@)?([^/?]*?)(:[0-9]*)?([/?].*)?$', ['scheme', 'who', 'host', 'port', 'more']) AS x FROM urls),
 named AS (
   SELECT url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    CASE WHEN x.scheme = '' THEN split_part(url, '#', 1) ELSE lower(x.scheme) || '://' || x.who || translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      || CASE WHEN x.port IN (':', CASE lower(x.scheme) WHEN 'http' THEN ':80' WHEN 'https' THEN ':443' END) THEN '' ELSE x.port END
+      || CASE WHEN starts_with(x.more, '/') THEN '' ELSE '/' END || x.more END AS node FROM parts),
 rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 ruled AS (
-  SELECT n.url, n.host, n.path, first(r.host || r.path ORDER BY len(r.host || r.path) DESC) AS rule, first(r.verdict ORDER BY len(r.host || r.path) DESC) AS own
-  FROM named n LEFT JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY n.url, n.host, n.path),
-tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)[^>]*(?:canonical|refresh)[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
-edges AS (
-  SELECT split_part(url, '#', 1) AS a, split_part(regexp_extract(tag, '(?i)(https?://[^"'' >]+)', 1), '#', 1) AS b FROM tags WHERE regexp_matches(tag, '(?i)https?://')),
+  SELECT n.url, n.host, n.path, n.node, first(r.host || r.path ORDER BY len(r.host || r.path) DESC) AS rule, first(r.verdict ORDER BY len(r.host || r.path) DESC) AS own
+  FROM named n LEFT JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY n.url, n.host, n.path, n.node),
+edges AS (SELECT x.node AS a, y.node AS b FROM raw JOIN named x ON x.url = raw.a JOIN named y ON y.url = raw.b),
 sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-reach AS (SELECT a, a AS r FROM sides UNION SELECT s.b, q.r FROM reach q JOIN sides s ON s.a = q.a),
+reach AS (SELECT node AS a, node AS r FROM named UNION SELECT s.b, q.r FROM reach q JOIN sides s ON s.a = q.a),
 seen AS (
-  SELECT q.a, bool_or(u.own = 'allow') AS allowed, bool_or(u.own = 'block') AS blocked FROM reach q JOIN ruled u ON split_part(u.url, '#', 1) = q.r GROUP BY q.a)
+  SELECT q.a, bool_or(u.own = 'allow') AS allowed, bool_or(u.own = 'block') AS blocked FROM reach q JOIN ruled u ON u.node = q.r GROUP BY q.a)
 SELECT p.page_id, coalesce(u.host, '') AS host, coalesce(u.path, '') AS path, u.rule,
   coalesce(u.own, CASE WHEN s.blocked AND NOT coalesce(s.allowed, false) THEN 'block' END, 'allow') AS verdict
-FROM pages p LEFT JOIN ruled u ON u.url = p.url LEFT JOIN seen s ON s.a = split_part(p.url, '#', 1)
+FROM pages p LEFT JOIN ruled u ON u.url = p.url LEFT JOIN seen s ON s.a = u.node
 """

@@ -43,6 +43,16 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, *LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def node(url: Column) -> Column:
+    """The url that stands for all spellings of its address: no fragment, A-Z of scheme and host lower-cased, no default port, / for an empty path."""
+    u = F.split_part(url, F.lit("#"), F.lit(1))
+    part = lambda k: F.regexp_extract(u, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?@]*@)?([^/?]*?)(:[0-9]*)?([/?].*)?$", k)
+    scheme, host, port, rest = F.translate(part(1), *LOWER), F.translate(part(3), *LOWER), part(4), part(5)
+    usual = (port == ":") | ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443"))
+    whole = F.concat(scheme, F.lit("://"), part(2), host, F.when(usual, F.lit("")).otherwise(port), F.when(rest.startswith("/"), F.lit("")).otherwise(F.lit("/")), rest)
+    return F.when(scheme == "", u).otherwise(whole)
+
+
 def matched(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     """Name and verdict of the longest rule that fits; null without one. A rule fits its host and all subdomains."""
     ordered = sorted(rules, key=lambda r: (-len(r.name), r.name))
@@ -57,7 +67,7 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z:_-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
 
 def targets_of(url: str, tags: list[str]) -> list[str]:
-    """Absolute urls, without fragments, that a page's link and meta tags name as its canonical address or redirect to."""
+    """Absolute urls that a page's link and meta tags name as its canonical address or redirect to."""
     out = []
     for tag in tags:
         a = {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(tag)}
@@ -68,7 +78,7 @@ def targets_of(url: str, tags: list[str]) -> list[str]:
             to = m[1]
         if to and to.strip():
             try:
-                out.append(urljoin(url, to.strip()).split("#")[0])
+                out.append(urljoin(url, to.strip()))
             except ValueError:
                 pass
     return out
@@ -79,7 +89,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for url, tags in zip(batch.column("url").to_pylist(), batch.column("tags").to_pylist()):
             for to in targets_of(url, tags):
-                a.append(url.split("#")[0])
+                a.append(url)
                 b.append(to)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
@@ -98,27 +108,31 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: Dat
     """One row per row of pages (page_id, url, html): page_id, host, path, rule, verdict.
 
     verdict is the rule's. Without a rule: block if an alias is blocked by a rule and none is allowed by one, else allow. Aliases
-    are all urls, also of no page, reachable by canonical links, meta redirects and rows of `redirects` (a, b); fragments don't count.
-    A null url has an empty host and path and no alias; null html names none. Null and repeated page_ids are rows like any
-    other; extra columns are ignored; no rows give no rows. The rules are parameters, compiled into one expression.
+    are all urls, also of no page, reachable by canonical links, meta redirects and rows of `redirects` (a, b); urls that differ in the fragment, the case of
+    scheme and host, a default port or an empty path are one. A null url has an empty host and path and no alias; null html names none. Null and repeated
+    page_ids are rows like any other; extra columns are ignored; no rows give no rows. The rules are parameters, compiled into one expression.
     """
     host, path = host_path(F.col("url"))
     own = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     name, verdict = matched(F.col("host"), F.col("path"), rules)
-    own = own.withColumns({"rule": name, "own": verdict})
+    own = own.withColumns({"rule": name, "own": verdict, "node": node(F.col("url"))})
     edges = alias_edges(pages.select("url", "html"))
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(*[F.split_part(c, F.lit("#"), F.lit(1)).alias(c) for c in ("a", "b")]))
-    groups = connected_components(cut(edges))
-    h, p = host_path(F.col("id"))
+        edges = edges.unionByName(redirects.select("a", "b"))
+    edges = cut(edges)
+    groups = connected_components(edges.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
+    h, p = host_path(F.col("url"))
+    named = edges.select(F.explode(F.array("a", "b")).alias("url")).where("url is not null").distinct()
     _, said = matched(F.col("h"), F.col("p"), rules)
-    ruled = groups.select("id", "component", h.alias("h"), p.alias("p")).select("id", "component", said.alias("said"))
-    decided = ruled.groupBy("component").agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
-    blocked = decided.where("blocked and not coalesce(allowed, false)").select("component")
-    aliases = groups.join(blocked, "component", "left_semi").select(F.col("id").alias("node"), F.lit(True).alias("aliased"))
+    named = named.select(node(F.col("url")).alias("node"), h.alias("h"), p.alias("p")).select("node", said.alias("said"))
+    ruled = named.unionByName(own.select("node", F.col("own").alias("said"))).where("said is not null and node is not null")
+    members = groups.select(F.col("id").alias("node"), "component")
+    placed = ruled.groupBy("node").agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked")).join(members, "node", "left")
+    decided = placed.groupBy(F.coalesce("component", "node").alias("component")).agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
+    blocked = decided.where("blocked and not allowed").select("component")
+    aliases = blocked.join(members, "component", "left").select(F.coalesce("node", "component").alias("node"), F.lit(True).alias("aliased"))
     return (
-        own.withColumn("node", F.split_part("url", F.lit("#"), F.lit(1)))
-        .join(aliases, "node", "left")
+        own.join(aliases, "node", "left")
         .select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("aliased"), "block"), F.lit("allow")).alias("verdict"))
     )
 
