@@ -14,7 +14,7 @@ def test_each_stage_takes_effect(spark, sf):
     two = minhash.stage_near_duplicates(spark, one, sf)
     assert {r.doc_id for r in two.collect()} == {r.doc_id for r in minhash.near_duplicates(one).where("kept").collect()}
     three = pii.stage_pii(spark, two, sf)
-    assert {(r.doc_id, r.text, r.n_chars) for r in three.collect()} == {(r.doc_id, pii.rewrite(r.text, pii.KEY)[0], len(pii.rewrite(r.text, pii.KEY)[0])) for r in two.collect()}
+    assert {(r.doc_id, r.text, r.n_chars) for r in three.collect()} == {(r.doc_id, pii.rewrite(r.text, pii.session_key(spark))[0], len(pii.rewrite(r.text, pii.session_key(spark))[0])) for r in two.collect()}
     four = mixing.stage_mix(spark, three, sf)
     want = {r.doc_id: r.copies for r in mixing.mix(three).where("copies > 0").collect()}
     assert {r.doc_id: r.n for r in four.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == want and four.columns == docs.columns

@@ -11,13 +11,14 @@ import datetime
 import functools
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = b"change-me: a cluster passes its own key"
+KEY_SETTING = "spark.tidemark.pii.key"
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ACCENTED = "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])), "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
@@ -42,6 +43,15 @@ SHAPES = re.compile(
 SOME = re.compile(r"[0-9@=:]|A[KS]IA")
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's setting spark.tidemark.pii.key. Without one, a random key is drawn and set for this session: pseudonyms then agree within it, and nobody can undo them later."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0 .. size - 1: an unbalanced Feistel network, walked until the result is in range."""
     if size < 2:
@@ -99,10 +109,15 @@ def iban_check(country: str, rest: str) -> str:
 
 
 def email(v: str, key: bytes) -> str:
-    """The local part, and of the domain all but the last label, on their own: addresses of a domain stay of one domain."""
+    """The local part, and of the domain all but the last label, on their own: addresses of a domain stay of one domain. Case doesn't count, and stays in place."""
     local, domain = v.rsplit("@", 1)
     head, _, top = domain.rpartition(".")
-    return f"{permute_string(local, key, 'local')}@{permute_string(head, key, 'domain')}.{top}"
+    new = f"{permute_string(ascii_lower(local), key, 'local')}@{permute_string(ascii_lower(head), key, 'domain')}.{top}"
+    return "".join(n.upper() if "A" <= c <= "Z" else n for c, n in zip(v, new))
+
+
+def ascii_lower(v: str) -> str:
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in v)
 
 
 def secret(v: str, key: bytes) -> str:
@@ -162,12 +177,22 @@ def ssn(v: str, key: bytes) -> str | None:
     return f"{a + (a >= 666):03d}-{g + 1:02d}-{s + 1:04d}"
 
 
+# Country calling codes of one and of two digits; all others have three.
+CODES_1 = "1 7".split()
+CODES_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def country_code(digits: str) -> int:
+    """How many of an international number's digits are its country's."""
+    return 1 if digits[:1] in CODES_1 else 2 if digits[:2] in CODES_2 else 3
+
+
 def phone(v: str, key: bytes) -> str | None:
-    """A country code stays."""
+    """A country code stays, and is known with or without a separator behind it; numbers without a code are numbers of their own."""
     digits = re.sub("[^0-9]", "", v)
     if not 9 <= len(digits) <= 15:
         return None
-    code = len(re.match(r"\+?([0-9]*)", v)[1]) if v[0] == "+" and re.match(r"\+[0-9]{1,3}[ .(-]", v) else 0
+    code = country_code(digits) if v[0] == "+" else 0
     rest = digits[code:]
     return refill(v, digits[:code] + str(permute(int(rest), 10 ** len(rest), key, f"phone{digits[:code]}|{len(rest)}")).zfill(len(rest)))
 
@@ -263,8 +288,8 @@ def _rewrite(key: bytes, count: bool):
     return run
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, text with pseudonyms, n_pseudonyms.
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, text with pseudonyms under the secret key, n_pseudonyms.
 
     Kinds: email addresses, cloud keys, named secrets, long hexadecimal numbers, IBANs, dates, IPv4 addresses, social security,
     phone and card numbers. What doesn't validate (check digits, octets, calendar, lengths) stays; of IBANs and cards that run on into
@@ -276,10 +301,11 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet"), session_key(spark))
 
 
-def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with pseudonyms in its text; n_chars, if there, is the new text's length."""
-    out = docs.mapInArrow(_rewrite(KEY, False), docs.schema)
+def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """Every row with pseudonyms in its text, by key or the session's; n_chars, if there, is the new text's length. Rows are independent: null ids and
+    texts pass, repeated rows get equal texts, and no rows give no rows."""
+    out = docs.mapInArrow(_rewrite(key or session_key(spark), False), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
