@@ -21,12 +21,15 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Profile:
-    """Vectors of dims signs over n-grams of letters, where all else is one border; at most rows n-gram vectors are kept by a worker."""
+    """Vectors of dims signs over n-grams of letters, where all else is one border; at most rows n-gram vectors are kept by a worker.
+
+    Prototypes go to every task, so `languages` bounds their number (and their size, 2 kB each): more are an error, as no list of languages has that many."""
 
     dims: int = 512
     n: int = 3
     rows: int = 1 << 16
     seed: int = 5
+    languages: int = 20_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -52,17 +55,21 @@ class Space:
     def clear(self) -> None:
         self.codes = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, self.p.dims), np.float32)
+        self.used = 0
+        if not hasattr(self, "vectors"):
+            self.vectors = np.zeros((1024, self.p.dims), np.float32)  # grows by doubling
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.of_letter:
             self.of_letter[code] = np.random.default_rng([self.p.seed, code]).integers(0, 2, self.p.dims).astype(np.int8) * 2 - 1
         return self.of_letter[code]
 
-    def bind(self, gram: int) -> np.ndarray:
-        out = np.ones(self.p.dims, np.int8)
+    def bind(self, grams: np.ndarray) -> np.ndarray:
+        """A row for each n-gram: the product of its letters' vectors, each rolled by its place."""
+        out = np.ones((len(grams), self.p.dims), np.int8)
         for k in range(self.p.n):
-            out = out * np.roll(self.letter((gram >> 21 * k) & 0x1FFFFF), k)
+            codes, at = np.unique((grams >> np.uint64(21 * k)) & np.uint64(0x1FFFFF), return_inverse=True)
+            out *= np.roll(np.stack([self.letter(int(c)) for c in codes]), k, axis=1)[at]
         return out
 
     def rows(self, grams: np.ndarray) -> np.ndarray:
@@ -72,11 +79,16 @@ class Space:
         found = np.searchsorted(self.codes, grams)
         new = grams[(found == len(self.codes)) | (self.codes[np.minimum(found, len(self.codes) - 1)] != grams)] if len(self.codes) else grams
         if len(new):
-            made = np.stack([self.bind(int(g)) for g in new]).astype(np.float32)
+            to = self.used + len(new)
+            if to > len(self.vectors):
+                wider = np.zeros((max(to, 2 * len(self.vectors)), self.p.dims), np.float32)
+                wider[: self.used] = self.vectors[: self.used]
+                self.vectors = wider
+            self.vectors[self.used : to] = self.bind(new)
             codes = np.concatenate([self.codes, new])
-            at = np.concatenate([self.at, len(self.vectors) + np.arange(len(new))])
+            at = np.concatenate([self.at, np.arange(self.used, to)])
             order = np.argsort(codes)
-            self.codes, self.at, self.vectors = codes[order], at[order], np.concatenate([self.vectors, made])
+            self.codes, self.at, self.used = codes[order], at[order], to
             found = np.searchsorted(self.codes, grams)
         return self.at[found]
 
@@ -172,8 +184,8 @@ def identify(docs: DataFrame, prototypes: DataFrame, p: Profile = Profile()) ->
     Prototypes are dims numbers a language and go to all tasks.
     """
     rows = sorted(prototypes.collect(), key=lambda r: r.lang)  # one row a language, never of documents
-    if len(rows) > 20_000:
-        raise ValueError("more languages than any list of languages has")
+    if len(rows) > p.languages:
+        raise ValueError(f"{len(rows)} languages, more than {p.languages}")
     matrix = np.array([r.v for r in rows], np.float64).reshape(len(rows), p.dims)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
     keep = [c for c in ("doc_id", "held_out") if c in docs.columns]
