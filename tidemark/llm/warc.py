@@ -22,7 +22,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import cut, new_path, partitions_for, stage
+from tidemark.llm._shared import cut, new_path, partitions_for, remove, stage
 
 DATE = "2024-01-01T00:00:00Z"  # records made from a table carry no capture time
 FEW_REVISITS = 100_000  # rows of two numbers and a digest: 8 MB
@@ -31,9 +31,11 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Len
 
 @dataclass(frozen=True)
 class Warc:
-    """Equal payloads of min_bytes or more are stored once; archive files end after file_bytes; lines make an index block."""
+    """Equal payloads of min_bytes or more are stored once; archive files end after file_bytes; lines make an index block.
+    The index has index_files files at most, so the list of their key ranges, which every search task gets, stays below 2 MB however much is archived."""
 
     min_bytes: int = 0
+    index_files: int = 4096
     file_bytes: int = 256 << 20
     lines: int = 512
     level: int = 3
@@ -169,8 +171,8 @@ def _index(folder: str, w: Warc):
 
 
 def build_index(captures: DataFrame, folder: str, w: Warc = Warc()) -> DataFrame:
-    """Writes the captures' index into folder; (file, low, high, start, size): one row for each of its files, which are as many as partitions."""
-    n = partitions_for(captures, 8 << 20)
+    """Writes the captures' index into folder; (file, low, high, start, size): one row for each of its files."""
+    n = min(partitions_for(captures, 8 << 20), w.index_files)
     tasks = captures.repartitionByRange(n, F.col("key"), F.col("page_id"), F.col("file"), F.col("start")).sortWithinPartitions("key", "page_id", "file", "start")
     return stage(tasks.mapInArrow(_index(folder, w), "file string, low string, high string, start bigint, size bigint"), "index")
 
@@ -226,7 +228,7 @@ def _search(folder: str, places: dict[str, tuple[int, int]]):
 
 
 def look_up(keys: DataFrame, index: DataFrame, folder: str) -> DataFrame:
-    """Captures of distinct keys (key). What the driver reads is one row for each index file."""
+    """Captures of distinct keys (key). What the driver reads and sends is one row for each index file, of which there are few (Warc.index_files)."""
     files = sorted((r.low, r.high, r.file, r.start, r.size) for r in index.collect())
     ranges = [(f, low, high) for low, high, f, _, _ in files]
     places = {f: (start, size) for _, _, f, start, size in files}
@@ -282,14 +284,14 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> Dat
     return tasks.mapInArrow(slim, READ)
 
 
-def archive_and_read(pages: DataFrame, w: Warc = Warc(), payloads: bool = False) -> DataFrame:
-    """Writes pages (page_id, url, html) to archives in the shared folder, indexes them, looks every url up and reads its records back.
+def archive_and_read(pages: DataFrame, w: Warc = Warc(), payloads: bool = False, folder: str | None = None) -> DataFrame:
+    """Writes pages (page_id, url, html) to archives in folder (by default a new one in the shared folder), indexes them, looks every url up and reads its records back.
 
     One row per row of pages: page_id, url, payload_bytes, payload_digest, record_type, refers_to. A null html is an empty payload and a
     null url an empty one. Of equal payloads of min_bytes or more, rows of the largest page_id are responses (all of them, if it repeats)
     and the others revisits; rows with a null page_id are responses, to which none refers. Extra columns are ignored; no rows give no rows.
     """
-    folder = new_path(pages.sparkSession, "warc")
+    folder = folder or new_path(pages.sparkSession, "warc")
     captures = write_archives(pages, folder, w)
     index = build_index(captures, folder, w)
     found = look_up(captures.select("key").distinct(), index, folder)
@@ -297,4 +299,8 @@ def archive_and_read(pages: DataFrame, w: Warc = Warc(), payloads: bool = False)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+    """The records as read back; the archives themselves are deleted once this table is written."""
+    folder = new_path(spark, "warc")
+    out = stage(archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder=folder).drop("url"), "records")
+    remove(spark, folder)
+    return out
