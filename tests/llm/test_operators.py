@@ -38,7 +38,7 @@ def test_language_odd_rows(spark):
 def test_language_vectors_bind_by_place():
     s = language.Space(language.Profile())
     g = lambda t: sum(ord(c) << 21 * i for i, c in enumerate(t))
-    ab, ba = s.bind(g("abc")).astype(int), s.bind(g("cba")).astype(int)
+    ab, ba = s.bind(np.array([g("abc"), g("cba")], np.uint64)).astype(int)
     assert abs(ab @ ba) < 150 and ab @ ab == 512
 
 
@@ -134,7 +134,9 @@ def test_pseudonyms_of_values_before_other_groups():
 
 def test_pseudonyms_of_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = {r.doc_id: pii.rewrite(r.text, pii.KEY) for r in docs.collect()}
+    key = pii.session_key(spark)
+    assert pii.session_key(spark) == key and len(key) == 64
+    want = {r.doc_id: pii.rewrite(r.text, key) for r in docs.collect()}
     assert {r.doc_id: (r.text, r.n_pseudonyms) for r in pii.op3_pii(spark, sf).collect()} == want
     odd = odd_documents(spark, ["call +1 (017) 555-7713"])
     out = pii.stage_pii(spark, odd, "")
@@ -183,6 +185,38 @@ def test_quality_votes_do_not_depend_on_size(spark):
     assert [got[i].v_length for i in range(4, 7)] == [-1, 0, -1]
 
 
+def numpy_model(votes, n, q):
+    """The same estimate over whole arrays."""
+    good, bad, prior = np.full(votes.shape[1], q.good), np.full(votes.shape[1], q.bad), q.prior
+
+    def probability():
+        odds = np.log(prior / (1 - prior)) + (votes == 1) @ np.log(good / bad) + (votes == -1) @ np.log((1 - good) / (1 - bad))
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(q.rounds):
+        p = probability()
+        old = np.concatenate([good, bad, [prior]])
+        of = lambda w, start: np.clip((w @ (votes == 1) + q.weight * start) / (w @ (votes != 0) + q.weight), 1e-9, 1 - 1e-9)
+        good, bad, prior = of(n * p, q.good), of(n * (1 - p), q.bad), ((n * p).sum() + q.weight * q.prior) / (n.sum() + q.weight)
+        if abs(np.concatenate([good, bad, [prior]]) - old).max() < q.settled:
+            break
+    return prior, good, bad, probability()
+
+
+def test_quality_model_equals_numpy(spark, sf):
+    q, rules = quality.Quality(), list(quality.votes())
+    seen = quality.measured(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text"))
+    cast = quality.stage(seen.select("n_words", "n_repeat_words", *[c.alias(k) for k, c in quality.votes().items()]), "votes")
+    rows = cast.where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words").groupBy(*rules).count().collect()
+    votes, n = np.array([[r[k] for k in rules] for r in rows]), np.array([float(r["count"]) for r in rows])
+    prior, good, bad, p = numpy_model(votes, n, q)
+    model = quality.fit(spark.createDataFrame([(*map(int, v), int(k)) for v, k in zip(votes, n)], ", ".join(f"{r} int" for r in rules) + ", n long"), rules, q)
+    assert model["prior"] == pytest.approx(prior) and [model[f"g_{r}"] for r in rules] == pytest.approx(list(good)) and [model[f"b_{r}"] for r in rules] == pytest.approx(list(bad))
+    assert all(1e-6 < model[k] < 1 - 1e-9 for k in model)  # nothing lies on a bound
+    against = (votes == -1).any(axis=1)
+    assert n[against & (p >= 0.5)].sum() > 0 and n[against & (p < 0.5)].sum() > 0  # a single vote against is overruled where the rule isn't telling
+
+
 def test_quality_odd_rows(spark):
     texts = ["a b c d e f g h " * 4, "x\ny\nx\n \n\nx", "ß😀 é", "w " * 9, " ".join(map(str, range(40))) + " # | <b>"]
     odd = odd_documents(spark, texts)
@@ -303,6 +337,15 @@ def test_embeddings_match_brute_force(spark, sf):
     assert by[20_000].component_id == base[0][0] and not by[20_001].kept
 
 
+def test_embeddings_of_all_lengths_scales_and_copies(spark):
+    table = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [1.0] * 8), (4, [2.0] * 8), (5, [0.0, -1.0] * 4), (6, [-0.0, -1.0] * 4)]
+    table += [(7, [1e-200, 2e-200, 0.0]), (8, [1e-200, 2e-200, 0.0]), (9, [1e200, 2e200, 0.0]), (10, [5.0])]
+    table += [(100 + i, [3.0, 1.0] * 4) for i in range(40)] + [(150, [3.0, 1.1] * 4), (160, [1.0, 2.0, 3.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    want = {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (2, 7), 8: (2, 7), 9: (2, 7), 10: (0, 10), 160: (0, 160)} | {i: (40, 100) for i in (*range(100, 140), 150)}
+    assert got == {k: (*v, k == v[1]) for k, v in want.items()}
+
+
 def test_embeddings_without_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicate_vectors(none).collect() == []

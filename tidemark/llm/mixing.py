@@ -125,9 +125,11 @@ def mix(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
 def copies(sized: DataFrame, m: Mix) -> DataFrame:
     wanted = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), m))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    few = wanted.count() <= SMALL_GROUPS
+    small = F.broadcast if few else (lambda df: df)  # a row a source: then a source of many rows isn't dealt to one task
     plan = wanted.select(F.col("source").alias("_s"), "source_size", "target", F.floor(rate).cast("int").alias("whole"), (rate - F.floor(rate)).alias("p"))
     unit = F.xxhash64("doc_id", F.coalesce("source", F.lit("")), F.col("source").isNull(), "size")
-    keyed = sized.withColumn("u", unit).join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    keyed = sized.withColumn("u", unit).join(small(plan), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     units = cut(
         keyed.where("size > 0 and p > 0")
         .groupBy("u")
@@ -146,7 +148,7 @@ def copies(sized: DataFrame, m: Mix) -> DataFrame:
         part = units.where(F.col("stratum") == k).select("g", "u", "size", "p")
         shift = part.groupBy("g").agg(F.sum("size").alias("room")).join(missed, "g").select("g", (F.col("off") / F.col("room")).alias("shift"))
         moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") - F.coalesce("shift", F.lit(0.0))))
-        part = cut(part.join(shift, "g", "left").select("g", "u", "size", "p", moved.alias("q")))
+        part = cut(part.join(small(shift), "g", "left").select("g", "u", "size", "p", moved.alias("q")))
         free = part.where("q > 0 and q < 1").select("g", "u", "size", F.col("q").alias("p"))
         now = cut(rounded(free, m).unionByName(part.where("q >= 1").select("u", F.lit(1).alias("take"))))
         off = part.join(now, "u", "left").select("g", ((F.coalesce("take", F.lit(0)) - F.col("p")) * F.col("size")).alias("off"))
@@ -164,7 +166,8 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str, m: Mix = Mix()) -> DataFrame:
-    """Each row as often as the mix takes it; rows that it doesn't take go."""
+    """Each row as often as the mix takes it; rows that it doesn't take go. Rows of one doc_id, source and number of words are taken alike; a null doc_id and a
+    null source are values like any other, a null or wordless text has no words, and no rows give no rows."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     sized = stage(docs.select("doc_id", "source", size.alias("size")), "sizes")
     times = copies(sized, m).select("doc_id", "source", "size", "copies").distinct()
