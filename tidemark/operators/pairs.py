@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import REPORT_K, PairConfig
+from tidemark.config import PERSISTENCE_K, REPORT_K, TOP_K, PairConfig
 from tidemark.functions.core import above, below, cell, has_prefix, pair_of, share, time_bin
+from tidemark.functions.ranking import ranked
 
 
 def vessel_cells(points: DataFrame, c: PairConfig = PairConfig()) -> DataFrame:
@@ -102,37 +103,35 @@ def class_pair() -> Column:
     return F.concat_ws("/", *pair_of(a, b))
 
 
-def rank_pct(x: str, group: str) -> Column:
-    """Percentile rank from 1/n to 1; tied rows share the mean of their ranks."""
-    ordered, ties, whole = Window.partitionBy(group).orderBy(x), Window.partitionBy(group, x), Window.partitionBy(group)
-    return (F.rank().over(ordered) + (F.count("*").over(ties) - 1) / F.lit(2.0)) / F.count("*").over(whole)
-
-
 def score_edges(edges: DataFrame) -> DataFrame:
     """score = n_both_moving * ln(1 + n_months), and rank by it, ties by ids."""
     df = edges.withColumn("score", F.col("n_both_moving") * F.log1p(F.col("n_months").cast("double")))
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "mmsi_a", "mmsi_b")).cast("long"))
+    return ranked(df, [F.desc("score"), "mmsi_a", "mmsi_b"])
 
 
 SCORES = ("s_raw", "s_pers_sqrt", "s_per_month", "s_class_z", "s_class_pct_w")
 
 
 def build_scores(edges: DataFrame) -> DataFrame:
-    """Five scores: raw, by the root of persistence, per month, z-score within the pair of classes, and percentile within it weighted by persistence.
+    """Five scores, m being 1 + n_months: raw movement, times the root of m, by m, z-score of that within the pair of classes, and its percentile rank there times ln(1 + movement).
 
-    Deviations are sample deviations; a class pair of one edge or of equal scores has z-score 0.
+    Deviations are sample deviations; a class pair of one edge or of equal scores has z-score 0. Percentile ranks run from 1/n to 1 and tied rows share
+    the mean of their ranks; as equal scores are counted first, a pair of classes is ranked by its distinct scores only.
     """
-    whole = Window.partitionBy("class_pair")
-    months = F.col("n_months").cast("double")
+    months = F.lit(1.0) + F.col("n_months")
     df = edges.withColumn("class_pair", class_pair()).withColumns({
         "s_raw": F.col("n_both_moving").cast("double"),
         "s_pers_sqrt": F.col("n_both_moving") * F.sqrt(months),
         "s_per_month": F.col("n_both_moving") / months,
     })
-    sd = F.stddev_samp("s_per_month").over(whole)
-    z = F.coalesce(F.try_divide(F.col("s_per_month") - F.avg("s_per_month").over(whole), F.when(sd > 0, sd)), F.lit(0.0))
-    df = df.withColumns({"s_class_z": z, "s_class_pct": rank_pct("s_per_month", "class_pair")})
-    return df.withColumn("s_class_pct_w", F.col("s_class_pct") * F.log1p(F.col("n_both_moving").cast("double")))
+    stats = df.groupBy("class_pair").agg(F.count("*").alias("_n"), F.avg("s_per_month").alias("_mean"), F.stddev_samp("s_per_month").alias("_sd"))
+    values = df.groupBy("class_pair", "s_per_month").agg(F.count("*").alias("_k"))
+    smaller = F.coalesce(F.sum("_k").over(Window.partitionBy("class_pair").orderBy("s_per_month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = values.withColumn("_rank", smaller + (F.col("_k") + 1) / F.lit(2.0)).drop("_k")
+    df = df.join(stats, "class_pair").join(values, ["class_pair", "s_per_month"])
+    z = F.coalesce(F.try_divide(F.col("s_per_month") - F.col("_mean"), F.when(F.col("_sd") > 0, F.col("_sd"))), F.lit(0.0))
+    df = df.withColumns({"s_class_z": z, "s_class_pct": F.col("_rank") / F.col("_n")})
+    return df.withColumn("s_class_pct_w", F.col("s_class_pct") * F.log1p(F.col("n_both_moving").cast("double"))).drop("_n", "_mean", "_sd", "_rank")
 
 
 def incident_pairs(incidents: DataFrame) -> DataFrame:
@@ -175,30 +174,26 @@ def with_truth(edges: DataFrame, truth: DataFrame, by_name: bool = False) -> Dat
     return edges.withColumns({"_lo": lo, "_hi": hi}).join(names, ["_lo", "_hi"], "left").drop("_lo", "_hi").withColumn("is_truth", F.coalesce("is_truth", F.lit(False)))
 
 
-def curve(scored: DataFrame, score: str, ks: tuple[int, ...], n_truth: Column | None = None) -> DataFrame:
-    """hits, recall, precision and lift of the first K edges by score (ties by ids), for each K.
+def top_hits(scored: DataFrame, scores: tuple[str, ...], ks: tuple[int, ...]) -> DataFrame:
+    """(score, K, hits, n, t): truth edges among the first K by each score (ties by ids), all edges, all truth edges.
 
-    Only K's largest rows are ranked: a top-k first, then one small ranking."""
-    top = scored.select("mmsi_a", "mmsi_b", F.col(score).alias("s"), "is_truth").orderBy(F.desc("s"), "mmsi_a", "mmsi_b").limit(max(ks))
-    ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("s"), "mmsi_a", "mmsi_b")))
+    All scores are ranked in one pass; tasks keep their first rows up to the largest K, so no more are shuffled.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).alias("s")) for s in scores])).alias("x")
+    first = Window.partitionBy("score").orderBy(F.desc("s"), "mmsi_a", "mmsi_b")
+    top = scored.select("mmsi_a", "mmsi_b", "is_truth", each).select("mmsi_a", "mmsi_b", "is_truth", "x.*").withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(ks))
+    hits = top.groupBy("score").agg(*[F.count_if((F.col("r") <= k) & F.col("is_truth")).alias(f"h{k}") for k in ks])
     whole = scored.agg(F.count("*").alias("n"), F.count_if("is_truth").alias("t"))
-    hits = ranked.agg(*[F.count_if((F.col("r") <= k) & F.col("is_truth")).alias(f"h{k}") for k in ks])
     kk = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("K"), F.col(f"h{k}").alias("hits")) for k in ks]))
-    long = hits.crossJoin(whole).select(kk.alias("x"), "n", "t").select("x.*", "n", "t")  # one row each
-    k = F.least(F.col("K"), F.col("n"))
-    return long.select(
-        F.lit(score).alias("score"), "K", "hits",
-        share(F.col("hits"), F.col("t")).alias("recall"),
-        share(F.col("hits"), k).alias("precision"),
-        F.try_divide(share(F.col("hits"), k), share(F.col("t"), F.col("n"))).alias("lift"),
-    )
+    return hits.crossJoin(whole).select("score", kk.alias("x"), "n", "t").select("score", "x.*", "n", "t")  # whole is one row
 
 
 def report(scored: DataFrame, scores: tuple[str, ...] = SCORES, ks: tuple[int, ...] = REPORT_K) -> DataFrame:
-    out = curve(scored, scores[0], ks)
-    for s in scores[1:]:
-        out = out.unionByName(curve(scored, s, ks))
-    return out
+    """score, K, hits, recall, precision and lift; precision is over K also where there are fewer edges."""
+    precision = share(F.col("hits"), F.col("K"))
+    return top_hits(scored, scores, ks).select(
+        "score", "K", "hits", share(F.col("hits"), F.col("t")).alias("recall"), precision.alias("precision"), F.try_divide(precision, share(F.col("t"), F.col("n"))).alias("lift")
+    )
 
 
 def best_score(table: DataFrame, ks: tuple[int, ...] = (20, 50, 100, 200)) -> DataFrame:
@@ -208,9 +203,9 @@ def best_score(table: DataFrame, ks: tuple[int, ...] = (20, 50, 100, 200)) -> Da
 
 
 def class_baseline(scored: DataFrame, first: int = 12) -> DataFrame:
-    """The commonest pairs of classes: edges, median and largest monthly score, truth edges."""
+    """The commonest pairs of classes: edges, median and largest joint movement, truth edges."""
     return scored.groupBy("class_pair").agg(
-        F.count("*").alias("n_edges"), F.expr("percentile(s_per_month, 0.5)").alias("median_score"), F.max("s_per_month").alias("max_score"), F.count_if("is_truth").alias("n_truth")
+        F.count("*").alias("n_edges"), F.expr("percentile(n_both_moving, 0.5)").alias("median_moving"), F.max("n_both_moving").alias("max_moving"), F.count_if("is_truth").alias("n_truth")
     ).orderBy(F.desc("n_edges"), "class_pair").limit(first)
 
 
@@ -219,12 +214,56 @@ def truth_hits(scored: DataFrame, truth: DataFrame) -> DataFrame:
     return scored.join(truth, ["mmsi_a", "mmsi_b"]).select("incident_num", "rank", "score", "n_both_moving", "mmsi_a", "mmsi_b", "name_a", "name_b", "class_a", "class_b")
 
 
+def evaluate(ranked_edges: DataFrame, truth: DataFrame, ks: tuple[int, ...] = TOP_K) -> DataFrame:
+    """(K, hits, recall, precision) of the first K edges by rank, for each of ks and for all edges; a K above their number is that number.
+
+    Recall is over all truth pairs, also those that are no edges. Without edges precision is null, without truth pairs recall.
+    """
+    n = ranked_edges.agg(F.count("*").alias("n")).crossJoin(truth.agg(F.count("*").alias("t")))  # one row each
+    found = truth_hits(ranked_edges, truth).agg(*[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks], F.count("*").alias("h"))
+    rows = [(F.least(F.lit(k).cast("long"), F.col("n")), F.col(f"h{k}")) for k in ks] + [(F.col("n"), F.col("h"))]
+    x = F.explode(F.array(*[F.struct(k.alias("K"), h.alias("hits")) for k, h in rows]))
+    return n.crossJoin(found).select(x.alias("x"), "t").select("x.*", share(F.col("x.hits"), F.col("t")).alias("recall"), share(F.col("x.hits"), F.col("x.K")).alias("precision"))
+
+
+def truth_summary(ranked_edges: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: truth pairs, those found as edges, their share, and the median, best and worst of their ranks."""
+    found = truth_hits(ranked_edges, truth).agg(
+        F.count("*").alias("n_found"), F.expr("percentile(rank, 0.5)").alias("median_rank"), F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank")
+    )
+    return truth.agg(F.count("*").alias("n_truth")).crossJoin(found).withColumn("recall", share(F.col("n_found"), F.col("n_truth")))  # one row each
+
+
 def persistence(edges: DataFrame, periods: int) -> DataFrame:
-    """One row: edges, those of every period, their share, and medians of n_months of truth and other edges (is_truth)."""
+    """One row: edges, those of every period, their share and truth edges among them, and medians of n_months and n_both_moving of all and of truth edges (is_truth)."""
+    full = F.col("n_months") == periods
+    median = lambda c, which="": F.expr(f"percentile({c}, 0.5){which}")
+    truth = " filter (where is_truth)"
     return edges.agg(
-        F.count("*").alias("n_edges"),
-        F.count_if(F.col("n_months") == periods).alias("n_full"),
-        share(F.count_if(F.col("n_months") == periods), F.count("*")).alias("full_share"),
-        F.expr("percentile(n_months, 0.5) filter (where is_truth)").alias("median_truth"),
-        F.expr("percentile(n_months, 0.5) filter (where not is_truth)").alias("median_other"),
-    )
+        F.count("*").alias("n_edges"), F.count_if(full).alias("n_full"), share(F.count_if(full), F.count("*")).alias("full_share"), F.count_if(full & F.col("is_truth")).alias("n_full_truth"),
+        median("n_months").alias("median_months"), median("n_months", truth).alias("median_months_truth"),
+        median("n_both_moving").alias("median_moving"), median("n_both_moving", truth).alias("median_moving_truth"),
+    )
+
+
+def persistence_curve(scored: DataFrame, ks: tuple[int, ...] = PERSISTENCE_K) -> DataFrame:
+    """(K, base_hits, pers_hits): truth edges among the first K by movement times the root of persistence, and by movement a month."""
+    hits = top_hits(scored, ("s_pers_sqrt", "s_per_month"), ks)
+    of = lambda s: F.max(F.when(F.col("score") == s, F.col("hits")))
+    return hits.groupBy("K").agg(of("s_pers_sqrt").alias("base_hits"), of("s_per_month").alias("pers_hits"))
+
+
+def persistence_ranks(scored: DataFrame) -> DataFrame:
+    """Truth edges with their rank by movement a month, ties by ids."""
+    df = ranked(scored.select("mmsi_a", "mmsi_b", "n_both_moving", "n_months", "s_per_month", "is_truth"), [F.desc("s_per_month"), "mmsi_a", "mmsi_b"], "rank_pers")
+    return df.where("is_truth").drop("is_truth")
+
+
+def moored_pairs(edges: DataFrame, c: PairConfig = PairConfig()) -> DataFrame:
+    """Edges whose vessels are mostly both stopped."""
+    return edges.where(F.col("mooring_ratio") >= c.mooring_ratio)
+
+
+def moving_pairs(edges: DataFrame, c: PairConfig = PairConfig()) -> DataFrame:
+    """Edges whose vessels are often both under way."""
+    return edges.where(F.col("n_both_moving") >= c.min_moving_windows)
