@@ -28,13 +28,14 @@ def split_voyages(points: DataFrame, c: TrackConfig = TrackConfig()) -> DataFram
 
 
 def kinematics(voyages: DataFrame, c: TrackConfig = TrackConfig()) -> DataFrame:
-    """One row a voyage_id. std_sog is the sample deviation, null for one point; a missing speed counts as not stopped."""
+    """One row a voyage_id. Name and class are the earliest that aren't null; std_sog is the sample deviation, null for one point; a missing speed counts as not stopped."""
     at = F.struct("ts", "lat", "lon", "sog")
     edge = lambda name, f: f(F.col(name), at)
+    known = lambda name: F.min_by(F.col(name), F.when(F.col(name).isNotNull(), at))
     return voyages.groupBy("voyage_id").agg(
         F.first("mmsi").alias("mmsi"),
-        edge("vessel_name", F.min_by).alias("vessel_name"),
-        edge("vessel_class", F.min_by).alias("vessel_class"),
+        known("vessel_name").alias("vessel_name"),
+        known("vessel_class").alias("vessel_class"),
         F.min("ts").alias("t_start"),
         F.max("ts").alias("t_end"),
         F.count("*").alias("n_points"),
@@ -130,7 +131,7 @@ def draft_features(voyages: DataFrame, c: TrackConfig = TrackConfig()) -> DataFr
 
 
 def build_features(points: DataFrame, c: TrackConfig = TrackConfig()) -> DataFrame:
-    """The voyage feature table of one period; `by_period` in plans unites several."""
+    """The voyage feature table of one period; the steps in `plans.pipeline` unite several."""
     voyages = split_voyages(points, c)
     gaps = signal_gaps(voyages, coverage_grid(points, c), c)
     zero = F.lit(0).cast("long")
