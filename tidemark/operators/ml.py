@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import AnomalyConfig, FederatedConfig
 from tidemark.functions.core import share
+from tidemark.functions.ranking import cut, ranked, sums_before
 
 SAMPLE_ROWS = 100_000  # rows an isolation forest draws its trees' samples from, at most
 
@@ -32,12 +33,33 @@ def incident_tracks(points: DataFrame, incidents: DataFrame, pad_hours: float =
     return points.join(i, (F.col("mmsi") == F.col("_m")) & F.col("ts").between(F.col("_lo"), F.col("_hi"))).select("incident_num", "mmsi", "ts", "lat", "lon", "sog")
 
 
+def incident_months(incidents: DataFrame, pad_hours: float = 6.0) -> DataFrame:
+    """(month) that an incident, widened by pad_hours on both sides, touches; one without a start or an end touches none."""
+    pad = F.expr(f"interval {int(pad_hours * 3600)} seconds")
+    month = lambda t: F.date_trunc("MONTH", t)
+    span = F.sequence(month(F.col("t_start") - pad), month(F.col("t_end") + pad), F.expr("interval 1 month"))
+    return incidents.where("t_start is not null and t_end is not null").select(F.explode(span).alias("month")).select(F.col("month").cast("timestamp_ntz")).distinct()
+
+
+def prune_months(points: DataFrame, incidents: DataFrame, pad_hours: float = 6.0) -> DataFrame:
+    """Points of months that an incident touches: a semi-join that prunes files where points are partitioned by month."""
+    months = incident_months(incidents, pad_hours)
+    return points.join(months, F.date_trunc("MONTH", F.col("ts")).cast("timestamp_ntz") == F.col("month"), "left_semi")
+
+
+def filled(features: DataFrame, columns: list[str] | tuple[str, ...], constants: dict[str, float]) -> DataFrame:
+    """features with x_<column>: NaN and null filled with the column's constant, else with its median (in which infinite values count); then infinite ones are 0."""
+    df = features.withColumns({f"x_{c}": F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns})
+    free = [c for c in columns if c not in constants]
+    medians = df.agg(F.lit(0).alias("_"), *[F.coalesce(F.expr(f"percentile(x_{c}, 0.5)"), F.lit(0.0)).alias(c) for c in free]).first()
+    fill = {c: constants.get(c, float(medians[c]) if c in free else 0.0) for c in columns}
+    whole = {c: F.coalesce(f"x_{c}", F.lit(fill[c])) for c in columns}
+    return df.withColumns({f"x_{c}": F.when(F.abs(x) < float("inf"), x).otherwise(F.lit(0.0)) for c, x in whole.items()})
+
+
 def prepared(features: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame:
-    """features with x_<column>: missing and infinite values filled with the median (0 for the longest gap), scaled by mean and population deviation."""
-    finite = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))) for c in columns}
-    df = features.withColumns({f"x_{c}": x for c, x in finite.items()})
-    medians = df.agg(*[(F.lit(0.0) if c == "max_gap_hours" else F.coalesce(F.expr(f"percentile(x_{c}, 0.5)"), F.lit(0.0))).alias(c) for c in columns]).first()
-    df = df.withColumns({f"x_{c}": F.coalesce(f"x_{c}", F.lit(float(medians[c]))) for c in columns})
+    """features with x_<column>: missing values filled with the median (0 for the longest gap), then infinite ones with 0, scaled by mean and population deviation."""
+    df = filled(features, columns, {"max_gap_hours": 0.0})
     stats = df.agg(*[F.avg(f"x_{c}").alias(f"m_{c}") for c in columns], *[F.stddev_pop(f"x_{c}").alias(f"s_{c}") for c in columns]).first()
     mean, sd = (lambda c: float(stats[f"m_{c}"] or 0.0)), (lambda c: float(stats[f"s_{c}"] or 0.0) or 1.0)
     return df.withColumns({f"x_{c}": (F.col(f"x_{c}") - mean(c)) / sd(c) for c in columns})
@@ -102,28 +124,52 @@ def isolation_scores(features: DataFrame, columns: list[str] | tuple[str, ...],
                 total += depth + np.array([_path_length(s) for s in t[:, 4]])[at]
             yield pd.DataFrame({"voyage_id": pdf["voyage_id"], "score": 2.0 ** (-total / len(trees) / norm)})
 
-    scores = df.select("voyage_id", *x).mapInPandas(score, "voyage_id string, score double")
-    out = features.join(scores, "voyage_id")
-    limit = out.agg(F.expr(f"percentile(score, {1 - c.contamination})").alias("limit"))
-    return out.crossJoin(F.broadcast(limit)).withColumn("is_anomaly", F.col("score") > F.col("limit")).drop("limit")  # one row
+    scores = cut(df.select("voyage_id", *x).mapInPandas(score, "voyage_id string, score double"))
+    return features.join(scores, "voyage_id").crossJoin(F.broadcast(upper_share(scores, "score", c.contamination))).withColumn("is_anomaly", F.col("score") > F.col("limit")).drop("limit")  # one row
+
+
+def upper_share(df: DataFrame, x: str, part: float) -> DataFrame:
+    return upper_shares(df, [x], part).withColumnRenamed(f"limit_{x}", "limit")
+
+
+def upper_shares(df: DataFrame, columns: list[str], part: float) -> DataFrame:
+    """One row, limit_<column>: the exact (1 - part) quantile of each column, linear between values; null and empty columns have none.
+
+    All columns are ranked at once by ranges of (column, value), so no task holds all values."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in columns])).alias("v")).select("v.*").where("x is not null")
+    placed = ranked(each, ["c", "x"], "_r")
+    spans = placed.groupBy("c").agg((F.min("_r") + (F.count("*") - 1) * (1 - part)).alias("at"))  # a place with a fraction
+    two = placed.join(F.broadcast(spans), "c").where((F.col("_r") == F.floor("at")) | (F.col("_r") == F.ceil("at")))  # a row a column
+    of = lambda f, v, c: f(F.when(F.col("c") == c, v))
+    return two.agg(*[
+        (of(F.min, F.col("x"), c) + (of(F.max, F.col("x"), c) - of(F.min, F.col("x"), c)) * of(F.max, F.col("at") - F.floor("at"), c)).alias(f"limit_{c}") for c in columns
+    ])
 
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """Exact area under the ROC curve: mean ranks of ties; null without both classes.
+    """One row, n_pos, n_neg, auc: the exact area under the ROC curve, as of `aucs`; null without both classes."""
+    return aucs(scored.select(F.lit(0).alias("_g"), F.col(score).alias("_s"), F.col(label).alias("_l")), ["_g"], "_s", "_l").agg(
+        F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), F.max("auc").alias("auc")
+    )
+
 
-    Scores are counted by value first, so only distinct values are ranked.
+def aucs(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """by, n_pos, n_neg, auc: exact areas under the ROC curves of groups, with mean ranks of ties.
+
+    Scores are counted by value first, and the distinct values of all groups are ranked at once by ranges.
     """
-    by = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = by.withColumn("u", F.col("p") * (below + F.col("n") / 2.0))
-    return u.agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.try_divide(F.sum("u"), F.sum("p").cast("double") * F.sum("n").cast("double")).alias("auc"))
+    values = scored.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
+    placed = sums_before(values, [*by, "s"], {"below": F.col("n")})
+    first = placed.groupBy(*by).agg(F.min("below").alias("_b"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"))
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
+    return first.select(*by, "n_pos", "n_neg", F.try_divide(F.col("u") - F.col("_b") * F.col("n_pos"), pairs).alias("auc"))
 
 
 def ablation(features: DataFrame, label: str = "is_incident", c: AnomalyConfig = AnomalyConfig(), k: int = 100) -> DataFrame:
     """For each feature set: n_features, auc, hits among the k of largest score, lift."""
     out = None
     for name, columns in c.ablations.items():
-        scored = isolation_scores(features, columns, c).select("voyage_id", "score", label)
+        scored = cut(isolation_scores(features, columns, c).select("voyage_id", "score", label))
         hits = scored.orderBy(F.desc("score"), "voyage_id").limit(k).agg(F.count_if(label).alias("hits"), F.count("*").alias("k"))
         whole = scored.agg(F.count_if(label).alias("t"), F.count("*").alias("n"))
         row = auc(scored, "score", label).crossJoin(hits).crossJoin(whole).select(  # one row each
@@ -142,66 +188,86 @@ def feature_contribution(features: DataFrame, columns: list[str] | tuple[str, ..
     return out.withColumn("ratio", F.try_divide("median_event", F.when(F.col("median_normal") != 0, F.col("median_normal"))))
 
 
-def federated_task(features: DataFrame, c: FederatedConfig = FederatedConfig()) -> DataFrame:
-    """voyage_id, z_<feature> (sample z-scores), label (top fifth of the parties' mean signal with noise from a hash), is_train."""
-    columns = [f for _, fs in c.parties for f in fs]
-    stats = features.agg(*[F.avg(k).alias(f"m_{k}") for k in columns], *[F.stddev_samp(k).alias(f"s_{k}") for k in columns])
-    df = features.crossJoin(F.broadcast(stats))  # one row
-    z = {f"z_{k}": F.coalesce((F.col(k) - F.col(f"m_{k}")) / F.coalesce(F.when(F.col(f"s_{k}") > 0, F.col(f"s_{k}")), F.lit(1.0)), F.lit(0.0)) for k in columns}
-    df = df.select("voyage_id", *[v.alias(k) for k, v in z.items()])
-    unit = lambda salt: (F.shiftrightunsigned(F.xxhash64("voyage_id", F.lit(c.seed), F.lit(salt)), 11).cast("double") + 1.0) / float((1 << 53) + 1)
-    noise = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * np.pi * unit(2))
-    signal = sum((sum(F.col(f"z_{k}") for k in fs) / len(fs) for _, fs in c.parties), F.lit(0.0))
-    df = df.withColumn("signal", signal + 1.2 * noise)
-    limit = df.agg(F.expr("percentile(signal, 0.8)").alias("limit"))
-    return df.crossJoin(F.broadcast(limit)).select(  # one row
-        "voyage_id", *z, (F.col("signal") > F.col("limit")).alias("label"), (unit(3) < c.train_share).alias("is_train")
-    )
+def unit(key: str, seed: int, salt: int) -> Column:
+    """A number in (0, 1) by a hash: the same at any partitioning."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key), F.lit(seed), F.lit(salt))), 1, 12), 16, 10).cast("double")
+    return (bits + 1.0) / float((1 << 48) + 2)
 
 
-def fit_logistic(train: DataFrame, models: dict[str, list[list[str]]], c: FederatedConfig) -> dict[str, dict[str, float]]:
-    """Full-batch gradient descent without intercept: weights by column for each model, given as the columns of its parties.
+def federated_task(features: DataFrame, c: FederatedConfig = FederatedConfig(), repeats: int = 1) -> DataFrame:
+    """voyage_id, z_<feature>, and for each repeat r from 0: label_r, train_r.
 
-    Every party sums its own columns' partial score and gets back only the residual, so the gradient is that of all columns at one
-    place. An epoch is one aggregation of all models' gradients.
+    Missing values are filled with the median, infinite ones with 0, and scaled with sample deviations. A party's signal is the mean of its features, scaled
+    again (population deviation) so that parties weigh alike; the label is the top fifth of the three signals' sum with normal noise of deviation 1.2.
+    Noise and split come from hashes of the voyage and the repeat.
     """
-    w = {m: {k: 0.0 for g in groups for k in g} for m, groups in models.items()}
-    train = train.select("label", *sorted({k for x in w.values() for k in x}))
-    names = [(m, k) for m, x in w.items() for k in x]
-    total = [F.sum(f"g{i}").alias(f"g{i}") for i in range(len(names))]
+    columns = [f for _, fs in c.parties for f in fs]
+    df = filled(features.select("voyage_id", *columns), columns, {})
+    stats = df.agg(*[F.avg(f"x_{k}").alias(f"m_{k}") for k in columns], *[F.stddev_samp(f"x_{k}").alias(f"s_{k}") for k in columns])
+    df = df.crossJoin(F.broadcast(stats))  # one row
+    scaled = lambda x, m, s: (F.col(x) - F.col(m)) / F.coalesce(F.when(F.col(s) > 0, F.col(s)), F.lit(1.0))
+    df = df.select("voyage_id", *[scaled(f"x_{k}", f"m_{k}", f"s_{k}").alias(f"z_{k}") for k in columns])
+    names = [name for name, _ in c.parties]
+    df = df.withColumns({f"p_{name}": sum((F.col(f"z_{k}") for k in fs), F.lit(0.0)) / len(fs) for name, fs in c.parties})
+    whole = df.agg(*[F.avg(f"p_{n}").alias(f"pm_{n}") for n in names], *[F.stddev_pop(f"p_{n}").alias(f"ps_{n}") for n in names])
+    seeds = [c.seed + 17 * r for r in range(repeats)]
+    noise = [F.sqrt(-2 * F.log(unit("voyage_id", s, 1))) * F.cos(2 * np.pi * unit("voyage_id", s, 2)) for s in seeds]
+    signal = sum((scaled(f"p_{n}", f"pm_{n}", f"ps_{n}") for n in names), F.lit(0.0))
+    df = cut(df.crossJoin(F.broadcast(whole)).withColumns({f"y_{r}": signal + c.noise * x for r, x in enumerate(noise)}))  # one row
+    limits = upper_shares(df, [f"y_{r}" for r in range(repeats)], c.positives)
+    return df.crossJoin(F.broadcast(limits)).select(  # one row
+        "voyage_id", *[f"z_{k}" for k in columns], *[(F.col(f"y_{r}") > F.col(f"limit_y_{r}")).alias(f"label_{r}") for r in range(repeats)],
+        *[(unit("voyage_id", s, 3) < c.train_share).alias(f"train_{r}") for r, s in enumerate(seeds)],
+    )
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
+
+
+def fit_logistic(task: DataFrame, models: dict[str, list[list[str]]], c: FederatedConfig, repeats: int = 1) -> dict[tuple[str, int], dict[str, float]]:
+    """Full-batch gradient descent without intercept: weights by column of each model and repeat; a model is given as the columns of its parties.
+
+    A party sends its columns' partial score of each row up and gets the residual back, no columns: its gradient is that of all columns at one
+    place. An epoch is one aggregation of the gradients of all models and repeats.
+    """
+    keys = [(m, r) for m in models for r in range(repeats)]
+    w = {key: {k: 0.0 for g in models[key[0]] for k in g} for key in keys}
+    names = [(key, k) for key in keys for k in w[key]]
+    groups = {tuple(g) for m in models.values() for g in m}
+    every = sorted({k for g in groups for k in g})
 
-    def gradient(w: dict[str, dict[str, float]]):  # weights go along as data: as literals they would make Spark compile each epoch anew
+    def gradient(w: dict[tuple[str, int], dict[str, float]]):  # weights go along as data: as literals they would make Spark compile each epoch anew
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                out, y = [len(pdf)], pdf["label"].to_numpy(float)
-                for m, groups in models.items():
-                    partial = [sum(pdf[k].to_numpy(float) * w[m][k] for k in g) for g in groups]
-                    residual = 1.0 / (1.0 + np.exp(-np.clip(sum(partial), -30.0, 30.0))) - y
-                    out += [float(pdf[k].to_numpy(float) @ residual) for k in w[m]]
-                yield pd.DataFrame([out], columns=["n", *[f"g{i}" for i in range(len(names))]])
+                held = {k: pdf[k].to_numpy(float) for k in every}
+                party = {g: np.column_stack([held[k] for k in g]) for g in groups}  # what each party has
+                out = [float(pdf[f"train_{r}"].sum()) for r in range(repeats)]
+                for m, r in keys:
+                    rows = pdf[f"train_{r}"].to_numpy(float)
+                    partial = [party[g] @ np.array([w[m, r][k] for k in g]) for g in map(tuple, models[m])]
+                    residual = (sigmoid(sum(partial)) - pdf[f"label_{r}"].to_numpy(float)) * rows
+                    out += [float(v) for g in map(tuple, models[m]) for v in party[g].T @ residual]
+                yield pd.DataFrame({"i": range(len(out)), "v": out})
 
         return run
 
-    schema = "n long, " + ", ".join(f"g{i} double" for i in range(len(names)))
     for _ in range(c.epochs):
-        g = train.mapInPandas(gradient(w), schema).agg(F.sum("n").alias("n"), *total).first()
-        mean = {x: (g[f"g{i}"] or 0.0) / (g["n"] or 1) for i, x in enumerate(names)}
-        w = {m: {k: x[k] - c.rate * (mean[m, k] + c.l2 * x[k]) for k in x} for m, x in w.items()}
+        g = {r.i: r.v for r in task.mapInPandas(gradient(w), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}  # a row a weight
+        mean = {(key, k): g.get(repeats + i, 0.0) / (g.get(key[1]) or 1.0) for i, (key, k) in enumerate(names)}
+        w = {key: {k: x[k] - c.rate * (mean[key, k] + c.l2 * x[k]) for k in x} for key, x in w.items()}
     return w
 
 
-def federated_results(task: DataFrame, c: FederatedConfig = FederatedConfig()) -> DataFrame:
-    """model, auc on the held-out rows: all columns at one place, the same split by party, and each party alone."""
+def federated_results(task: DataFrame, c: FederatedConfig = FederatedConfig(), repeats: int = 1) -> DataFrame:
+    """(model, repeat, auc) on the held-out rows: all columns at one place, the same split by party, and each party alone. task is read once an epoch: give it written or cut."""
     parties = [[f"z_{k}" for k in fs] for _, fs in c.parties]
-    train, test = task.where("is_train").cache(), task.where("not is_train")
     models = {"centralized": [[k for g in parties for k in g]], "vertical_federated": parties} | {f"single_{name}": [g] for (name, _), g in zip(c.parties, parties)}
-    out = None
-    for name, w in fit_logistic(train, models, c).items():
-        row = auc(test.withColumn("s", sum((F.col(k) * x for k, x in w.items()), F.lit(0.0))), "s", "label").select(F.lit(name).alias("model"), "auc")
-        out = row if out is None else out.unionByName(row)
-    return out
+    fitted = fit_logistic(task, models, c, repeats)
+    rows = [F.struct(F.lit(m).alias("model"), F.lit(r).alias("repeat"), (~F.col(f"train_{r}")).alias("held"), F.col(f"label_{r}").alias("label"), sum((F.col(k) * x for k, x in w.items()), F.lit(0.0)).alias("s")) for (m, r), w in fitted.items()]
+    return aucs(task.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("held"), ["model", "repeat"], "s", "label").select("model", "repeat", "auc")
 
 
 def mean_and_interval(values: DataFrame, x: str, by: str) -> DataFrame:
-    """Mean and half the 95 % interval by group."""
-    return values.groupBy(by).agg(F.avg(x).alias("mean"), (1.96 * F.coalesce(F.stddev_samp(x), F.lit(0.0)) / F.sqrt(F.count(x).cast("double"))).alias("ci95"))
+    """Mean and half the 95 % interval by group; null of a single value."""
+    return values.groupBy(by).agg(F.avg(x).alias("mean"), (1.96 * F.stddev_samp(x) / F.sqrt(F.count(x).cast("double"))).alias("ci95"))
