@@ -1,10 +1,12 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import AnomalyConfig, FederatedConfig, PairConfig
+from tidemark.functions.ranking import cut, ranked
 from tidemark.operators import eda, graph, ml, pairs, rules, tracks
 from tidemark.plans import pipeline, queries
 from tidemark.sources import readers
@@ -92,8 +94,35 @@ def test_scores_ranks_and_curve(spark):
     assert [got[k].s_class_pct for k in (2, 3, 4, 5)] == [0.625, 0.625, 0.25, 1.0]
     assert got[6].s_class_z == 0.0 and got[6].class_pair == "Z/nan"
     t = spark.createDataFrame([(1, 5, 9)], "mmsi_a long, mmsi_b long, incident_num long")
-    c = {r.K: (r.hits, r.recall, r.precision, r.lift) for r in pairs.curve(pairs.with_truth(pairs.build_scores(e), t), "s_raw", (1, 2, 10)).collect()}
-    assert c == {1: (0, 0.0, 0.0, 0.0), 2: (1, 1.0, 0.5, 2.5), 10: (1, 1.0, 0.2, 1.0)}
+    c = {r.K: (r.hits, r.recall, r.precision, r.lift) for r in pairs.report(pairs.with_truth(pairs.build_scores(e), t), ("s_raw",), (1, 2, 10)).collect()}
+    assert c == {1: (0, 0.0, 0.0, 0.0), 2: (1, 1.0, 0.5, 2.5), 10: (1, 1.0, 0.1, 0.5)}
+    # by hand: movement 3 in one period is 3 * sqrt(1 + 1) and 3 / (1 + 1); 7 in two is 7 / 3
+    assert got[2].s_pers_sqrt == pytest.approx(3 * 2**0.5) and got[2].s_per_month == 1.5 and got[6].s_per_month == pytest.approx(7 / 3)
+    mean, sd = 1.5, (((0.0 + 0.0 + 1.0 + 1.0) / 3) ** 0.5)  # 1.5, 1.5, 0.5, 2.5
+    assert got[5].s_class_z == pytest.approx((2.5 - mean) / sd) and got[5].s_class_pct_w == pytest.approx(1.0 * 1.791759469228055)  # ln 6
+    base = {r.class_pair: (r.n_edges, r.median_moving, r.max_moving, r.n_truth) for r in pairs.class_baseline(pairs.with_truth(pairs.build_scores(e), t)).collect()}
+    assert base == {"A/B": (4, 3.0, 5, 1), "Z/nan": (1, 7.0, 7, 0)}
+    two = {r.K: (r.base_hits, r.pers_hits) for r in pairs.persistence_curve(pairs.with_truth(pairs.build_scores(e), t), (1, 2)).collect()}
+    assert two == {1: (0, 1), 2: (1, 1)}
+    assert [(r.mmsi_b, r.rank_pers) for r in pairs.persistence_ranks(pairs.with_truth(pairs.build_scores(e), t)).collect()] == [(5, 1)]
+
+
+def test_evaluation_over_all_truth_pairs(spark):
+    rows = [(1, b, 10 - b, 1, "n", "n", "A", "B") for b in range(2, 8)]
+    e = pairs.score_edges(spark.createDataFrame(rows, "mmsi_a long, mmsi_b long, n_both_moving long, n_months long, name_a string, name_b string, class_a string, class_b string"))
+    truth = spark.createDataFrame([(1, 3, 9), (1, 7, 9), (50, 60, 9), (50, 61, 8)], "mmsi_a long, mmsi_b long, incident_num long")
+    assert sorted(tuple(r) for r in pairs.evaluate(e, truth, (1, 2, 1000)).collect()) == [(1, 0, 0.0, 0.0), (2, 1, 0.25, 0.5), (6, 2, 0.5, 2 / 6), (6, 2, 0.5, 2 / 6)]
+    s = pairs.truth_summary(e, truth).first()
+    assert (s.n_truth, s.n_found, s.median_rank, s.best_rank, s.worst_rank, s.recall) == (4, 2, 4.0, 2, 6, 0.5)
+
+
+def test_ranks_over_many_ranges(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 37).alias("x")).repartition(7)
+    want = {r: i + 1 for i, r in enumerate(sorted(range(1000), key=lambda i: (-(i % 37), i)))}
+    assert {r.id: r["rank"] for r in ranked(df, [F.desc("x"), "id"]).collect()} == want
+    assert ranked(df.where("false"), ["id"]).count() == 0
+    q = ml.upper_shares(df.select((F.col("id") / 10).alias("a"), F.lit(3.0).alias("b")), ["a", "b"], 0.2).first()
+    assert q.limit_a == pytest.approx(79.92) and q.limit_b == 3.0
 
 
 def test_truth_pairs(spark):
@@ -134,14 +163,59 @@ def test_rules(spark):
 
 
 def test_fusion(spark):
-    r = spark.createDataFrame([("a", 1, "v1", "n", True, 2), ("b", 2, "v2", "n", False, 0), ("c", 3, "v3", "n", False, 0), ("d", 4, "none", "n", False, 1)], "decl_id string, mmsi long, voyage_id string, vessel_name string, truth_fraud boolean, n_rules long")
+    r = spark.createDataFrame([("a", 1, "v1", "n", True, 2, "x;y"), ("b", 2, "v2", "n", False, 0, ""), ("c", 3, "v3", "n", False, 0, ""), ("d", 4, "none", "n", False, 1, "x")], "decl_id string, mmsi long, voyage_id string, vessel_name string, truth_fraud boolean, n_rules long, triggered string")
     f = spark.createDataFrame([("v1", 0, 1, 1.0), ("v2", 1, 1, 2.8), ("v3", 0, 0, None)], "voyage_id string, n_signal_conflict long, n_gaps long, max_gap_hours double")
     got = {x.decl_id: x for x in rules.fuse(r, f).collect()}
     assert got["a"].fusion_score == 0.4545 and got["a"].intercept_level == "YELLOW" and got["b"].fusion_score == 0.3709
-    assert got["c"].intercept_level == "GREEN" and got["d"].space_direction == "UNAVAILABLE" and got["d"].intercept_level == "RED"
-    e = spark.createDataFrame([(1, 3, 11, 1001), (2, 4, 11, 1000), (5, 6, 1, 1)], "mmsi_a long, mmsi_b long, n_months long, n_both_moving long")
-    got = {x.decl_id: x.graph_direction for x in rules.fuse(r, f, e).collect()}
-    assert got == {"a": "MISSING", "b": "CONFLICT", "c": "MISSING", "d": "CONFLICT"}
+    assert got["c"].intercept_level == "GREEN" and got["d"].space_direction == "MISSING" and got["d"].intercept_level == "RED"
+    assert got["b"].space_text == "1 signal gaps under way in good coverage (longest 2.8 hours)" and got["a"].text_text == "2 rules triggered: x;y"
+    e = spark.createDataFrame([(1, 3, 11, 1001, "A", "C"), (2, 4, 11, 1000, "B", "D"), (5, 6, 1, 1, "E", "F")], "mmsi_a long, mmsi_b long, n_months long, n_both_moving long, name_a string, name_b string")
+    got = {x.decl_id: x for x in rules.fuse(r, f, e).collect()}
+    assert {k: x.graph_direction for k, x in got.items()} == {"a": "MISSING", "b": "CONFLICT", "c": "MISSING", "d": "CONFLICT"}
+    assert got["b"].graph_text == "unusual co-occurrence with D: 1000 windows under way in 11 months"
+    # a vessel without an edge, in a graph that has some: its weight counts, 0.25 * 1 / (0.3 + 0.25 + 0.45)
+    one = rules.fuse(r.where("decl_id = 'a'"), f, e.where("mmsi_a = 5")).first()
+    assert one.graph_direction == "SUPPORT" and one.fusion_score == 0.25 and one.intercept_level == "YELLOW"
+    assert rules.fuse(r.where("decl_id = 'a'"), f, e.where("false")).first().fusion_score == 0.4545
+
+
+# What fusion without a graph gives for these cases: gap hours and whether one gap is in conflict (None: no gap), rules triggered, score, level.
+FUSED = [
+    (None, False, 0, 0.0, "GREEN"), (None, False, 2, 0.4545, "YELLOW"), (None, False, 1, 0.3409, "YELLOW"),
+    (43.6, False, 0, 0.0, "GREEN"), (43.6, False, 2, 0.4545, "YELLOW"), (43.6, False, 1, 0.3409, "YELLOW"),
+    (68.2, False, 0, 0.0, "GREEN"), (21.8, True, 0, 0.5455, "RED"), (96.2, True, 0, 0.5455, "RED"),
+    (2.8, True, 0, 0.37, "YELLOW"), (16.4, True, 0, 0.5455, "RED"), (86.0, False, 0, 0.0, "GREEN"),
+]
+
+
+def test_fusion_of_known_cases(spark):
+    r = spark.createDataFrame([(f"{i:02d}", i, f"v{i}", "n", False, n, "") for i, (_, _, n, _, _) in enumerate(FUSED)], "decl_id string, mmsi long, voyage_id string, vessel_name string, truth_fraud boolean, n_rules long, triggered string")
+    f = spark.createDataFrame([(f"v{i}", int(c), int(g is not None), g) for i, (g, c, _, _, _) in enumerate(FUSED)], "voyage_id string, n_signal_conflict long, n_gaps long, max_gap_hours double")
+    got = [(x.fusion_score, x.intercept_level) for x in rules.fuse(r, f).orderBy("decl_id").collect()]
+    assert [x[1] for x in got] == [x[4] for x in FUSED] and [x[0] for x in got] == pytest.approx([x[3] for x in FUSED], abs=0.001)
+
+
+def test_declarations(spark):
+    ports = spark.createDataFrame([(f"P{i:02d}", float(i), float(i)) for i in range(4)], "port_id string, lat double, lon double")
+    rows = [(1, h / 10, 0.01 + h / 10 * 0.2, 0.01 + h / 10 * 0.2, 5.0) for h in range(50)] + [(2, h / 10, 0.2 + h / 50, 0.2, 5.0) for h in range(51)]  # 2 begins far from any port
+    p = points(spark, rows + [(1, 5.0, 1.0, 1.0, 0.0)])
+    got = {r.decl_id: r for r in rules.declarations(tracks.split_voyages(p), ports).collect()}
+    assert set(got) == {"D000", "D000F0", "D000F1", "D000F2", "D000F3"}
+    assert {(r.declared_departure, r.declared_arrival) for k, r in got.items() if k in ("D000", "D000F2", "D000F3")} == {("P00", "P01")}
+    assert got["D000F0"].declared_departure == "P00" and got["D000F0"].declared_arrival in ("P02", "P03") and got["D000F0"].fraud_type == "FAKE_ROUTE"
+    assert got["D000F1"].declared_arrival == "P01" and got["D000F1"].declared_departure in ("P02", "P03") and got["D000F1"].fraud_type == "FAKE_CALL"
+    assert (got["D000F2"].declared_start, got["D000F2"].declared_end) == (at(-72), at(-24)) and (got["D000F3"].declared_start, got["D000F3"].declared_end) == (at(1), at(4))
+
+
+def test_first_known_name_of_a_voyage(spark):
+    p = points(spark, [(1, 0, 0, 0), (1, 1, 0, 0), (1, 2, 0, 0)]).withColumn("vessel_name", F.when(F.hour("ts") > 0, F.concat(F.lit("N"), F.hour("ts"))))
+    assert tracks.kinematics(tracks.split_voyages(p)).first().vessel_name == "N1"
+
+
+def test_missing_values_before_scaling(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, 4.0), (None, 8.0), (float("inf"), 6.0), (3.0, float("nan"))], "a double, max_gap_hours double")
+    got = ml.filled(df, ("a", "max_gap_hours"), {"max_gap_hours": 0.0}).select("x_a", "x_max_gap_hours").collect()
+    assert [tuple(r) for r in got] == [(1.0, 0.0), (2.0, 4.0), (2.5, 8.0), (0.0, 6.0), (3.0, 0.0)]
 
 
 def test_graph(spark):
@@ -151,9 +225,16 @@ def test_graph(spark):
     assert sorted((r.length, r.members) for r in graph.cycles(e, "mmsi_a", "mmsi_b").collect()) == [(3, "10→11→12→10"), (4, "1→2→3→4→1")]
     line = spark.createDataFrame([(i, i + 1) for i in range(60)], "mmsi_a long, mmsi_b long")
     assert {r.component for r in graph.components(line).collect()} == {0}
-    nodes, edges = graph.trade_layer(spark)
+    with pytest.raises(ValueError):
+        graph.trade_layer(line.where("mmsi_a < 6"))
+    nodes, edges = graph.trade_layer(line)
     assert nodes.where("is_fraud").count() == 20 and nodes.groupBy("id").count().where("count > 1").isEmpty()
-    assert {r["size"] for r in graph.communities(nodes, edges).collect()} == {4}
+    got = graph.communities(nodes, edges).collect()
+    assert len(got) == 5 and {(r["size"], r.internal_density, r.n_shared_vessels, r.n_shared_ports, r.precision) for r in got} == {(4, 0.667, 2, 2, 1.0)}
+    assert {v for r in got for v in r.vessels.split(",")} <= {str(i) for i in range(61)}
+    # all that any member uses counts, not only what two share
+    more = edges.unionByName(edges.where("src = 'ENT_0300'").limit(1).select("src", F.lit("60").alias("dst"), F.lit("declares").alias("type")))
+    assert max(r.n_shared_vessels for r in graph.communities(nodes, more.distinct()).collect()) in (2, 3)
 
 
 def test_declared_snapshot(spark, monkeypatch):
@@ -177,26 +258,46 @@ def test_isolation_forest_finds_outliers(spark):
 
 
 def test_federated_equals_centralized(spark):
-    rows = [(f"v{i}", *[float((i * k) % 11) for k in range(1, 9)]) for i in range(120)]
-    names = [f for _, fs in FederatedConfig().parties for f in fs]
-    task = ml.federated_task(spark.createDataFrame(rows, "voyage_id string, " + ", ".join(f"{n} double" for n in names)))
-    got = {r.model: r.auc for r in ml.federated_results(task, FederatedConfig(epochs=4)).collect()}
-    assert got["vertical_federated"] == pytest.approx(got["centralized"], abs=1e-9) and len(got) == 5
+    """Weights and areas equal those of gradient descent over whole NumPy arrays."""
+    c = FederatedConfig(epochs=6)
+    names = [f for _, fs in c.parties for f in fs]
+    rows = [(f"v{i}", *[None if (i + k) % 29 == 0 else float((i * k) % 11) for k in range(1, 11)]) for i in range(150)]
+    task = cut(ml.federated_task(spark.createDataFrame(rows, "voyage_id string, " + ", ".join(f"{n} double" for n in names)), c, 2))
+    t = task.toPandas()
+    assert abs(t.label_0.mean() - 0.2) < 0.01 and (t.label_0 != t.label_1).any()
+    x = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows])
+    x = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    assert np.allclose(t.set_index("voyage_id").loc[[r[0] for r in rows], [f"z_{n}" for n in names]].to_numpy(), z)
+    got = {(r.model, r.repeat): r.auc for r in ml.federated_results(task, c, 2).collect()}
+    assert len(got) == 10
+    models = {"centralized": names, "vertical_federated": names} | {f"single_{p}": list(fs) for p, fs in c.parties}
+    for (model, r), area in got.items():
+        a, y, train = t[[f"z_{n}" for n in models[model]]].to_numpy(), t[f"label_{r}"].to_numpy(float), t[f"train_{r}"].to_numpy(bool)
+        w = np.zeros(a.shape[1])
+        for _ in range(c.epochs):
+            w -= c.rate * (a[train].T @ (1 / (1 + np.exp(-a[train] @ w)) - y[train]) / train.sum() + c.l2 * w)
+        s, held = a[~train] @ w, y[~train]
+        pos, neg = s[held == 1], s[held == 0]
+        assert area == pytest.approx(((pos[:, None] > neg).sum() + ((pos[:, None] == neg).sum()) / 2) / (len(pos) * len(neg)), abs=1e-6)
+    both = ml.mean_and_interval(spark.createDataFrame([("m", 1.0), ("m", 3.0)], "model string, auc double"), "auc", "model").first()
+    assert both["mean"] == 2.0 and both.ci95 == pytest.approx(1.96)
 
 
 def test_queries_take_the_whole_number_of_epochs_and_trees(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(queries.graph, "cut", lambda df: df)
+    monkeypatch.setattr(queries, "cut", lambda df: df)
+    monkeypatch.setattr(ml, "mean_and_interval", lambda df, x, by: spark.range(1))
     monkeypatch.setattr(queries, "labelled", lambda spark, sf: None)
     monkeypatch.setattr(queries.tracks, "build_features", lambda p: None)
     monkeypatch.setattr(queries, "points", lambda spark, sf: None)
-    monkeypatch.setattr(ml, "federated_task", lambda f: None)
-    monkeypatch.setattr(ml, "federated_results", lambda task, c=FederatedConfig(): seen.append(c.epochs))
+    monkeypatch.setattr(ml, "federated_task", lambda f, c, repeats: None)
+    monkeypatch.setattr(ml, "federated_results", lambda task, c, repeats: seen.append((c.epochs, repeats)))
     monkeypatch.setattr(ml, "ablation", lambda f, c=AnomalyConfig(): seen.append(c.trees))
     monkeypatch.setattr(ml, "isolation_scores", lambda f, columns, c=AnomalyConfig(): seen.append(c.trees) or spark.createDataFrame([], "voyage_id string, score double, is_anomaly boolean"))
     for name in ("federated", "anomaly_ablation", "iforest_scores"):
         queries.QUERIES[name](spark, "")
-    assert seen == [200, 300, 300]
+    assert seen == [(200, 8), 300, 300]
 
 
 def test_readers(spark, tmp_path):
@@ -219,10 +320,14 @@ def test_tables_behind_charts(spark):
 def test_pipeline_keeps_what_is_made(spark, tmp_path):
     p = points(spark, [(m, h / 4, 0.01 + m / 1000, 0.01, 0.2 + m) for m in range(4) for h in range(8)])
     i = spark.createDataFrame([(1, 1, at(0), at(1), "t", "High"), (1, 2, at(0), at(1), "t", "High")], "incident_num long, mmsi long, t_start timestamp, t_end timestamp, incident_type string, evidence string")
-    only = {"voyage_points", "edges", "edges_scored", "features"}
+    only = {"voyage_points", "edges", "edges_scored", "features", "evaluation", "snapshot_tracks", "ports", "declarations"}
     first = pipeline.run(spark, {"points": p, "incidents": i}, str(tmp_path), only=only)
     assert {x for _, x in first} == {"made"} and {x for _, x in pipeline.run(spark, {"points": p, "incidents": i}, str(tmp_path), only=only)} == {"kept"}
-    assert spark.read.parquet(f"{tmp_path}/features").select("period").distinct().first().period == "2024_01"
+    made = spark.read.parquet(f"{tmp_path}/features")
+    assert made.select("period").distinct().first().period == "2024_01"
+    assert made.join(spark.read.parquet(f"{tmp_path}/voyage_points"), "voyage_id", "left_anti").count() == 0  # one id for a voyage everywhere
+    for step in pipeline.STEPS:
+        assert set(step.needs) <= {"points", "incidents"} | {s.name for s in pipeline.STEPS[: pipeline.STEPS.index(step)]}
 
 
 def test_streams(spark, tmp_path):

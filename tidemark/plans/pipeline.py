@@ -4,42 +4,89 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import PairConfig
-from tidemark.operators import eda, ml, pairs, rules, tracks
+from tidemark.config import AnomalyConfig, FederatedConfig, PairConfig
+from tidemark.functions.ranking import cut
+from tidemark.operators import eda, graph, ml, pairs, rules, tracks
 from tidemark.sources import readers
 
 
+@dataclass(frozen=True)
+class Options:
+    normal: int = 10
+    seed: int = 42
+    repeats: int = 8
+    epochs: int = 200
+
+
 @dataclass(frozen=True)
 class Step:
+    """make takes the options and, by name, the tables it needs."""
+
     name: str
     needs: tuple[str, ...]
     make: Callable[..., DataFrame]
 
 
+def apart(points: DataFrame) -> DataFrame:
+    """points whose vessels are told apart by period (yyyy_MM), so that voyages end with it and their ids name it."""
+    return points.withColumn("mmsi", F.concat_ws(":", F.date_format("ts", "yyyy_MM"), F.col("mmsi").cast("string")))
+
+
+def together(df: DataFrame) -> DataFrame:
+    return df.withColumns({"period": F.split_part("mmsi", F.lit(":"), F.lit(1)), "mmsi": F.split_part("mmsi", F.lit(":"), F.lit(2)).cast("long")})
+
+
+def voyages_by_period(points: DataFrame) -> DataFrame:
+    return together(tracks.split_voyages(apart(points)))
+
+
 def features_by_period(points: DataFrame) -> DataFrame:
-    """Voyage features of each period (yyyy_MM) on its own, voyages of all periods told apart by their id's prefix."""
-    apart = points.withColumns({"_own": F.col("mmsi"), "mmsi": F.concat_ws(":", F.date_format("ts", "yyyy_MM"), F.col("mmsi").cast("string"))})
-    return tracks.build_features(apart).withColumns({"period": F.split_part("mmsi", F.lit(":"), F.lit(1)), "mmsi": F.split_part("mmsi", F.lit(":"), F.lit(2)).cast("long")})
+    """Voyage features of each period on its own, with the voyage ids of voyages_by_period."""
+    return together(tracks.build_features(apart(points)))
+
+
+def federated(o: Options, features: DataFrame) -> DataFrame:
+    c = replace(FederatedConfig(), seed=o.seed, repeats=o.repeats, epochs=o.epochs)
+    task = cut(ml.federated_task(features, c, c.repeats))
+    return ml.mean_and_interval(ml.federated_results(task, c, c.repeats), "auc", "model")
+
+
+def of_declared(df: DataFrame, declarations: DataFrame) -> DataFrame:
+    return df.join(declarations.select("mmsi").distinct(), "mmsi", "left_semi")
 
 
+FOREST = AnomalyConfig()
 STEPS = (
-    Step("voyage_points", ("points",), lambda points: tracks.split_voyages(points)),
-    Step("coverage", ("points",), lambda points: tracks.coverage_grid(points)),
-    Step("features", ("points",), features_by_period),
-    Step("edges", ("points",), lambda points: pairs.accumulate(points, F.date_format("ts", "yyyy_MM"), PairConfig())),
-    Step("edges_scored", ("edges", "incidents"), lambda edges, incidents: pairs.with_truth(pairs.build_scores(edges), pairs.truth_pairs(incidents))),
-    Step("score_comparison", ("edges_scored",), lambda edges_scored: pairs.report(edges_scored)),
-    Step("ports", ("points",), lambda points: rules.detect_ports(points)),
-    Step("declarations", ("voyage_points", "ports"), lambda voyage_points, ports: rules.declarations(voyage_points, ports)),
-    Step("rule_results", ("declarations", "voyage_points", "ports"), lambda declarations, voyage_points, ports: rules.apply_rules(declarations, voyage_points, ports)),
-    Step("voyage_labels", ("features", "incidents"), lambda features, incidents: ml.label_voyages(features, incidents)),
-    Step("anomaly_scores", ("voyage_labels",), lambda voyage_labels: ml.isolation_scores(voyage_labels, ("avg_sog", "std_sog", "max_sog", "stopped_ratio", "course_std", "n_gaps", "max_gap_hours"))),
-    Step("overview", ("points", "incidents"), lambda points, incidents: eda.overview(points, incidents)),
+    Step("voyage_points", ("points",), lambda o, points: voyages_by_period(points)),
+    Step("coverage", ("points",), lambda o, points: tracks.coverage_grid(points)),
+    Step("features", ("points",), lambda o, points: features_by_period(points)),
+    Step("edges", ("points",), lambda o, points: pairs.accumulate(points, F.date_format("ts", "yyyy_MM"), PairConfig())),
+    Step("edges_scored", ("edges", "incidents"), lambda o, edges, incidents: pairs.with_truth(pairs.build_scores(edges), pairs.truth_pairs(incidents))),
+    Step("score_comparison", ("edges_scored",), lambda o, edges_scored: pairs.report(edges_scored)),
+    Step("evaluation", ("edges", "incidents"), lambda o, edges, incidents: pairs.evaluate(pairs.score_edges(edges), pairs.truth_pairs(incidents))),
+    Step("truth_hits", ("edges", "incidents"), lambda o, edges, incidents: pairs.truth_hits(pairs.score_edges(edges), pairs.truth_pairs(incidents))),
+    Step("persistence", ("edges_scored",), lambda o, edges_scored: pairs.persistence(edges_scored, 12)),
+    Step("persistence_curve", ("edges_scored",), lambda o, edges_scored: pairs.persistence_curve(edges_scored)),
+    Step("trade_edges", ("edges",), lambda o, edges: graph.trade_layer(edges)[1]),
+    Step("communities", ("edges",), lambda o, edges: graph.communities(*graph.trade_layer(edges))),
+    Step("cycles", ("trade_edges",), lambda o, trade_edges: graph.cycles(trade_edges.where("type = 'trades_with'"))),
+    Step("ports", ("points",), lambda o, points: rules.detect_ports(points)),
+    Step("declarations", ("voyage_points", "ports"), lambda o, voyage_points, ports: rules.declarations(voyage_points, ports, normal=o.normal)),
+    Step("rule_results", ("declarations", "voyage_points", "ports"), lambda o, declarations, voyage_points, ports: rules.apply_rules(declarations, voyage_points, ports)),
+    Step("fusion", ("rule_results", "features", "edges"), lambda o, rule_results, features, edges: rules.fuse(rule_results, features, edges)),
+    Step("voyage_labels", ("features", "incidents"), lambda o, features, incidents: ml.label_voyages(features, incidents)),
+    Step("anomaly_scores", ("voyage_labels",), lambda o, voyage_labels: ml.isolation_scores(voyage_labels, FOREST.features, replace(FOREST, seed=o.seed))),
+    Step("ablation", ("voyage_labels",), lambda o, voyage_labels: ml.ablation(voyage_labels, c=replace(FOREST, seed=o.seed))),
+    Step("federated", ("features",), lambda o, features: federated(o, features)),
+    Step("snapshot_edges", ("edges", "declarations"), lambda o, edges, declarations: graph.snapshot(edges, declarations)),
+    Step("snapshot_tracks", ("voyage_points", "declarations"), lambda o, voyage_points, declarations: of_declared(voyage_points, declarations)),
+    Step("snapshot_features", ("features", "declarations"), lambda o, features, declarations: of_declared(features, declarations)),
+    Step("overview", ("points", "incidents"), lambda o, points, incidents: eda.overview(points, incidents)),
 )
 
 
@@ -48,11 +95,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def run(spark: SparkSession, inputs: dict[str, DataFrame], out: str, force: bool = False, only: set[str] | None = None, dry: bool = False) -> list[tuple[str, str]]:
+def run(
+    spark: SparkSession, inputs: dict[str, DataFrame], out: str, force: bool = False, only: set[str] | None = None, dry: bool = False, skip: set[str] = frozenset(), o: Options = Options()
+) -> list[tuple[str, str]]:
     """Runs the steps in order; (step, made | kept | would run). An error ends the run."""
     tables, log = dict(inputs), []
     for step in STEPS:
-        if only and step.name not in only:
+        if only and step.name not in only or step.name in skip:
             if exists(spark, f"{out}/{step.name}"):
                 tables[step.name] = spark.read.parquet(f"{out}/{step.name}")
             continue
@@ -63,7 +112,7 @@ def run(spark: SparkSession, inputs: dict[str, DataFrame], out: str, force: bool
             log.append((step.name, "would run"))
             continue
         else:
-            step.make(**{n: tables[n] for n in step.needs}).write.mode("overwrite").parquet(path)
+            step.make(o, **{n: tables[n] for n in step.needs}).write.mode("overwrite").parquet(path)
             log.append((step.name, "made"))
         tables[step.name] = spark.read.parquet(path)
     return log
@@ -78,10 +127,21 @@ def main(args: list[str] | None = None) -> None:
     a.add_argument("--force", action="store_true")
     a.add_argument("--dry-run", action="store_true")
     a.add_argument("--only", nargs="*")
+    a.add_argument("--skip", nargs="*", help="steps to leave out")
+    a.add_argument("--year", help="only points of this year (yyyy)")
+    a.add_argument("--months", nargs="*", help="only points of these months (yyyy_MM)")
+    a.add_argument("--n-normal", type=int, default=Options.normal)
+    a.add_argument("--seed", type=int, default=Options.seed)
+    a.add_argument("--repeats", type=int, default=Options.repeats)
     o = a.parse_args(args)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     inputs = {"points": readers.read_points(spark, o.points, "features"), "incidents": readers.read_incidents(spark, o.incidents, o.incident_zone)}
-    for name, what in run(spark, inputs, o.out, o.force, set(o.only or ()) or None, o.dry_run):
+    if o.year:
+        inputs["points"] = inputs["points"].where(F.date_format("ts", "yyyy") == o.year)
+    if o.months:
+        inputs["points"] = inputs["points"].where(F.date_format("ts", "yyyy_MM").isin(o.months))
+    options = Options(normal=o.n_normal, seed=o.seed, repeats=o.repeats)
+    for name, what in run(spark, inputs, o.out, o.force, set(o.only or ()) or None, o.dry_run, set(o.skip or ()), options):
         print(name, what)
 
 

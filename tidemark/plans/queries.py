@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from tidemark.config import AnomalyConfig, FederatedConfig, PairConfig, RuleConfig
 from tidemark.functions.core import micros
+from tidemark.functions.ranking import cut, shared_path
 from tidemark.operators import eda, graph, ml, pairs, rules, tracks
 from tidemark.plans.sql import ORACLE  # noqa: F401  the entry reads both here
+from tidemark.sources import readers
 from tidemark.sources.adapters import incidents, points, supplier_cells
 
 ANY = PairConfig(min_windows=1)
 SHORT = RuleConfig(min_points=5)
 FOREST = AnomalyConfig()
 PERIOD_US = 5 * 86_400_000_000
+MONTH = "2024-02-01"
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -79,7 +82,7 @@ def yearly(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored_truth(spark: SparkSession, sf: str) -> DataFrame:
     truth = pairs.truth_pairs(incidents(points(spark, sf)))
-    return pairs.with_truth(pairs.build_scores(yearly(spark, sf)), truth)
+    return cut(pairs.with_truth(pairs.build_scores(cut(yearly(spark, sf))), truth))
 
 
 def edge_accumulate(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,6 +127,44 @@ def truth_hits(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pairs.truth_hits(pairs.score_edges(yearly(spark, sf)), truth))
 
 
+def evaluated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return pairs.score_edges(yearly(spark, sf)), cut(pairs.truth_pairs(incidents(points(spark, sf))))
+
+
+def edge_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.evaluate(*evaluated(spark, sf)))
+
+
+def truth_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.truth_summary(*evaluated(spark, sf)))
+
+
+def persistence_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.persistence_curve(scored_truth(spark, sf))
+
+
+def persistence_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.persistence_ranks(scored_truth(spark, sf)))
+
+
+def truth_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.with_truth(yearly(spark, sf), pairs.truth_pairs(incidents(points(spark, sf))), by_name=True).select("mmsi_a", "mmsi_b", "name_a", "name_b", "is_truth")
+
+
+def validate_month(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    later = incidents(p).withColumn("t_start", F.col("t_start") + F.expr("interval 20 days"))
+    return pairs.validate(pairs.in_month(later, MONTH), pairs.cooccurrence(pairs.vessel_cells(p), 1))
+
+
+def moored_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.moored_pairs(pairs.cooccurrence(pairs.vessel_cells(points(spark, sf)), 1)))
+
+
+def moving_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairs.moving_pairs(pairs.cooccurrence(pairs.vessel_cells(points(spark, sf)), 1)))
+
+
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     return ml.label_voyages(tracks.build_features(p), incidents(p), AnomalyConfig(pad_hours=0.5))
@@ -138,6 +179,16 @@ def incident_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ml.incident_tracks(p, incidents(p), 0.5))
 
 
+def incident_months(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return ml.incident_months(incidents(p), 60 * 24.0)
+
+
+def pruned_points(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return ml.prune_months(p, incidents(p), 0.5).groupBy("mmsi").agg(F.count("*").alias("n"))
+
+
 def auc_exact(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ml.auc(labelled(spark, sf), "max_sog", "is_incident"))
 
@@ -158,8 +209,8 @@ def nearest_port(spark: SparkSession, sf: str) -> DataFrame:
 
 def checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = points(spark, sf)
-    v, harbours = tracks.split_voyages(p), rules.detect_ports(p)
-    return p, v, rules.apply_rules(rules.declarations(v, harbours, SHORT), v, harbours, SHORT)
+    v, harbours = cut(tracks.split_voyages(p)), cut(rules.detect_ports(p))
+    return p, v, rules.apply_rules(cut(rules.declarations(v, harbours, SHORT)), v, harbours, SHORT)
 
 
 def declarations(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,7 +228,7 @@ def confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 def fusion(spark: SparkSession, sf: str) -> DataFrame:
     p, _, results = checked(spark, sf)
-    return rounded(rules.fuse(results, tracks.build_features(p), yearly(spark, sf)))
+    return rounded(rules.fuse(cut(results), tracks.build_features(p), cut(yearly(spark, sf))))
 
 
 def strong(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,12 +247,32 @@ def ego_network(spark: SparkSession, sf: str) -> DataFrame:
     return graph.ego_network(strong(spark, sf), 5, "n_windows")
 
 
+def traded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return graph.trade_layer(pairs.cooccurrence(pairs.vessel_cells(points(spark, sf)), 1))
+
+
+def trade_layer(spark: SparkSession, sf: str) -> DataFrame:
+    return traded(spark, sf)[1]
+
+
 def ring_communities(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(graph.communities(*graph.trade_layer(spark)))
+    return rounded(graph.communities(*traded(spark, sf)))
 
 
 def ring_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cycles(graph.trade_layer(spark)[1].where("type = 'trades'"))
+    return graph.cycles(traded(spark, sf)[1].where("type = 'trades_with'"))
+
+
+def top_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.top_edges(strong(spark, sf), "n_windows", 100)
+
+
+def largest_component(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.largest_component(strong(spark, sf))
+
+
+def degrees(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.degrees(strong(spark, sf), "n_windows")
 
 
 def snapshot_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,6 +285,34 @@ def snapshot_declared(spark: SparkSession, sf: str) -> DataFrame:
     return graph.snapshot(strong(spark, sf), declarations(spark, sf).select("mmsi"))
 
 
+def snapshot_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks of all vessels that a declaration names."""
+    v = tracks.split_voyages(points(spark, sf)).join(declarations(spark, sf).select("mmsi").distinct(), "mmsi", "left_semi")
+    return rounded(v.select("mmsi", "ts", "lat", "lon", "sog", "cog", "voyage_id"))
+
+
+def snapshot_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Voyage features of all vessels that a declaration names."""
+    return voyage_features(spark, sf).join(declarations(spark, sf).select("mmsi").distinct(), "mmsi", "left_semi")
+
+
+def csv_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points written as CSV by their file names, in two folders, and read back by the profile that drops unreal places and unavailable headings."""
+    p = points(spark, sf).withColumn("heading", F.when(F.col("mmsi") % 3 == 0, 511.0).otherwise(90.0))
+    names = {short: long for long, (short, _) in readers.POINT_COLUMNS.items()}
+    kept = [c for c in ("mmsi", "ts", "lat", "lon", "sog", "cog", "heading", "vessel_name") if c in p.columns]
+    base, paths = shared_path(spark, "points"), []
+    for part in (0, 1):
+        paths.append(f"{base}/{part}")
+        readers.write_csv(p.where(F.col("mmsi") % 2 == part).select(*[F.col(c).alias(names[c]) for c in kept]), paths[-1])
+    out = readers.read_points(spark, paths, "features").select(*kept)
+    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+def track_of(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tracks.track_of(points(spark, sf), 5).select("mmsi", "ts", "lat", "lon", "sog", "cog"))
+
+
 def eda_value_counts(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     return (
@@ -240,16 +339,18 @@ def supplier_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return ml.isolation_scores(labelled(spark, sf), FOREST.features, FOREST).select("voyage_id", "score", "is_anomaly")
+    return ml.isolation_scores(cut(labelled(spark, sf)), FOREST.features, FOREST).select("voyage_id", "score", "is_anomaly")
 
 
 def anomaly_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    return ml.ablation(graph.cut(labelled(spark, sf)), c=FOREST)
+    return ml.ablation(cut(labelled(spark, sf)), c=FOREST)
 
 
 def federated(spark: SparkSession, sf: str) -> DataFrame:
-    task = ml.federated_task(tracks.build_features(points(spark, sf)))
-    return ml.federated_results(graph.cut(task), FederatedConfig())
+    """Mean and half the 95 % interval of the held-out AUC of each model over all repeats."""
+    c = FederatedConfig()
+    task = cut(ml.federated_task(cut(tracks.build_features(points(spark, sf))), c, c.repeats))
+    return rounded(ml.mean_and_interval(ml.federated_results(task, c, c.repeats), "auc", "model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -261,7 +362,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             edge_accumulate, edge_scores, class_scores, class_baseline, incident_pairs, validate_incidents, topk_curve, best_score, persistence, truth_hits,
             voyage_labels, incident_tracks, auc_exact, feature_contribution, ports, nearest_port, declarations, rule_checks, confusion, fusion, components,
             degree_core, ego_network, ring_communities, ring_cycles, snapshot_union, snapshot_declared, eda_value_counts, null_rates, quantiles, overview, supplier_cooccurrence,
-            iforest_scores, anomaly_ablation, federated,
+            iforest_scores, anomaly_ablation, federated, edge_evaluation, truth_summary, persistence_curve, persistence_ranks, truth_by_name, validate_month,
+            moored_pairs, moving_pairs, trade_layer, top_edges, largest_component, incident_months, pruned_points, degrees, snapshot_tracks, snapshot_features, csv_points, track_of,
         )
     },
 }

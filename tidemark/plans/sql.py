@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.config import REPORT_K
+from tidemark.config import PERSISTENCE_K, REPORT_K, TOP_K
 
 POINTS = """points AS (
   SELECT user_id AS mmsi, ts, epoch_us(ts) AS us,
@@ -88,7 +88,7 @@ yearly AS (
 
 SCORED = """raw AS (
   SELECT *, least(class_a, class_b) || '/' || greatest(class_a, class_b) AS class_pair, CAST(n_both_moving AS DOUBLE) AS s_raw,
-    n_both_moving * sqrt(CAST(n_months AS DOUBLE)) AS s_pers_sqrt, n_both_moving / CAST(n_months AS DOUBLE) AS s_per_month FROM yearly),
+    n_both_moving * sqrt(CAST(1 + n_months AS DOUBLE)) AS s_pers_sqrt, n_both_moving / CAST(1 + n_months AS DOUBLE) AS s_per_month FROM yearly),
 scored0 AS (
   SELECT *, CASE WHEN stddev_samp(s_per_month) OVER g > 0 THEN (s_per_month - avg(s_per_month) OVER g) / stddev_samp(s_per_month) OVER g ELSE CAST(0 AS DOUBLE) END AS s_class_z,
     (rank() OVER (PARTITION BY class_pair ORDER BY s_per_month) + (count(*) OVER (PARTITION BY class_pair, s_per_month) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER g AS s_class_pct
@@ -117,18 +117,20 @@ DECLARATIONS = """ends AS (
   SELECT voyage_id, min(mmsi) AS mmsi, min(vessel_name) AS vessel_name, min(ts) AS t0, max(ts) AS t1, first(lat ORDER BY ts, lat, lon) AS alat, first(lon ORDER BY ts, lat, lon) AS alon,
     last(lat ORDER BY ts, lat, lon) AS blat, last(lon ORDER BY ts, lat, lon) AS blon FROM voyages GROUP BY voyage_id HAVING count(*) >= 5),
 near AS (
-  SELECT e.*, (SELECT first(port_id ORDER BY sqrt((p.lat - alat) ^ 2 + (p.lon - alon) ^ 2), port_id) FROM ports p) AS dep,
-    (SELECT first(port_id ORDER BY sqrt((p.lat - blat) ^ 2 + (p.lon - blon) ^ 2), port_id) FROM ports p) AS arr FROM ends e),
+  SELECT e.*, (SELECT first(port_id ORDER BY sqrt((p.lat - alat) ^ 2 + (p.lon - alon) ^ 2), port_id) FROM ports p WHERE sqrt((p.lat - alat) ^ 2 + (p.lon - alon) ^ 2) <= 0.05) AS dep,
+    (SELECT first(port_id ORDER BY sqrt((p.lat - blat) ^ 2 + (p.lon - blon) ^ 2), port_id) FROM ports p WHERE sqrt((p.lat - blat) ^ 2 + (p.lon - blon) ^ 2) <= 0.05) AS arr FROM ends e),
 cand AS (SELECT *, row_number() OVER (ORDER BY voyage_id) - 1 AS k FROM near WHERE dep <> arr ORDER BY voyage_id LIMIT 10),
 other AS (
-  SELECT c.*, list_sort((SELECT list(port_id) FROM ports p WHERE port_id <> c.dep AND port_id <> c.arr)) AS others, CAST('0x' || substr(md5(voyage_id), 1, 6) AS BIGINT) AS h FROM cand c),
+  SELECT c.*, (SELECT list(port_id ORDER BY CAST(substr(port_id, 2) AS BIGINT)) FROM ports p WHERE port_id <> c.dep AND port_id <> c.arr) AS others, CAST('0x' || substr(md5(voyage_id), 1, 6) AS BIGINT) AS h FROM cand c),
 picked AS (SELECT *, coalesce(others[1 + h % greatest(len(others), 1)], dep) AS alt FROM other),
 decl AS (
-  SELECT 'D' || lpad(CAST(k AS VARCHAR), 3, '0') || tag AS decl_id, voyage_id, mmsi, vessel_name, CASE WHEN tag = 'F0' THEN alt ELSE dep END AS declared_departure,
-    CASE WHEN tag = 'F1' THEN alt ELSE arr END AS declared_arrival,
-    CASE WHEN tag = 'F2' THEN t0 - INTERVAL 30 DAY WHEN tag = 'F3' THEN t0 + INTERVAL 1 HOUR ELSE t0 END AS declared_start,
-    CASE WHEN tag = 'F2' THEN t1 - INTERVAL 30 DAY WHEN tag = 'F3' THEN t0 + INTERVAL 4 HOUR ELSE t1 END AS declared_end,
-    tag <> '' AS is_fraud, CASE tag WHEN 'F0' THEN 'FAKE_ROUTE' WHEN 'F1' THEN 'FAKE_CALL' WHEN 'F2' THEN 'BACKDATED' WHEN 'F3' THEN 'GAP_PERIOD' END AS fraud_type
+  SELECT 'D' || lpad(CAST(k AS VARCHAR), 3, '0') || tag AS decl_id, voyage_id, mmsi, vessel_name, CASE WHEN tag = 'F1' THEN alt ELSE dep END AS declared_departure,
+    CASE WHEN tag = 'F0' THEN alt ELSE arr END AS declared_arrival,
+    CASE WHEN tag = 'F2' THEN t0 - INTERVAL 3 DAY WHEN tag = 'F3' THEN t0 + INTERVAL 1 HOUR ELSE t0 END AS declared_start,
+    CASE WHEN tag = 'F2' THEN t0 - INTERVAL 1 DAY WHEN tag = 'F3' THEN t0 + INTERVAL 4 HOUR ELSE t1 END AS declared_end,
+    tag <> '' AS is_fraud, CASE tag WHEN 'F0' THEN 'FAKE_ROUTE' WHEN 'F1' THEN 'FAKE_CALL' WHEN 'F2' THEN 'BACKDATED' WHEN 'F3' THEN 'GAP_PERIOD' END AS fraud_type,
+    CASE tag WHEN '' THEN 'taken from a real voyage, agrees with its track' WHEN 'F0' THEN 'declared arrival isn''t the real one' WHEN 'F1' THEN 'never called at the declared departure'
+      WHEN 'F2' THEN 'declared time is before the voyage' ELSE 'declared time is in a silent or still part' END AS note
   FROM picked CROSS JOIN (SELECT unnest(['', 'F0', 'F1', 'F2', 'F3']) AS tag) WHERE tag = '' OR k < 3)"""
 
 RULES = """track0 AS (
@@ -151,20 +153,39 @@ hits AS (
     CASE WHEN s.decl_id IS NULL THEN 'R0_NO_TRACK' END,
     CASE WHEN s.decl_id IS NOT NULL AND fp <> declared_departure THEN 'R1_ROUTE' END, CASE WHEN s.decl_id IS NOT NULL AND lp <> declared_arrival THEN 'R1_ROUTE' END,
     CASE WHEN ni = 0 THEN 'R2_NO_RECORD' END, CASE WHEN ni > 0 AND NOT lft THEN 'R2_CALL' END, CASE WHEN ni > 0 AND NOT came THEN 'R2_CALL' END,
-    CASE WHEN ni >= 2 AND coalesce(s.gap, 0) >= 2 AND sb > 2.0 THEN 'R3_SIGNAL' END], lambda x: x IS NOT NULL) AS triggered
+    CASE WHEN ni >= 2 AND coalesce(s.gap, 0) >= 2 AND sb > 2.0 THEN 'R3_SIGNAL' END], lambda x: x IS NOT NULL) AS triggered,
+    list_filter([
+    CASE WHEN s.decl_id IS NULL THEN 'no track of ' || mmsi END,
+    CASE WHEN s.decl_id IS NOT NULL AND fp <> declared_departure THEN 'declared departure ' || declared_departure || ', port nearest to the first point ' || fp END,
+    CASE WHEN s.decl_id IS NOT NULL AND lp <> declared_arrival THEN 'declared arrival ' || declared_arrival || ', port nearest to the last point ' || lp END,
+    CASE WHEN ni = 0 THEN 'no report from ' || strftime(declared_start, '%Y-%m-%d %H:%M') || ' to ' || strftime(declared_end, '%Y-%m-%d %H:%M') END,
+    CASE WHEN ni > 0 AND NOT lft THEN 'not near declared departure ' || declared_departure || ' when it should leave' END,
+    CASE WHEN ni > 0 AND NOT came THEN 'not near declared arrival ' || declared_arrival || ' when it should arrive' END,
+    CASE WHEN ni >= 2 AND coalesce(s.gap, 0) >= 2 THEN printf('silent for %.1f hours of the declared time', round(s.gap, 1)) || CASE WHEN sb > 2.0
+      THEN printf(', under way before at %.1f knots', round(sb, 1)) ELSE ', not under way before: missing evidence, not counted' END END], lambda x: x IS NOT NULL) AS texts
   FROM decl d LEFT JOIN seen s USING (decl_id)),
 results AS (
   SELECT decl_id, mmsi, voyage_id, vessel_name, declared_departure || '→' || declared_arrival AS declared, is_fraud AS truth_fraud, fraud_type, len(triggered) > 0 AS pred_fraud,
     CASE WHEN len(triggered) = 0 THEN 'LOW' WHEN len(triggered) = 1 THEN 'MEDIUM' ELSE 'HIGH' END AS risk, CAST(len(triggered) AS BIGINT) AS n_rules,
-    coalesce(array_to_string(triggered, ';'), '') AS triggered, max_gap_hours FROM hits)"""
+    coalesce(array_to_string(triggered, ';'), '') AS triggered, substr(coalesce(array_to_string(texts, ' | '), ''), 1, 220) AS evidence, max_gap_hours FROM hits)"""
 
 FUSION = """sides AS (
-  SELECT mmsi_a AS mmsi, * EXCLUDE (mmsi_a), mmsi_a AS x FROM yearly UNION ALL SELECT mmsi_b AS mmsi, * EXCLUDE (mmsi_a), mmsi_a AS x FROM yearly),
-best AS (SELECT mmsi, first(n_both_moving ORDER BY n_both_moving DESC, x, mmsi_b) AS mv, first(n_months ORDER BY n_both_moving DESC, x, mmsi_b) AS mo FROM sides GROUP BY mmsi),
+  SELECT mmsi_a AS mmsi, * EXCLUDE (mmsi_a), mmsi_a AS x, name_b AS o FROM yearly UNION ALL SELECT mmsi_b AS mmsi, * EXCLUDE (mmsi_a), mmsi_a AS x, name_a AS o FROM yearly),
+best AS (
+  SELECT mmsi, first(n_both_moving ORDER BY n_both_moving DESC, x, mmsi_b) AS mv, first(n_months ORDER BY n_both_moving DESC, x, mmsi_b) AS mo, first(o ORDER BY n_both_moving DESC, x, mmsi_b) AS o
+  FROM sides GROUP BY mmsi),
 ev AS (
-  SELECT r.*, CASE WHEN f.voyage_id IS NULL THEN 'UNAVAILABLE' WHEN f.n_signal_conflict > 0 THEN 'CONFLICT' WHEN f.n_gaps > 0 THEN 'MISSING' ELSE 'SUPPORT' END AS space_direction,
+  SELECT r.*, f.voyage_id IS NOT NULL AS space_ok, (SELECT count(*) > 0 FROM yearly) AS graph_ok,
+    CASE WHEN f.voyage_id IS NULL THEN 'MISSING' WHEN f.n_gaps = 0 THEN 'SUPPORT' WHEN f.n_signal_conflict = 0 THEN 'MISSING' ELSE 'CONFLICT' END AS space_direction,
+    CASE WHEN f.voyage_id IS NULL THEN 'no features of this voyage' WHEN f.n_gaps = 0 THEN 'no signal gap above the threshold'
+      WHEN f.n_signal_conflict = 0 THEN f.n_gaps || printf(' signal gaps (longest %.1f hours), all moored or in weak coverage: not counted', round(coalesce(f.max_gap_hours, 0), 1))
+      ELSE f.n_signal_conflict || printf(' signal gaps under way in good coverage (longest %.1f hours)', round(coalesce(f.max_gap_hours, 0), 1)) END AS space_text,
     CASE WHEN n_rules > 0 THEN 'CONFLICT' ELSE 'SUPPORT' END AS text_direction,
-    CASE WHEN b.mmsi IS NULL THEN 'UNAVAILABLE' WHEN mo >= 11 AND mv > 1000 THEN 'MISSING' WHEN mv >= 50 THEN 'CONFLICT' ELSE 'SUPPORT' END AS graph_direction,
+    CASE WHEN n_rules > 0 THEN substr(n_rules || ' rules triggered: ' || triggered, 1, 150) ELSE 'the declaration agrees with what can be checked' END AS text_text,
+    CASE WHEN NOT (SELECT count(*) > 0 FROM yearly) THEN 'MISSING' WHEN mv IS NULL THEN 'SUPPORT' WHEN mo >= 11 AND mv > 1000 THEN 'MISSING' WHEN mv >= 50 THEN 'CONFLICT' ELSE 'SUPPORT' END AS graph_direction,
+    CASE WHEN NOT (SELECT count(*) > 0 FROM yearly) THEN 'no co-occurrence graph' WHEN mv IS NULL THEN 'no stable co-occurrence'
+      WHEN mo >= 11 AND mv > 1000 THEN 'long-standing co-occurrence with ' || o || ' (' || mo || '/12 months, ' || mv || ' windows under way): usual operation'
+      WHEN mv >= 50 THEN 'unusual co-occurrence with ' || o || ': ' || mv || ' windows under way in ' || mo || ' months' ELSE 'weak co-occurrence, ' || mv || ' windows at most' END AS graph_text,
     least(CAST(1 AS DOUBLE), CAST(0.4 AS DOUBLE) + CAST(0.6 AS DOUBLE) * least(coalesce(f.max_gap_hours, 0) / CAST(6 AS DOUBLE), CAST(1 AS DOUBLE))) AS ss,
     least(CAST(1 AS DOUBLE), CAST(0.5 AS DOUBLE) + CAST(0.25 AS DOUBLE) * n_rules) AS st,
     least(CAST(1 AS DOUBLE), CAST(0.4 AS DOUBLE) + CAST(0.6 AS DOUBLE) * least(mv / CAST(800 AS DOUBLE), CAST(1 AS DOUBLE))) AS sg
@@ -172,13 +193,27 @@ ev AS (
 sums AS (
   SELECT *, (CASE WHEN space_direction = 'CONFLICT' THEN CAST(0.3 AS DOUBLE) * ss ELSE 0 END + CASE WHEN text_direction = 'CONFLICT' THEN CAST(0.25 AS DOUBLE) * st ELSE 0 END
     + CASE WHEN graph_direction = 'CONFLICT' THEN CAST(0.45 AS DOUBLE) * sg ELSE 0 END)
-    / (CASE WHEN space_direction <> 'UNAVAILABLE' THEN CAST(0.3 AS DOUBLE) ELSE 0 END + CAST(0.25 AS DOUBLE) + CASE WHEN graph_direction <> 'UNAVAILABLE' THEN CAST(0.45 AS DOUBLE) ELSE 0 END) AS raw,
+    / (CASE WHEN space_ok THEN CAST(0.3 AS DOUBLE) ELSE 0 END + CAST(0.25 AS DOUBLE) + CASE WHEN graph_ok THEN CAST(0.45 AS DOUBLE) ELSE 0 END) AS raw,
     CAST((space_direction = 'CONFLICT') AS BIGINT) + CAST((text_direction = 'CONFLICT') AS BIGINT) + CAST((graph_direction = 'CONFLICT') AS BIGINT) AS nc FROM ev)"""
 
 REACH = """pairs2 AS (SELECT mmsi_a AS x, mmsi_b AS y FROM strong UNION SELECT mmsi_b, mmsi_a FROM strong),
 reach AS (SELECT x, x AS r FROM pairs2 UNION SELECT p.y, q.r FROM reach q JOIN pairs2 p ON p.x = q.x)"""
 
 
+TRADE = """real AS (SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS BIGINT) AS i, CAST(m AS VARCHAR) AS dst, count(*) OVER () AS n FROM (SELECT mmsi_a AS m FROM edges UNION SELECT mmsi_b FROM edges)),
+firms AS (
+  SELECT 'ENT_' || lpad(CAST(i AS VARCHAR), 4, '0') AS id, i, i >= 300 AS is_fraud, CASE WHEN i >= 300 THEN (i - 300) // 4 END AS ring_id,
+    CASE WHEN i >= 300 THEN 'ring' || (i - 300) // 4 ELSE 'ENT_' || lpad(CAST(i AS VARCHAR), 4, '0') END AS seed FROM (SELECT unnest(range(0, 320)) AS i)),
+codes AS (
+  SELECT *, CAST('0x' || substr(md5(seed || 'k'), 1, 6) AS BIGINT) AS ck, CAST('0x' || substr(md5(seed || 'q'), 1, 6) AS BIGINT) AS cq, CAST('0x' || substr(md5(seed || 'v0'), 1, 6) AS BIGINT) AS v0,
+    CAST('0x' || substr(md5(seed || 'v1'), 1, 6) AS BIGINT) AS v1, CAST('0x' || substr(md5(seed || 'p0'), 1, 6) AS BIGINT) AS p0, CAST('0x' || substr(md5(seed || 'p1'), 1, 6) AS BIGINT) AS p1 FROM firms),
+slots AS (SELECT *, unnest([0, 1]) AS slot FROM codes),
+edges2 AS (
+  SELECT s.id AS src, r.dst, 'declares' AS type FROM slots s JOIN real r ON r.i = (v0 % r.n + slot * (1 + v1 % greatest(r.n // 4 - 1, 1))) % r.n WHERE slot <= CASE WHEN is_fraud THEN 1 ELSE ck % 2 END
+  UNION ALL SELECT id, 'PORT_' || lpad(CAST((p0 % 30 + slot * (1 + p1 % 6)) % 30 AS VARCHAR), 3, '0'), 'ships_to' FROM slots WHERE slot <= CASE WHEN is_fraud THEN 1 ELSE cq % 2 END
+  UNION ALL SELECT id, 'ENT_' || lpad(CAST(300 + ring_id * 4 + (i - 300 + 1) % 4 AS VARCHAR), 4, '0'), 'trades_with' FROM firms WHERE is_fraud),
+trades AS (SELECT src AS a, dst AS b FROM edges2 WHERE type = 'trades_with' UNION SELECT dst, src FROM edges2 WHERE type = 'trades_with')"""
+
 def sql(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(parts[:-1]) + "\n" + parts[-1]
 
@@ -198,10 +233,14 @@ REPORT = (
     f"ks AS (SELECT CAST(unnest({list(REPORT_K)}) AS BIGINT) AS K)",
     """report AS (
   SELECT score, K, count(*) FILTER (WHERE r <= K AND is_truth) AS hits, count(*) FILTER (WHERE r <= K AND is_truth) / CAST(any_value(t) AS DOUBLE) AS recall,
-    count(*) FILTER (WHERE r <= K AND is_truth) / CAST(least(K, any_value(n)) AS DOUBLE) AS precision,
-    count(*) FILTER (WHERE r <= K AND is_truth) / CAST(least(K, any_value(n)) AS DOUBLE) / (any_value(t) / CAST(any_value(n) AS DOUBLE)) AS lift
+    count(*) FILTER (WHERE r <= K AND is_truth) / CAST(K AS DOUBLE) AS precision,
+    count(*) FILTER (WHERE r <= K AND is_truth) / CAST(K AS DOUBLE) / (any_value(t) / CAST(any_value(n) AS DOUBLE)) AS lift
   FROM long CROSS JOIN ks CROSS JOIN base GROUP BY score, K)""",
 )
+EVALUATED = (
+    POINTS, CELLS, YEARLY, INCIDENTS, "s AS (SELECT *, n_both_moving * ln(1 + CAST(n_months AS DOUBLE)) AS score FROM yearly)",
+    "q AS (SELECT *, row_number() OVER (ORDER BY score DESC, mmsi_a, mmsi_b) AS rank FROM s)", "found AS (SELECT rank FROM q JOIN truth USING (mmsi_a, mmsi_b))",
+)
 STRONG = "strong AS (SELECT mmsi_a, mmsi_b, n_windows FROM edges WHERE n_windows >= 2)"
 DEGREE = "(SELECT x, count(*) AS d FROM (SELECT mmsi_a AS x FROM {0} UNION ALL SELECT mmsi_b FROM {0}) GROUP BY x)"
 KIN_COLUMNS = (
@@ -237,7 +276,7 @@ ORACLE: dict[str, str] = {
     "class_scores": sql(*SCORE_PARTS, f"SELECT mmsi_a, mmsi_b, class_pair, {r6(*SCORE_NAMES, 's_class_pct', table='scored')} FROM scored"),
     "class_baseline": sql(
         *SCORE_PARTS,
-        """SELECT class_pair, count(*) AS n_edges, round(quantile_cont(s_per_month, 0.5), 6) AS median_score, round(max(s_per_month), 6) AS max_score, count(*) FILTER (WHERE is_truth) AS n_truth
+        """SELECT class_pair, count(*) AS n_edges, CAST(quantile_cont(n_both_moving, 0.5) AS DOUBLE) AS median_moving, max(n_both_moving) AS max_moving, count(*) FILTER (WHERE is_truth) AS n_truth
         FROM scored GROUP BY class_pair ORDER BY n_edges DESC, class_pair LIMIT 12""",
     ),
     "incident_pairs": sql(POINTS, INCIDENTS, "SELECT * FROM ipairs"),
@@ -252,8 +291,45 @@ ORACLE: dict[str, str] = {
     "persistence": sql(
         *SCORE_PARTS,
         """SELECT count(*) AS n_edges, count(*) FILTER (WHERE n_months = 2) AS n_full, round(count(*) FILTER (WHERE n_months = 2) / CAST(count(*) AS DOUBLE), 6) AS full_share,
-        CAST(quantile_cont(n_months, 0.5) FILTER (WHERE is_truth) AS DOUBLE) AS median_truth, CAST(quantile_cont(n_months, 0.5) FILTER (WHERE NOT is_truth) AS DOUBLE) AS median_other FROM scored""",
+        count(*) FILTER (WHERE n_months = 2 AND is_truth) AS n_full_truth, CAST(quantile_cont(n_months, 0.5) AS DOUBLE) AS median_months,
+        CAST(quantile_cont(n_months, 0.5) FILTER (WHERE is_truth) AS DOUBLE) AS median_months_truth, CAST(quantile_cont(n_both_moving, 0.5) AS DOUBLE) AS median_moving,
+        CAST(quantile_cont(n_both_moving, 0.5) FILTER (WHERE is_truth) AS DOUBLE) AS median_moving_truth FROM scored""",
+    ),
+    "persistence_curve": sql(
+        *SCORE_PARTS,
+        "placed AS (SELECT is_truth, row_number() OVER (ORDER BY s_pers_sqrt DESC, mmsi_a, mmsi_b) AS b, row_number() OVER (ORDER BY s_per_month DESC, mmsi_a, mmsi_b) AS p FROM scored)",
+        f"""SELECT K, count(*) FILTER (WHERE b <= K AND is_truth) AS base_hits, count(*) FILTER (WHERE p <= K AND is_truth) AS pers_hits
+        FROM placed CROSS JOIN (SELECT CAST(unnest({list(PERSISTENCE_K)}) AS BIGINT) AS K) GROUP BY K""",
+    ),
+    "persistence_ranks": sql(
+        *SCORE_PARTS,
+        f"""SELECT mmsi_a, mmsi_b, n_both_moving, n_months, {r6('s_per_month', table='q')}, rank_pers
+        FROM (SELECT *, row_number() OVER (ORDER BY s_per_month DESC, mmsi_a, mmsi_b) AS rank_pers FROM scored) q WHERE is_truth""",
+    ),
+    "edge_evaluation": sql(
+        *EVALUATED, f"ks AS (SELECT least(CAST(unnest({list(TOP_K)}) AS BIGINT), (SELECT count(*) FROM q)) AS K UNION ALL SELECT count(*) FROM q)",
+        """SELECT K, (SELECT count(*) FROM found WHERE rank <= K) AS hits, round((SELECT count(*) FROM found WHERE rank <= K) / CAST((SELECT count(*) FROM truth) AS DOUBLE), 6) AS recall,
+        round((SELECT count(*) FROM found WHERE rank <= K) / CAST(K AS DOUBLE), 6) AS precision FROM ks""",
+    ),
+    "truth_summary": sql(
+        *EVALUATED,
+        """SELECT (SELECT count(*) FROM truth) AS n_truth, count(*) AS n_found, CAST(quantile_cont(rank, 0.5) AS DOUBLE) AS median_rank, min(rank) AS best_rank, max(rank) AS worst_rank,
+        round(count(*) / CAST((SELECT count(*) FROM truth) AS DOUBLE), 6) AS recall FROM found""",
+    ),
+    "truth_by_name": sql(
+        *SCORE_PARTS,
+        "known AS (SELECT DISTINCT least(name_a, name_b) AS x, greatest(name_a, name_b) AS y FROM scored WHERE is_truth)",
+        "SELECT mmsi_a, mmsi_b, name_a, name_b, k.x IS NOT NULL AS is_truth FROM yearly LEFT JOIN known k ON k.x = least(name_a, name_b) AND k.y = greatest(name_a, name_b)",
+    ),
+    "validate_month": sql(
+        POINTS, CELLS, EDGES, INCIDENTS,
+        """SELECT p.incident_num, p.mmsi_a, p.mmsi_b, 'error' AS incident_type, k.evidence, e.n_windows IS NOT NULL AS detected, coalesce(e.n_windows, 0) AS n_windows
+        FROM ipairs p LEFT JOIN edges e ON e.mmsi_a = p.mmsi_a AND e.mmsi_b = p.mmsi_b
+        JOIN (SELECT incident_num, min(evidence) AS evidence, min(t_start) + INTERVAL 20 DAY AS t FROM incidents GROUP BY 1) k ON k.incident_num = p.incident_num
+        WHERE t >= TIMESTAMP '2024-02-01' AND t < TIMESTAMP '2024-03-01'""",
     ),
+    "moored_pairs": sql(POINTS, CELLS, EDGES, f"SELECT *, {RATIOS} FROM edges WHERE n_windows >= 1 AND n_both_stopped / CAST(n_windows AS DOUBLE) >= 0.6"),
+    "moving_pairs": sql(POINTS, CELLS, EDGES, f"SELECT *, {RATIOS} FROM edges WHERE n_both_moving >= 5"),
     "truth_hits": sql(
         POINTS, CELLS, YEARLY, INCIDENTS, "s AS (SELECT *, n_both_moving * ln(1 + CAST(n_months AS DOUBLE)) AS score FROM yearly)",
         "q AS (SELECT *, row_number() OVER (ORDER BY score DESC, mmsi_a, mmsi_b) AS rank FROM s)",
@@ -264,6 +340,15 @@ ORACLE: dict[str, str] = {
         POINTS, INCIDENTS,
         f"SELECT i.incident_num, p.mmsi, p.ts, {r6('lat', 'lon', 'sog', table='p')} FROM points p JOIN incidents i ON i.mmsi = p.mmsi AND p.ts BETWEEN i.t_start - INTERVAL 30 MINUTE AND i.t_end + INTERVAL 30 MINUTE",
     ),
+    "incident_months": sql(
+        POINTS, INCIDENTS,
+        """SELECT DISTINCT CAST(unnest(generate_series(date_trunc('month', t_start - INTERVAL 60 DAY), date_trunc('month', t_end + INTERVAL 60 DAY), INTERVAL 1 MONTH)) AS TIMESTAMP) AS month FROM incidents""",
+    ),
+    "pruned_points": sql(
+        POINTS, INCIDENTS,
+        """SELECT mmsi, count(*) AS n FROM points WHERE date_trunc('month', ts) IN (SELECT unnest(generate_series(date_trunc('month', t_start - INTERVAL 30 MINUTE),
+        date_trunc('month', t_end + INTERVAL 30 MINUTE), INTERVAL 1 MONTH)) FROM incidents) GROUP BY mmsi""",
+    ),
     "auc_exact": sql(
         *VOYAGE_PARTS, INCIDENTS, LABELS,
         "ranked AS (SELECT is_incident, rank() OVER (ORDER BY max_sog) + (count(*) OVER (PARTITION BY max_sog) - 1) / CAST(2 AS DOUBLE) AS r FROM labels_v)",
@@ -291,9 +376,9 @@ ORACLE: dict[str, str] = {
     ),
     "fusion": sql(
         *VOYAGE_PARTS, CELLS, YEARLY, PORTS, DECLARATIONS, RULES, FUSION,
-        """SELECT decl_id, vessel_name, truth_fraud, space_direction, text_direction, graph_direction, round(raw, 4) AS fusion_score, nc AS n_modality_conflict,
-        CASE WHEN nc >= 2 OR round(raw, 4) >= 0.5 THEN 'RED' WHEN nc = 1 THEN 'YELLOW' ELSE 'GREEN' END AS intercept_level,
-        CASE WHEN nc >= 2 OR round(raw, 4) >= 0.5 THEN 'intercept' WHEN nc = 1 THEN 'review' ELSE 'release' END AS suggested_action FROM sums""",
+        """SELECT decl_id, vessel_name, truth_fraud, space_direction, space_text, text_direction, text_text, graph_direction, graph_text, round(raw, 4) AS fusion_score, nc AS n_modality_conflict,
+        CASE WHEN nc >= 2 OR raw >= 0.5 THEN 'RED' WHEN nc = 1 THEN 'YELLOW' ELSE 'GREEN' END AS intercept_level,
+        CASE WHEN nc >= 2 OR raw >= 0.5 THEN 'review by hand and hold payment' WHEN nc = 1 THEN 'ask for documents, then review' ELSE 'no conflict with physical evidence' END AS suggested_action FROM sums""",
     ),
     "components": sql(POINTS, CELLS, EDGES, STRONG, REACH, "SELECT x AS node, min(r) AS component FROM reach GROUP BY x", recursive=True),
     "degree_core": sql(
@@ -307,14 +392,42 @@ ORACLE: dict[str, str] = {
         POINTS, CELLS, EDGES, STRONG,
         "SELECT * FROM (SELECT mmsi_a AS node, mmsi_b AS other, n_windows FROM strong UNION ALL SELECT mmsi_b, mmsi_a, n_windows FROM strong) WHERE node = 5 ORDER BY n_windows DESC, other LIMIT 14",
     ),
-    "ring_communities": """SELECT 'R0' || g || '_0' AS community, CAST(4 AS BIGINT) AS size, CAST(0.667 AS DOUBLE) AS internal_density, CAST(2 AS BIGINT) AS n_shared_vessels,
-        CAST(2 AS BIGINT) AS n_shared_ports, 'R0' || g || '_0;R0' || g || '_1;R0' || g || '_2;R0' || g || '_3' AS members, CAST(4 AS BIGINT) AS n_fraud_true, CAST(1 AS DOUBLE) AS precision
-        FROM (SELECT unnest(range(0, 5)) AS g)""",
-    "ring_cycles": """SELECT CAST(4 AS BIGINT) AS length, 'R0' || g || '_0→R0' || g || '_1→R0' || g || '_2→R0' || g || '_3→R0' || g || '_0' AS members FROM (SELECT unnest(range(0, 5)) AS g)""",
+    "trade_layer": sql(POINTS, CELLS, EDGES, TRADE, "SELECT src, dst, type FROM edges2"),
+    "ring_communities": sql(
+        POINTS, CELLS, EDGES, TRADE, "hop AS (SELECT a, a AS r FROM trades UNION SELECT t.b, h.r FROM hop h JOIN trades t ON t.a = h.a)", "part AS (SELECT a AS id, min(r) AS c FROM hop GROUP BY a)",
+        "uses AS (SELECT DISTINCT c, type, dst FROM edges2 JOIN part ON id = src WHERE type <> 'trades_with')",
+        """SELECT c AS community, count(*) AS size, round((SELECT count(*) FROM trades JOIN part q ON q.id = a WHERE q.c = p.c AND a < b) / (count(*) * (count(*) - 1) / CAST(2 AS DOUBLE)), 3) AS internal_density,
+        (SELECT count(*) FROM uses u WHERE u.c = p.c AND type = 'declares') AS n_shared_vessels, (SELECT count(*) FROM uses u WHERE u.c = p.c AND type = 'ships_to') AS n_shared_ports,
+        string_agg(p.id, ',' ORDER BY p.id) AS members, (SELECT string_agg(dst, ',' ORDER BY dst) FROM uses u WHERE u.c = p.c AND type = 'declares') AS vessels,
+        count(*) FILTER (WHERE f.is_fraud) AS n_fraud_true, count(*) FILTER (WHERE f.is_fraud) / CAST(count(*) AS DOUBLE) AS precision
+        FROM part p JOIN firms f ON f.id = p.id GROUP BY c HAVING count(*) >= 4""",
+        recursive=True,
+    ),
+    "ring_cycles": sql(
+        POINTS, CELLS, EDGES, TRADE,
+        "walk AS (SELECT [a, b] AS path FROM trades WHERE b > a UNION ALL SELECT list_append(path, b) FROM walk JOIN trades ON a = path[-1] WHERE b > path[1] AND NOT list_contains(path, b) AND len(path) < 6)",
+        """SELECT len(path) AS length, array_to_string(path, '→') || '→' || path[1] AS members FROM walk WHERE len(path) >= 3 AND path[2] < path[-1] AND EXISTS (SELECT 1 FROM trades WHERE a = path[-1] AND b = path[1])
+        AND (SELECT count(*) FROM trades WHERE list_contains(path, a) AND list_contains(path, b)) = 2 * len(path)""",
+        recursive=True,
+    ),
     "snapshot_union": sql(
         POINTS, CELLS, EDGES, STRONG,
         "SELECT * FROM (SELECT * FROM strong ORDER BY n_windows DESC, mmsi_a, mmsi_b LIMIT 20) UNION SELECT * FROM strong WHERE mmsi_a < 4 OR mmsi_b < 4",
     ),
+    "snapshot_declared": sql(
+        POINTS, VOYAGES, CELLS, EDGES, STRONG, PORTS, DECLARATIONS,
+        "SELECT * FROM (SELECT * FROM strong ORDER BY n_windows DESC, mmsi_a, mmsi_b LIMIT 500) UNION SELECT * FROM strong WHERE mmsi_a IN (SELECT mmsi FROM decl) OR mmsi_b IN (SELECT mmsi FROM decl)",
+    ),
+    "snapshot_tracks": sql(POINTS, VOYAGES, PORTS, DECLARATIONS, f"SELECT mmsi, ts, {r6('lat', 'lon', 'sog', 'cog')}, voyage_id FROM voyages WHERE mmsi IN (SELECT mmsi FROM decl)"),
+    "snapshot_features": sql(*VOYAGE_PARTS, PORTS, DECLARATIONS, f"SELECT {KIN_COLUMNS}, {r6('course_std', 'max_gap_hours')}, n_signal_conflict, n_gaps, {DRAFT_COLUMNS} FROM features WHERE mmsi IN (SELECT mmsi FROM decl)"),
+    "csv_points": sql(POINTS, f"SELECT mmsi, ts, {r6('lat', 'lon', 'sog', 'cog')}, CASE WHEN mmsi % 3 = 0 THEN NULL ELSE CAST(90 AS DOUBLE) END AS heading, vessel_name FROM points"),
+    "track_of": sql(POINTS, f"SELECT mmsi, ts, {r6('lat', 'lon', 'sog', 'cog')} FROM points WHERE mmsi = 5"),
+    "top_edges": sql(POINTS, CELLS, EDGES, STRONG, "SELECT * FROM strong ORDER BY n_windows DESC, mmsi_a, mmsi_b LIMIT 100"),
+    "largest_component": sql(
+        POINTS, CELLS, EDGES, STRONG, REACH, "comp AS (SELECT x, min(r) AS c FROM reach GROUP BY x)", "top AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)",
+        "SELECT s.* FROM strong s JOIN comp ON comp.x = s.mmsi_a WHERE comp.c = (SELECT c FROM top)", recursive=True,
+    ),
+    "degrees": sql(POINTS, CELLS, EDGES, STRONG, "SELECT x AS node, count(*) AS degree, CAST(sum(w) AS BIGINT) AS strength FROM (SELECT mmsi_a AS x, n_windows AS w FROM strong UNION ALL SELECT mmsi_b, n_windows FROM strong) GROUP BY x"),
     "eda_value_counts": sql(
         POINTS, INCIDENTS,
         """SELECT vessel_class AS value, count(*) AS n, 'class' AS what FROM points GROUP BY 1 UNION ALL

@@ -85,7 +85,8 @@ def load_generic(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    exact = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("timestampFormat", exact).option("timestampNTZFormat", exact).csv(path)
 
 
 def schema_report(df: DataFrame) -> DataFrame:
