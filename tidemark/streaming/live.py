@@ -10,7 +10,7 @@ from tidemark.functions.core import above, below, cell, has_prefix
 
 
 def live_cells(points: DataFrame, late: str = "2 hours", c: PairConfig = PairConfig()) -> DataFrame:
-    """Vessels, stopped and moving counts of each hour and grid cell, of points at most `late` behind."""
+    """Vessels (approximate, within about 5 %), stopped and moving counts of each hour and grid cell, of points at most `late` behind."""
     return (
         points.withWatermark("ts", late)
         .where(~has_prefix("mmsi", c.exclude_prefixes))
@@ -20,7 +20,7 @@ def live_cells(points: DataFrame, late: str = "2 hours", c: PairConfig = PairCon
 
 
 def live_voyages(points: DataFrame, late: str = "2 hours", c: TrackConfig = TrackConfig()) -> DataFrame:
-    """Voyages as session windows: they end when a vessel is silent for voyage_gap_hours."""
+    """Voyages as session windows: they end when a vessel is silent for voyage_gap_hours, where a batch voyage goes on at a gap of just that."""
     gap = f"{int(c.voyage_gap_hours * 3600)} seconds"
     return points.withWatermark("ts", late).groupBy("mmsi", F.session_window("ts", gap).alias("session")).agg(
         F.count("*").alias("n_points"), F.avg("sog").alias("avg_sog"), F.max("sog").alias("max_sog")
