@@ -162,7 +162,7 @@ def moored_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def moving_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pairs.moving_pairs(pairs.cooccurrence(pairs.vessel_cells(points(spark, sf)), 1)))
+    return rounded(pairs.moving_pairs(pairs.cooccurrence(pairs.vessel_cells(points(spark, sf)), 1), PairConfig(min_moving_windows=2)))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:

@@ -329,7 +329,7 @@ ORACLE: dict[str, str] = {
         WHERE t >= TIMESTAMP '2024-02-01' AND t < TIMESTAMP '2024-03-01'""",
     ),
     "moored_pairs": sql(POINTS, CELLS, EDGES, f"SELECT *, {RATIOS} FROM edges WHERE n_windows >= 1 AND n_both_stopped / CAST(n_windows AS DOUBLE) >= 0.6"),
-    "moving_pairs": sql(POINTS, CELLS, EDGES, f"SELECT *, {RATIOS} FROM edges WHERE n_both_moving >= 5"),
+    "moving_pairs": sql(POINTS, CELLS, EDGES, f"SELECT *, {RATIOS} FROM edges WHERE n_both_moving >= 2"),
     "truth_hits": sql(
         POINTS, CELLS, YEARLY, INCIDENTS, "s AS (SELECT *, n_both_moving * ln(1 + CAST(n_months AS DOUBLE)) AS score FROM yearly)",
         "q AS (SELECT *, row_number() OVER (ORDER BY score DESC, mmsi_a, mmsi_b) AS rank FROM s)",
