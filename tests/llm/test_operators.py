@@ -35,6 +35,54 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language.identify(docs, language.train(none)).collect()} == {"und"}
 
 
+def test_language_equals_brute_force(spark, sf):
+    """Prototypes and cosines from plain loops over letters and n-grams."""
+    p = language.Profile()
+    signs = {}
+
+    def letter(c):
+        if c not in signs:
+            signs[c] = np.random.default_rng([p.seed, c]).integers(0, 2, p.dims) * 2 - 1
+        return signs[c]
+
+    def bundle(text):
+        out, last, row = np.zeros(p.dims), None, [0]
+        for c in (text or "") + " ":
+            code = (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0
+            if code or last != 0:
+                row.append(code)
+            last = code
+        row = [c for i, c in enumerate(row) if c or i == 0 or row[i - 1]]
+        bound = {}
+        for i in range(len(row) - p.n + 1):
+            g = tuple(row[i : i + p.n])
+            if g not in bound:
+                v = np.ones(p.dims)
+                for k, c in enumerate(g):
+                    v = v * np.roll(letter(c) if c else np.random.default_rng([p.seed, 0]).integers(0, 2, p.dims) * 2 - 1, k)
+                bound[g] = v
+            out += bound[g]
+        return out if any(row) else None
+
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") < 1500]
+    vectors = {r.doc_id: bundle(r.text) for r in docs}
+    sums = collections.defaultdict(lambda: np.zeros(p.dims))
+    for r in docs:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and vectors[r.doc_id] is not None:
+            sums[r.lang] = sums[r.lang] + vectors[r.doc_id]
+    table = spark.createDataFrame([tuple(r) for r in docs], spark.read.parquet(f"{sf}/documents.parquet").schema).withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    got = language.identify(table, language.train(table.where("not held_out"))).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        v = vectors[r.doc_id]
+        if v is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = {k: x @ v / np.linalg.norm(x) / np.linalg.norm(v) for k, x in sums.items()}
+        best = max(cosine.values())
+        assert cosine[r.lang_pred] == pytest.approx(best, abs=1e-5) and r.score == pytest.approx(max(best, 0), abs=1e-5)
+
+
 def test_language_vectors_bind_by_place():
     s = language.Space(language.Profile())
     g = lambda t: sum(ord(c) << 21 * i for i, c in enumerate(t))
@@ -132,6 +180,18 @@ def test_pseudonyms_of_values_before_other_groups():
             assert pii.rewrite(f"{head:02d} 4111 1111 1111 1111", b"k") == (f"{head:02d} {card}", 1)
 
 
+def test_pseudonyms_link_spellings(spark):
+    new = lambda v: pii.rewrite(v, b"k")[0]
+    assert new("John.Doe@Example.COM").lower() == new("john.doe@example.com") != "john.doe@example.com"
+    assert [c.isupper() for c in new("John.Doe@Example.COM")] == [c.isupper() for c in "John.Doe@Example.COM"]
+    digits = {re.sub("[^0-9]", "", new(v)) for v in ("+1 415 555 0123", "+14155550123", "+1 (415) 555-0123")}
+    assert len(digits) == 1 and digits.pop().startswith("1")
+    assert {re.sub("[^0-9]", "", new(v))[:2] for v in ("+49 30 1234567", "+49301234567")} == {"49"}
+    docs = spark.createDataFrame([(1, "a@b.com"), (2, "A@B.com"), (3, None)], "doc_id long, text string")
+    one, two = (sorted(pii.pseudonymised(docs, k).collect(), key=lambda r: r.doc_id) for k in (b"one", b"two"))
+    assert one[0].text == one[1].text.lower() != two[0].text and one[2].text is None and [r.n_pseudonyms for r in one] == [1, 1, 0]
+
+
 def test_pseudonyms_of_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     key = pii.session_key(spark)
@@ -318,6 +378,27 @@ def test_url_hosts_rules_and_aliases(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_url_spellings_are_one_address(spark):
+    rows = [(1, "http://a.net/p/", '<link rel="canonical" href="https://c.com/x">')] + [(10 + i, u, None) for i, u in enumerate(["https://C.com/x", "HTTPS://c.com:443/x#y", "https://c.com:8443/x", "https://c.com/X", "http://c.com/x"])]
+    rows += [(20, "http://A.net:80", '<link rel=canonical href="http://e.org">'), (21, "http://a.net/", ""), (22, "http://E.org/", ""), (23, "http://e.org:80#z", "")]
+    got = {r.page_id: r.verdict for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 10: "block", 11: "block", 12: "allow", 13: "allow", 14: "allow", 20: "block", 21: "block", 22: "block", 23: "block"}
+
+
+def test_urls_and_archives_with_clashing_columns_and_long_pages(spark):
+    long = "<p>" + "x" * 3_000_000 + '</p><link rel="canonical" href="http://b.org/1">'
+    rows = [(1, "http://a.net/", long), (2, "http://b.org/1", long), (2, "http://b.org/1", long), (3, None, None)]
+    names = "host path rule verdict own node component aliased a b id key file start size index payload low high".split()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit("k") for n in names}).repartition(3)
+    got = sorted((r.page_id, r.rule, r.verdict) for r in urlfilter.judge_urls(pages).select("page_id", F.coalesce("rule", F.lit("")).alias("rule"), "verdict").collect())
+    assert got == [(1, "net/", "block"), (2, "", "block"), (2, "", "block"), (3, "", "allow")]
+    back = sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.archive_and_read(pages).collect())
+    n = len(long)
+    assert back == [(1, "revisit", 2, n), (2, "response", 0, n), (2, "response", 0, n), (3, "response", 0, 0)]
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>").withColumns({n: F.lit("k") for n in [*names, "v", "k1", "k2", "rep", "copies", "dims", "count"]})
+    assert sorted(tuple(r) for r in embeddings.near_duplicate_vectors(vectors).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_embeddings_match_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").limit(300).collect()
     r = np.random.default_rng(5)

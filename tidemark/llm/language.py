@@ -108,9 +108,10 @@ def space(p: Profile) -> Space:
 def grams(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a text, with counts: words of letters between borders (0), runs of borders as one."""
     code = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    code = np.concatenate([[0], code, [0]]).astype(np.uint64)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
-    code = np.concatenate([[0], code[keep], [0]]).astype(np.uint64)
+    code = code[keep]
     if not code.any() or len(code) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     whole = np.zeros(len(code) - n + 1, np.uint64)
