@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000.0
@@ -58,8 +58,3 @@ def has_prefix(x: str | Column, prefixes: tuple[str, ...]) -> Column:
     for p in prefixes:
         out = out | col(x).cast("string").startswith(p)
     return out
-
-
-def any_of(df: DataFrame, names: list[str]) -> list[str]:
-    """Those of names that df has."""
-    return [n for n in names if n in df.columns]

@@ -20,6 +20,21 @@ def counts_in_order(df: DataFrame, column: str, order: tuple[str, ...] = EVIDENC
     return base.join(value_counts(df, column), "value", "left").select("pos", "value", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def showcase(incidents: DataFrame, n: int = 4, evidence: str = EVIDENCE_ORDER[0]) -> DataFrame:
+    """Rows of n incidents to show, of strongest evidence and with both times: half of them meetings of two vessels, then one of a single vessel for each type, then
+    more meetings; each kind by number."""
+    df = incidents.where((F.col("evidence") == evidence) & F.col("t_start").isNotNull() & F.col("t_end").isNotNull())
+    size = df.groupBy("incident_num").agg(F.count("*").alias("k"), F.min("incident_type").alias("kind"))
+    two = size.where("k = 2").select("incident_num")
+    first = two.orderBy("incident_num").limit(max(1, n // 2))
+    one = size.where("k = 1").groupBy("kind").agg(F.min("incident_num").alias("incident_num")).select("incident_num")
+    turns = [first, one, two.join(first, "incident_num", "left_anti")]
+    picked = turns[0].withColumn("turn", F.lit(0))
+    for i, more in enumerate(turns[1:], 1):
+        picked = picked.unionByName(more.withColumn("turn", F.lit(i)))
+    return df.join(picked.orderBy("turn", "incident_num").limit(n), "incident_num", "left_semi")
+
+
 def fill_rates(df: DataFrame, column: str, by: str) -> DataFrame:
     """Share of rows with a value, in all (value 'all') and by group."""
     rate = F.avg(F.col(column).isNotNull().cast("double")).alias("rate")

@@ -321,6 +321,10 @@ def eda_value_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def showcase(spark: SparkSession, sf: str) -> DataFrame:
+    return eda.showcase(incidents(points(spark, sf)))
+
+
 def null_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(eda.fill_rates(points(spark, sf), "draft", "vessel_class"))
 
@@ -363,7 +367,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             voyage_labels, incident_tracks, auc_exact, feature_contribution, ports, nearest_port, declarations, rule_checks, confusion, fusion, components,
             degree_core, ego_network, ring_communities, ring_cycles, snapshot_union, snapshot_declared, eda_value_counts, null_rates, quantiles, overview, supplier_cooccurrence,
             iforest_scores, anomaly_ablation, federated, edge_evaluation, truth_summary, persistence_curve, persistence_ranks, truth_by_name, validate_month,
-            moored_pairs, moving_pairs, trade_layer, top_edges, largest_component, incident_months, pruned_points, degrees, snapshot_tracks, snapshot_features, csv_points, track_of,
+            moored_pairs, moving_pairs, trade_layer, top_edges, largest_component, showcase, incident_months, pruned_points, degrees, snapshot_tracks, snapshot_features, csv_points, track_of,
         )
     },
 }

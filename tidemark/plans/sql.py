@@ -433,6 +433,13 @@ ORACLE: dict[str, str] = {
         """SELECT vessel_class AS value, count(*) AS n, 'class' AS what FROM points GROUP BY 1 UNION ALL
         SELECT o.value, count(i.evidence) AS n, 'evidence' FROM (SELECT unnest(['High', 'Good', 'Some', 'No obvious evidence']) AS value) o LEFT JOIN incidents i ON i.evidence = o.value GROUP BY 1""",
     ),
+    "showcase": sql(
+        POINTS, INCIDENTS, "strong AS (SELECT * FROM incidents WHERE evidence = 'High' AND t_start IS NOT NULL AND t_end IS NOT NULL)",
+        "sized AS (SELECT incident_num, count(*) AS k, min(incident_type) AS kind FROM strong GROUP BY 1)",
+        "two AS (SELECT incident_num, CASE WHEN row_number() OVER (ORDER BY incident_num) <= 2 THEN 0 ELSE 2 END AS turn FROM sized WHERE k = 2)",
+        "picked AS (SELECT incident_num FROM (SELECT * FROM two UNION ALL SELECT min(incident_num), 1 FROM sized WHERE k = 1 GROUP BY kind) ORDER BY turn, incident_num LIMIT 4)",
+        "SELECT * FROM strong WHERE incident_num IN (SELECT incident_num FROM picked)",
+    ),
     "null_rates": sql(
         POINTS,
         """SELECT vessel_class AS value, round(avg(CAST((draft IS NOT NULL) AS INTEGER)), 6) AS rate, count(*) AS n FROM points GROUP BY 1 UNION ALL
