@@ -29,10 +29,14 @@ def split_voyages(points: DataFrame, c: TrackConfig = TrackConfig()) -> DataFram
 
 def kinematics(voyages: DataFrame, c: TrackConfig = TrackConfig()) -> DataFrame:
     """One row a voyage_id. Name and class are the earliest that aren't null; std_sog is the sample deviation, null for one point; a missing speed counts as not stopped."""
+    return voyages.groupBy("voyage_id").agg(*kinematic_columns(c))
+
+
+def kinematic_columns(c: TrackConfig) -> list[Column]:
     at = F.struct("ts", "lat", "lon", "sog")
     edge = lambda name, f: f(F.col(name), at)
     known = lambda name: F.min_by(F.col(name), F.when(F.col(name).isNotNull(), at))
-    return voyages.groupBy("voyage_id").agg(
+    return [
         F.first("mmsi").alias("mmsi"),
         known("vessel_name").alias("vessel_name"),
         known("vessel_class").alias("vessel_class"),
@@ -48,7 +52,7 @@ def kinematics(voyages: DataFrame, c: TrackConfig = TrackConfig()) -> DataFrame:
         edge("lat", F.max_by).alias("lat_end"),
         edge("lon", F.max_by).alias("lon_end"),
         F.avg(below("sog", c.stopped_sog).cast("double")).alias("stopped_ratio"),
-    )
+    ]
 
 
 def course_spread(voyages: DataFrame) -> DataFrame:
@@ -108,16 +112,22 @@ def gap_rollup(gaps: DataFrame) -> DataFrame:
 
 def draft_features(voyages: DataFrame, c: TrackConfig = TrackConfig()) -> DataFrame:
     """One row a voyage: draft statistics over reported drafts, whether the vessel's draft ever changes, and the class of evidence."""
-    stats = voyages.groupBy("voyage_id").agg(
-        F.first("mmsi").alias("mmsi"),
-        F.count("draft").alias("draft_n"),
-        F.min("draft").alias("draft_min"),
-        F.max("draft").alias("draft_max"),
-        F.avg("draft").alias("draft_mean"),
-        F.stddev_samp("draft").alias("draft_std"),
-    )
-    reliable = voyages.where("draft is not null").groupBy("mmsi").agg((F.count_distinct("draft") >= c.draft_min_values).alias("draft_reliable_vessel"))
-    df = stats.join(reliable, "mmsi", "left").withColumns({
+    stats = voyages.groupBy("voyage_id").agg(F.first("mmsi").alias("mmsi"), *draft_columns())
+    return with_draft_class(stats.join(reliable_vessels(voyages, c), "mmsi", "left"), c).drop("mmsi")
+
+
+def reliable_vessels(voyages: DataFrame, c: TrackConfig) -> DataFrame:
+    return voyages.where("draft is not null").groupBy("mmsi").agg((F.count_distinct("draft") >= c.draft_min_values).alias("draft_reliable_vessel"))
+
+
+def draft_columns() -> list[Column]:
+    return [
+        F.count("draft").alias("draft_n"), F.min("draft").alias("draft_min"), F.max("draft").alias("draft_max"), F.avg("draft").alias("draft_mean"), F.stddev_samp("draft").alias("draft_std"),
+    ]
+
+
+def with_draft_class(df: DataFrame, c: TrackConfig) -> DataFrame:
+    df = df.withColumns({
         "draft_range": F.col("draft_max") - F.col("draft_min"),
         "draft_reliable_vessel": F.coalesce("draft_reliable_vessel", F.lit(False)),
     })
@@ -127,21 +137,30 @@ def draft_features(voyages: DataFrame, c: TrackConfig = TrackConfig()) -> DataFr
         .when(F.col("draft_range") > c.draft_change, "CHANGED")
         .otherwise("UNCHANGED")
     )
-    return df.withColumn("draft_class", verdict).drop("mmsi")
+    return df.withColumn("draft_class", verdict)
 
 
 def build_features(points: DataFrame, c: TrackConfig = TrackConfig()) -> DataFrame:
-    """The voyage feature table of one period; the steps in `plans.pipeline` unite several."""
+    """The voyage feature table of one period; the steps in `plans.pipeline` unite several.
+
+    Kinematics, turns and drafts are one aggregate over the windows that find the voyages; a turn is taken between points of one voyage. Whether a
+    vessel's draft ever changes follows from its voyages' drafts.
+    """
     voyages = split_voyages(points, c)
     gaps = signal_gaps(voyages, coverage_grid(points, c), c)
     zero = F.lit(0).cast("long")
-    return (
-        kinematics(voyages, c)
-        .join(course_spread(voyages), "voyage_id", "left")
-        .join(gap_rollup(gaps), "voyage_id", "left")
-        .join(draft_features(voyages, c), "voyage_id", "left")
-        .withColumns({"n_signal_conflict": F.coalesce("n_signal_conflict", zero), "n_gaps": F.coalesce("n_gaps", zero)})
+    before = lambda x: F.lag(x).over(track())
+    turn = F.when(before("voyage_seq") == F.col("voyage_seq"), wrapped_degrees(F.col("cog") - before("cog")))
+    df = voyages.withColumn("turn", turn).groupBy("voyage_id").agg(
+        *kinematic_columns(c), F.stddev_samp("turn").alias("course_std"), *draft_columns()
     )
+    if c.draft_min_values == 2:
+        vessel = Window.partitionBy("mmsi")
+        df = df.withColumn("draft_reliable_vessel", F.min("draft_min").over(vessel) < F.max("draft_max").over(vessel))
+    else:
+        df = df.join(reliable_vessels(voyages, c), "mmsi", "left")
+    df = with_draft_class(df, c)
+    return df.join(gap_rollup(gaps), "voyage_id", "left").withColumns({"n_signal_conflict": F.coalesce("n_signal_conflict", zero), "n_gaps": F.coalesce("n_gaps", zero)})
 
 
 def track_of(points: DataFrame, vessel: int | Column) -> DataFrame:
