@@ -21,7 +21,7 @@ from tidemark.llm._shared import cut
 from tidemark.llm.components import connected_components
 
 STEPS = 127  # quantised coordinates of unit vectors are -127 .. 127
-GRID = 3  # coordinates of a block that make its grid
+GRID = 2  # coordinates of a block that make its grid
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Pigeonhole:
 
     cosine: float = 0.95
     blocks: int = 8
-    cell: float = 0.16
+    cell: float = 0.09
     chunk: int = 4096
 
 
@@ -209,7 +209,7 @@ def candidate_pairs(vectors: DataFrame, dims: int, p: Pigeonhole) -> DataFrame:
     """Pairs (a < b) of vec_ids, each once, among which are all with that cosine. vectors: vec_id not null, v of dims finite values, not all 0."""
     spark = vectors.sparkSession
     counts = vectors.mapInArrow(_counts(dims, p), "block int, cell bigint, n bigint").groupBy("block", "cell").agg(F.sum("n").alias("n"))
-    # at most blocks * (2 / cell + 3)**GRID rows, however many vectors: 30,000 here
+    # at most blocks * (2 / cell + 3)**GRID rows, however many vectors: 5,000 here
     parts = {(r.block, r.cell): -(-r.n // p.chunk) for r in counts.collect()}
     dealt = vectors.mapInArrow(_deal(dims, p, parts), "block int, cell bigint, part int, kind int, ids binary, vectors binary")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, sum(parts.values())) // 16, 1)
