@@ -18,6 +18,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm._shared import tidy
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE_CACHE = 400_000
 PAIR_CACHE = 500_000
@@ -228,14 +230,14 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path: a file of ranks that every executor can read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encode(path or public_tokenizers.path(RANKS)), f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_encode(path or public_tokenizers.path(RANKS))), f"doc_id {kind}, ids array<int>")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encodes and decodes every row: doc_id, n_tokens, ids_sha256, decoded_sha256. Cases as in `encoded`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        _digest(path or public_tokenizers.path(RANKS)), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        tidy(_digest(path or public_tokenizers.path(RANKS))), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import Scratch, partitions_for
+from tidemark.llm._shared import Scratch, partitions_for, tidy
 from tidemark.llm._words import mix, shingles, text_parts
 from tidemark.llm.components import connected_components
 
@@ -160,7 +160,7 @@ def buckets(reps: DataFrame, kind: str) -> DataFrame:
     band of very many documents lies in several tasks, each with a leader of its own."""
     banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     n = partitions_for(reps, 64 << 20)
-    return banded.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_lead, f"key bigint, id {kind}, leader {kind}, edge boolean")
+    return banded.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(tidy(_lead), f"key bigint, id {kind}, leader {kind}, edge boolean")
 
 
 def alike(p: NearDup, x: str, y: str) -> Column:
@@ -205,7 +205,7 @@ def common_bound(texts: DataFrame, ids: DataFrame, traits: DataFrame, p: NearDup
     """
     kind = traits.schema["id"].dataType.simpleString()
     some = texts.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    get = lambda wide: some.mapInArrow(_details(p, wide), f"id {kind}, k1 bigint, x array<bigint>")
+    get = lambda wide: some.mapInArrow(tidy(_details(p, wide)), f"id {kind}, k1 bigint, x array<bigint>")
     rows = get(False).select("id", "k1", F.explode("x").alias("s"))
     # equal texts under one id are one document: the least and the largest are then the same
     ones = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min("k1").alias("k1"), F.max("k1").alias("last_k")).where("id = last and k1 = last_k")
@@ -290,7 +290,7 @@ def verified(texts: DataFrame, pairs: DataFrame, p: NearDup) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
     met = texts.join(needs, texts["doc_id"] == needs["id"]).select("id", "b", "part", "member", "text")
     met = met.repartition(partitions_for(texts, 64 << 20), "b", "part").sortWithinPartitions("b", "part", "member")
-    return met.mapInArrow(_verify(p), f"a {kind}, b {kind}").distinct()
+    return met.mapInArrow(tidy(_verify(p)), f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = ", ".join(f"{w} bigint" for w in p.sketch)
-    signed = scratch.stage(docs.mapInArrow(_sign(p), f"doc_id {kind}, n_shingles bigint, k1 bigint, k2 bigint, {words}, bands array<bigint>"), "signatures")
+    signed = scratch.stage(docs.mapInArrow(tidy(_sign(p)), f"doc_id {kind}, n_shingles bigint, k1 bigint, k2 bigint, {words}, bands array<bigint>"), "signatures")
     some = signed.where("doc_id is not null and k1 is not null")
     classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     copies = some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

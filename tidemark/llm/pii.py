@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm._shared import tidy
+
 KEY_SETTING = "spark.tidemark.pii.key"
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -297,7 +299,7 @@ def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     Rows are independent: null and repeated doc_ids pass; extra columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_rewrite(key, True), f"doc_id {kind}, text string, n_pseudonyms bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_rewrite(key, True)), f"doc_id {kind}, text string, n_pseudonyms bigint")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,5 +309,5 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes | None = None) -> DataFrame:
     """Every row with pseudonyms in its text, by key or the session's; n_chars, if there, is the new text's length. Rows are independent: null ids and
     texts pass, repeated rows get equal texts, and no rows give no rows."""
-    out = docs.mapInArrow(_rewrite(key or session_key(spark), False), docs.schema)
+    out = docs.mapInArrow(tidy(_rewrite(key or session_key(spark), False)), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
