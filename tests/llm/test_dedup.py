@@ -174,3 +174,41 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {x.id: x.component for x in got} == {x: find(x) for x in parent} and len(got) == len(parent)
     assert connected_components(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def thue_morse(n, a="a", b="b"):
+    return [b if bin(i).count("1") & 1 else a for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_structured_words_and_sequences_differ(spark, n):
+    """Long words of the Thue-Morse order and of its complement, and such sequences of two words, are told apart."""
+    words = [f"w{i}" for i in range(12)]
+    one, two = "".join(thue_morse(n)), "".join(thue_morse(n, "b", "a"))
+    docs = [(0, " ".join([one, *words])), (1, " ".join([two, *words]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeated_windows(df).collect()} == {0: 0, 1: 0}
+    short = spark.createDataFrame([(0, f"{one} x y"), (1, f"{two} x y"), (2, " ".join(thue_morse(n, "ping", "pong"))), (3, " ".join(thue_morse(n, "pang", "pung")))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(short).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_hashes_are_of_the_prime_field():
+    from tidemark.llm import _words as w
+
+    rng = random.Random(4)
+    a, b = ([rng.randrange(w.PRIME) for _ in range(300)] + [0, 1, w.PRIME - 1, w.PRIME - 1] for _ in range(2))
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    assert w.times(x, y).tolist() == [i * j % w.PRIME for i, j in zip(a, b)]
+    assert w.sums_modulo(x).tolist() == [sum(a[:i]) % w.PRIME for i in range(len(a) + 1)]
+    base = w.BASES[1]
+    assert w.window_hashes(x, 13).tolist() == [sum(a[i + k] * pow(base, k, w.PRIME) for k in range(13)) % w.PRIME for i in range(len(a) - 12)]
+
+
+def test_one_doubled_id_changes_no_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    doubled = docs.unionByName(spark.createDataFrame([(3, "another text of the document " * 20)], "doc_id long, text string"))
+    plain, more = (substring.remove_repeated_windows(d) for d in (docs, doubled))
+    assert more.count() == docs.count() + 1
+    assert {(r.doc_id, r.n_removed) for r in plain.collect()} <= {(r.doc_id, r.n_removed) for r in more.collect()}
+    wide = lambda df: max(int(n) for n in re.findall(r"hashpartitioning\(bucket#\d+, (\d+)\)", df._jdf.queryExecution().toString()))
+    assert wide(more) == wide(plain)

@@ -1,7 +1,8 @@
-"""Vectorised words, polynomial hashes and shingles of whole Arrow text columns.
+"""Vectorised words, hashes of words, rolling hashes of windows, and shingles of whole Arrow text columns.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D; those bytes never occur inside a multi-byte
-UTF-8 character. Hashes are Rabin-Karp polynomials modulo 2**64 over random byte values, got from prefix sums.
+UTF-8 character. A word's hash adds a well-mixed value for each of its (byte, place). Windows of words have Rabin-Karp polynomials
+modulo the prime 2**61 - 1 over those hashes. Both come from prefix sums.
 """
 
 from __future__ import annotations
@@ -19,23 +20,52 @@ LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BASES = tuple(int(x) | 1 for x in _rng.integers(2**62, 2**63, 4, dtype=np.uint64))
+PRIME = (1 << 61) - 1
+BASES = tuple(int(x) % PRIME for x in _rng.integers(2**60, 2**61, 4, dtype=np.uint64))
+PLACE = U(0x9E3779B97F4A7C15)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def modulo(x: np.ndarray) -> np.ndarray:
+    """64-bit integers modulo PRIME."""
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, by halves of 31 bits: 2**62 is 2, and 2**61 is 1."""
+    low = U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return modulo(U(2) * (a1 * b1) + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << U(31)) + a0 * b0)
+
+
+def power_table(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, U(pow(base, len(out), PRIME)))])
+    return out[:n]
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i < n; kept while not much larger than a chunk."""
+    """base**i and its inverse modulo PRIME for i < n; kept while not much larger than a chunk has words."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 2 * CHUNK_BYTES:
+        size = max(n, CHUNK_BYTES // 4)
+        have = power_table(base, size), power_table(pow(base, -1, PRIME), size)
+        if size <= CHUNK_BYTES:
             _powers[base] = have
     return have
 
 
+def sums_modulo(x: np.ndarray) -> np.ndarray:
+    """Prefix sums modulo PRIME of numbers below it, with a 0 in front: halves are added apart, so that none overflows."""
+    low, high = np.zeros(len(x) + 1, np.uint64), np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x & U((1 << 31) - 1), out=low[1:])
+    np.cumsum(x >> U(31), out=high[1:])
+    return modulo(times(modulo(high), U(1 << 31)) + modulo(low))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (in place)."""
     x ^= x >> U(30)
@@ -66,9 +96,9 @@ def text_parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         i = j
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words in buf, and for each row the index of its first word (one more entry at the end)."""
-    word = ~IS_SPACE[buf]
+def word_spans(buf: np.ndarray, offs: np.ndarray, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words in buf, runs of bytes that aren't outside, and for each row the index of its first word (one more entry at the end)."""
+    word = ~outside[buf]
     before = np.zeros(len(buf) + 1, bool)
     before[1:] = word
     before[offs] = False
@@ -81,27 +111,33 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    up, down = powers(BASES[0], len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * up[: len(buf)], out=sums[1:])
-    out = sums[ends] - sums[starts]
-    out *= down[starts]
-    out += (ends - starts).astype(np.uint64)
-    return mix(out)
+    """A 64-bit hash of each of the disjoint ascending spans of bytes: the mixed sum of a value for each byte at its place in the span."""
+    return prefix_hashes(buf, starts, ends, (), values)[0]
+
+
+def prefix_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], values: np.ndarray = BYTE_VALUES) -> list[np.ndarray]:
+    """The spans' hashes, and for each size those of the first bytes of the spans that are longer, in their order."""
+    lengths = ends - starts
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+    inside = buf[place + np.repeat(starts, lengths)]
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(mix(values[inside] + place.astype(np.uint64) * PLACE), out=sums[1:])
+    out = [mix(sums[before + lengths] - sums[before] + lengths.astype(np.uint64))]
+    for k in sizes:
+        at = before[lengths > k]
+        out.append(mix(sums[at + k] - sums[at] + U((1 << 40) + k)))
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int, base: int = BASES[1]) -> np.ndarray:
-    """A rolling hash of each run of size words, also of runs across rows: len(words) - size + 1 hashes."""
+    """A rolling hash, below PRIME, of each run of size words, also of runs across rows: len(words) - size + 1 hashes."""
     n = len(words)
     if n < size:
         return np.zeros(0, np.uint64)
     up, down = powers(base, n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * up[:n], out=sums[1:])
-    out = sums[size:] - sums[: n - size + 1]
-    out *= down[: n - size + 1]
-    return mix(out)
+    sums = sums_modulo(times(modulo(words), up[:n]))
+    return times(modulo(sums[size:] + U(PRIME) - sums[: n - size + 1]), down[: n - size + 1])
 
 
 def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +159,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     full = window_hashes(words, size)[at] if len(at) else np.zeros(0, np.uint64)
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        own = np.array([int(mix(np.array([hash_sequence(words[first[r] : first[r + 1]])], np.uint64))[0]) for r in short], np.uint64)
+        own = np.array([hash_sequence(words[first[r] : first[r + 1]]) for r in short], np.uint64)
         rows, full = np.concatenate([rows, short]), np.concatenate([full, own])
     order = np.lexsort((full, rows))
     rows, full = rows[order], full[order]
@@ -135,5 +171,6 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def hash_sequence(words: np.ndarray) -> int:
+    """A hash of a whole sequence of words, above those of windows."""
     up, _ = powers(BASES[2], len(words) + 1)
-    return (int((words * up[: len(words)]).sum(dtype=np.uint64)) + len(words)) & 0xFFFFFFFFFFFFFFFF
+    return int(sums_modulo(times(modulo(words), up[: len(words)]))[-1]) | (1 << 61)

@@ -240,7 +240,7 @@ def cross_pairs(shared: DataFrame, group: DataFrame, traits: DataFrame, texts: D
     apart = F.aggregate(F.zip_with("x.wide", "y.wide", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, v: t + v)
     near = enough & alike(p, "x", "y") & (apart <= 2 * p.wide - p.least_wide)
     first_band = F.array_position(F.zip_with("x.bands", "y.bands", lambda u, v: u == v), True).cast("int") - 1
-    near = near & (F.get(F.col("x.bands"), first_band) == F.shiftright(x["key"], 32).cast("int"))  # once a pair: in the first bucket that both share
+    near = near & (F.get(F.col("x.bands"), first_band) == x["key"])  # once a pair: in the first bucket that both share
     met = x.join(y, ["key", "part"]).where((F.col("gx") != F.col("gy")) & (F.col("in_main") | (F.col("x.id") > F.col("y.id"))) & near)
     return met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     copies = some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = scratch.stage(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", *p.sketch, "bands")).alias("m")).select("k1", "m.*"), "classes")
     traits = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "k1", *p.sketch)
-    bands = reps.select(F.col("doc_id").alias("id"), "k1", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"))
+    bands = reps.select(F.col("doc_id").alias("id"), "k1", "bands")
     shared = scratch.stage(buckets(reps, kind), "buckets")
     texts = scratch.stage(docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     first = scratch.stage(leader_pairs(shared, traits, p), "first")

@@ -75,8 +75,9 @@ class Segment:
         rows, at = window_starts(first, size)
         if len(at):
             words = span_hashes(buf, starts, ends)
-            hashes, other = window_hashes(words, size)[at], window_hashes(words, size, BASES[3])[at]
-            self.parts.append((hashes, (other >> np.uint64(32)).astype(np.uint32), ids[rows], marks[rows], (at - first[:-1][rows]).astype(np.int32)))
+            hashes, other = window_hashes(words, size)[at], window_hashes(words, size, BASES[3])[at]  # 61 bits each: 64 are compared, others of the second choose the bucket
+            hashes |= other << np.uint64(61)
+            self.parts.append((hashes, (other >> np.uint64(29)).astype(np.uint32), ids[rows], marks[rows], (at - first[:-1][rows]).astype(np.int32)))
             self.count += len(at)
 
     def flush(self, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -294,16 +295,18 @@ def remove_repeated_windows(docs: DataFrame, size: int = WINDOW, segment_windows
     """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window of `size` consecutive words that covers it also starts in a document with a smaller
-    doc_id. Windows are judged on the input, by a hash of 64 bits among those that a second hash deals to the same of b buckets: of n
-    windows about n**2 / (b * 2**65) go by chance. b grows with the input; for 100 TB (1e13 windows, 12 million buckets) that is less than one.
+    doc_id. Windows are judged on the input, by two polynomials over the hashes of their words, modulo the prime 2**61 - 1 at independent bases. 61 bits of one and 3 of
+    the other are compared among windows that further bits of the second deal to the same of b buckets. Two windows that differ agree in one polynomial at 12 of 2**61 bases at most, and at one on
+    average: of n windows about n**2 / (b * 2**65) go by chance. b grows with the input; for 100 TB (1e13 windows, 12 million buckets) that is less than one.
     A task settles repeats among segment_windows at a time before it sends the rest on.
 
     A null text has no words. Rows with a null doc_id lose nothing and make no other row lose anything. Rows that
     share a doc_id are each judged against smaller doc_ids only, so a repeated row changes nothing. Extra columns are
     ignored; no rows give no rows.
     """
-    docs = marked(docs.select("doc_id", "text"))
-    buckets = partitions_for(docs, BUCKET_BYTES)
+    docs = docs.select("doc_id", "text")
+    buckets = partitions_for(docs, BUCKET_BYTES)  # of the input: a join's size would be the product of its sides'
+    docs = marked(docs)
     pieces = docs.mapInArrow(_hash_windows(size, buckets, segment_windows), PIECE_SCHEMA)
     across = pieces.repartition(buckets, "bucket").mapInArrow(_count(buckets), "bucket int, found binary")
     found = across.repartition(buckets, "bucket").mapInArrow(_merge, "doc_id bigint, mark bigint, found binary")
