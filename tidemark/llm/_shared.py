@@ -57,11 +57,17 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 class Scratch:
-    """Tables that one operator writes for itself and deletes when its result is written."""
+    """Tables that one operator writes for itself; they are deleted when its result is written, or, in a with statement, also when it fails."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.clear()
+
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
         self.paths.append(path)

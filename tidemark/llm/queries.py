@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tidemark.llm.bpe import op6_bpe
+from tidemark.llm.centroids import op12_centroids
+from tidemark.llm.divergence import op13_divergence
 from tidemark.llm.embeddings import op10_pigeonhole
 from tidemark.llm.language import op1_language
 from tidemark.llm.minhash import op8_minhash
@@ -15,6 +17,7 @@ from tidemark.llm.mixing import op2_mix
 from tidemark.llm.pii import op3_pii
 from tidemark.llm.quality import op5_quality
 from tidemark.llm.substring import op4_substring
+from tidemark.llm.toxicity import op11_toxicity
 from tidemark.llm.urlfilter import op9_urls
 from tidemark.llm.warc import op7_warc
 
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_urls": op9_urls,
     "op10_pigeonhole": op10_pigeonhole,
+    "op11_toxicity": op11_toxicity,
+    "op12_centroids": op12_centroids,
+    "op13_divergence": op13_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -102,3 +108,61 @@ SELECT p.page_id, coalesce(u.host, '') AS host, coalesce(u.path, '') AS path, u.
   coalesce(u.own, CASE WHEN s.blocked AND NOT coalesce(s.allowed, false) THEN 'block' END, 'allow') AS verdict
 FROM pages p LEFT JOIN ruled u ON u.url = p.url LEFT JOIN seen s ON s.a = u.node
 """
+
+#: Components are taken at places 1 to 64; a round is one step of the recursion, whose rows carry the centroids as lists by number.
+def _rounds() -> str:
+    parts = []
+    for r in range(4):
+        parts.append(f"""
+near{r} AS (
+  SELECT vec_id, n, x, min_by(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT k.vec_id, k.n, k.x, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (k.x[i] - c.c[i]) * (k.x[i] - c.c[i]))) AS d FROM kept k CROSS JOIN c{r} c)
+  GROUP BY vec_id, n, x)""")
+        if r < 3:
+            parts.append(f"""
+sums{r} AS (
+  SELECT cluster, i, CAST(floor(sum(CAST(x[i] AS HUGEINT)) / count(*)) AS BIGINT) AS rough, sum(CAST(x[i] AS HUGEINT)) AS s, count(*) AS m
+  FROM near{r} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i),
+c{r + 1} AS (
+  SELECT c.cluster, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (
+    SELECT cluster, list(CASE WHEN s >= 0 THEN s // m ELSE -((-s + m - 1) // m) END ORDER BY i) AS c FROM sums{r} GROUP BY cluster) m ON m.cluster = c.cluster)""")
+    return ",".join(parts)
+
+
+ORACLE["op12_centroids"] = f"""
+WITH kept AS (
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda v: CAST(floor(64 * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h) AS INTEGER) - 1 AS cluster, x AS c FROM (
+    SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, x FROM kept ORDER BY h LIMIT 16)),{_rounds()}
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM near3 a JOIN c3 c ON c.cluster = a.cluster
+"""
+
+#: All kept terms stand against all groups of their language; whole numbers of 128 bits.
+ORACLE["op13_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+counts AS (SELECT w.lang, w.source, w.term, CAST(count(*) AS HUGEINT) AS n FROM words w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY w.lang, w.source, w.term),
+size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(s.v, 0) AS v, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN size s ON s.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source, s.v),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // CAST(g.total + g.v AS HUGEINT) AS p,
+    1 + (1000000000 * (k.n + 1)) // CAST(s.total + s.v AS HUGEINT) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN size s ON s.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM placed WHERE part = 'pair' OR r <= 200
+"""
