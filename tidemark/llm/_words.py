@@ -76,8 +76,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of runs of rows of about CHUNK_BYTES; null is empty. A long text is a run of its own."""
+def text_parts(texts: pa.Array, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of runs of rows of about chunk bytes; null is empty. A long text is a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
@@ -90,7 +90,7 @@ def text_parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + CHUNK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + chunk, "right")) - 1)
         j = min(j, n)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j

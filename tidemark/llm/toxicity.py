@@ -24,6 +24,7 @@ NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?\n"]] = True
 UNIT = float(1 << 24)
+PART_BYTES = 1 << 17  # a byte of text takes about a hundred in arrays
 
 
 @dataclass(frozen=True)
@@ -89,12 +90,14 @@ def _documents(t: Toxicity):
         for batch in batches:
             label = batch.column("toxic").to_numpy(zero_copy_only=False)
             total += np.bincount(label, minlength=2)
-            for i, j, buf, offs in text_parts(batch.column("text")):
+            for i, j, buf, offs in text_parts(batch.column("text"), PART_BYTES):
                 row, _, _, of, bucket = sentences(buf, offs, t)
-                both = np.unique(row[of] * t.buckets + bucket)
+                kind = np.int32 if (j - i) * t.buckets < 1 << 31 else np.int64
+                both = np.unique((row[of] * t.buckets + bucket).astype(kind))
+                toxic = label[i:j][both // t.buckets] == 1
                 for k in (0, 1):
-                    own = both[label[i:j][both // t.buckets] == k] % t.buckets
-                    np.add.at(seen[k], own, 1)
+                    found, n = np.unique(both[toxic == k] % t.buckets, return_counts=True)
+                    seen[k][found] += n.astype(np.int32)
         some = np.flatnonzero(seen.any(axis=0))
         for i in range(0, len(some) + 1, 1 << 16):
             at = some[i : i + (1 << 16)]
@@ -127,7 +130,7 @@ def _bags(t: Toxicity, m: Model):
         """A row a document: toxic, number of sentences without chosen words, and of the others the numbers of their words, one after the other, with offsets."""
         slot = slots(t, m)
         for batch in batches:
-            for i, j, buf, offs in text_parts(batch.column("text")):
+            for i, j, buf, offs in text_parts(batch.column("text"), PART_BYTES):
                 row, _, _, of, bucket = sentences(buf, offs, t)
                 known = slot[bucket] >= 0
                 both = np.unique(of[known] * len(m.buckets) + slot[bucket[known]])
@@ -152,9 +155,7 @@ def _gradient(weights: np.ndarray, bias: float, leak: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The gradient of the loss of a task's documents by weights, bias and leak, and last their number, in units of 1 / UNIT, so that sums don't hang on their order."""
         grad, n = np.zeros(len(weights) + 2), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
             plain = batch.column("plain").to_numpy(zero_copy_only=False).astype(float)
             sizes, words = batch.column("sizes").flatten().to_numpy(zero_copy_only=False), batch.column("words").flatten().to_numpy(zero_copy_only=False)
@@ -194,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, t: Toxicity = Toxicity()) -> Model
         at = np.concatenate([model.weights, [model.bias, model.leak]])
         mean, spread = np.zeros(len(at)), np.zeros(len(at))
         for k in range(1, t.epochs + 1):
-            task = bags.mapInArrow(_gradient(at[:-2], float(at[-2]), float(at[-1])), "i int, x bigint")
+            task = bags.mapInArrow(tidy(_gradient(at[:-2], float(at[-2]), float(at[-1]))), "i int, x bigint")
             sums = np.zeros(len(at) + 1)
             for r in task.groupBy("i").agg(F.sum("x").alias("x")).collect():  # a row a weight
                 sums[r.i] = r.x / UNIT
@@ -233,7 +234,7 @@ def characters(buf: np.ndarray) -> np.ndarray:
 def _score(t: Toxicity, m: Model, least: float | None):
     def documents(batch: pa.RecordBatch, slot: np.ndarray) -> Iterator[pa.RecordBatch]:
         kept = [n for n in batch.schema.names if n != "text"]
-        for i, j, buf, offs in text_parts(batch.column("text")):
+        for i, j, buf, offs in text_parts(batch.column("text"), PART_BYTES):
             row, begins, ends, z = scored(buf, offs, slot, t, m)
             clear = np.bincount(row, softplus(z), minlength=j - i) + softplus(m.leak)
             order = np.lexsort((begins, -z, row))
@@ -255,7 +256,7 @@ def _score(t: Toxicity, m: Model, least: float | None):
             )
 
     def offending(batch: pa.RecordBatch, slot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j, buf, offs in text_parts(batch.column("text")):
+        for i, j, buf, offs in text_parts(batch.column("text"), PART_BYTES):
             row, begins, ends, z = scored(buf, offs, slot, t, m)
             number = np.arange(len(row)) - np.searchsorted(row, row)
             some = np.flatnonzero(sigmoid(z) >= least)
