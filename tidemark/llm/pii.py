@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import tidy
 
-KEY_SETTING = "spark.tidemark.pii.key"
+KEY_SETTING = "spark.tidemark.pii.secret"  # by this name Spark hides its value in logs and listings
+BLOCK = 64
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ACCENTED = "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])), "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
@@ -31,8 +32,8 @@ SHAPES = re.compile(
     r"""
     (?<![\w.+%-])(?P<email>[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
     |(?<![A-Za-z0-9])(?P<cloud>A[KS]IA[0-9A-Z]{16})(?![A-Za-z0-9])
-    |(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|PASSWD|PWD|SECRET|TOKEN|API[_-]?KEY)\s{0,3}[=:]\s{0,3}["']?(?P<secret>[^\s"',;]{6,256})
-    |(?<![A-Za-z0-9])(?P<hex>[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])
+    |(?<![A-Za-z0-9])(?ai:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?(?P<secret>[^\s"',;]{6,})
+    |(?<![A-Za-z0-9])(?P<hex>[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])
     |(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?)(?![A-Za-z0-9])
     |(?<![\w./-])(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-/.])[0-9]{2}(?P=s2)[0-9]{4})(?![\w]|[./-][0-9])
     |(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])
@@ -45,13 +46,15 @@ SHAPES = re.compile(
 SOME = re.compile(r"[0-9@=:]|A[KS]IA")
 
 
+_drawn: dict[str, bytes] = {}
+
+
 def session_key(spark: SparkSession) -> bytes:
-    """The key in the session's setting spark.tidemark.pii.key. Without one, a random key is drawn and set for this session: pseudonyms then agree within it, and nobody can undo them later."""
-    key = spark.conf.get(KEY_SETTING, None)
-    if not key:
-        key = secrets.token_hex(32)
-        spark.conf.set(KEY_SETTING, key)
-    return key.encode()
+    """The key in the session's setting spark.tidemark.pii.secret. Without one, a random key is drawn for this application and kept in the driver's memory only: pseudonyms then agree within it, and nobody can
+    undo them later."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key.encode()
+    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32).encode())
 
 
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
@@ -73,11 +76,21 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
 
 
 def _round(x: int, i: int, key: bytes, tweak: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{x}".encode(), key=key[:64], digest_size=64).digest(), "big")
+    key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
+    return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{x}".encode(), key=key, digest_size=64).digest(), "big")
 
 
 def permute_string(s: str, key: bytes, tweak: str, alphabets: tuple[str, ...] = (DIGITS, LOWER, UPPER, *ACCENTED)) -> str:
-    """Each character stays in its alphabet; characters of none stay, and say to which format the string belongs."""
+    """Each character stays in its alphabet; characters of none stay, and say to which format the string belongs. Of more than BLOCK characters, blocks are permuted forwards and
+    then backwards, each under a digest of the blocks done before it, so that every character hangs on all."""
+    if len(s) > BLOCK:
+        blocks = [s[i : i + BLOCK] for i in range(0, len(s), BLOCK)]
+        for way, order in (("on", range(len(blocks))), ("back", range(len(blocks) - 1, -1, -1))):
+            seen = hashlib.blake2b(f"{len(s)}|{way}".encode(), digest_size=16)
+            for i in order:
+                blocks[i] = permute_string(blocks[i], key, f"{tweak}|{seen.hexdigest()}", alphabets)
+                seen.update(blocks[i].encode("utf-8", "surrogatepass"))
+        return "".join(blocks)
     sets = [next((a for a in alphabets if c in a), None) for c in s]
     x, size = 0, 1
     for c, a in zip(s, sets):
