@@ -36,8 +36,9 @@ def cut(df: DataFrame) -> DataFrame:
 def sums_before(df: DataFrame, order: list[str | Column], values: dict[str, Column]) -> DataFrame:
     """df with, under each name, the sum of that value over all rows that come before in the order; rows of equal order keys count in any order.
 
-    Rows are dealt by ranges of the order; each range's sums become the next ranges' offsets, one small row a range.
+    Rows are dealt by ranges of the order; each range's sums become the next ranges' offsets, one small row a range. The rows are written first, as dealing by ranges reads them twice.
     """
+    df = cut(df)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = cut(df.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     sums = parts.groupBy("_p").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import grouped_quantiles
+
 EVIDENCE_ORDER = ("High", "Good", "Some", "No obvious evidence")
 
 
@@ -43,8 +45,7 @@ def fill_rates(df: DataFrame, column: str, by: str) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str, qs: tuple[float, ...] = (0.5, 0.75, 0.9, 0.99)) -> DataFrame:
     """Exact quantiles, linear between values."""
-    all_q = df.agg(F.expr(f"percentile({column}, array({', '.join(map(str, qs))}))").alias("x"))
-    return all_q.select(F.posexplode("x").alias("i", "value")).select(F.get(F.array(*[F.lit(q) for q in qs]), F.col("i")).alias("q"), "value")
+    return grouped_quantiles(df, [column], qs).select("q", "value")
 
 
 def overview(points: DataFrame, incidents: DataFrame) -> DataFrame:

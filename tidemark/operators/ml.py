@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import AnomalyConfig, FederatedConfig
 from tidemark.functions.core import share
+from tidemark.functions.quantiles import grouped_quantiles, medians
 from tidemark.functions.ranking import cut, ranked, sums_before
 
 SAMPLE_ROWS = 100_000  # rows an isolation forest draws its trees' samples from, at most
@@ -51,8 +52,9 @@ def filled(features: DataFrame, columns: list[str] | tuple[str, ...], constants:
     """features with x_<column>: NaN and null filled with the column's constant, else with its median (in which infinite values count); then infinite ones are 0."""
     df = features.withColumns({f"x_{c}": F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns})
     free = [c for c in columns if c not in constants]
-    medians = df.agg(F.lit(0).alias("_"), *[F.coalesce(F.expr(f"percentile(x_{c}, 0.5)"), F.lit(0.0)).alias(c) for c in free]).first()
-    fill = {c: constants.get(c, float(medians[c]) if c in free else 0.0) for c in columns}
+    found = medians(df, [f"x_{c}" for c in free]).first() if free else None
+    middle = lambda c: 0.0 if found is None or found[f"x_{c}"] is None else float(found[f"x_{c}"])
+    fill = {c: constants.get(c, middle(c) if c in free else 0.0) for c in columns}
     whole = {c: F.coalesce(f"x_{c}", F.lit(fill[c])) for c in columns}
     return df.withColumns({f"x_{c}": F.when(F.abs(x) < float("inf"), x).otherwise(F.lit(0.0)) for c, x in whole.items()})
 
@@ -182,9 +184,11 @@ def ablation(features: DataFrame, label: str = "is_incident", c: AnomalyConfig =
 
 def feature_contribution(features: DataFrame, columns: list[str] | tuple[str, ...], label: str = "is_incident") -> DataFrame:
     """feature, medians of incident and other voyages, and their ratio."""
-    stack = ", ".join(f"'{c}', cast({c} as double)" for c in columns)
-    long = features.select(label, F.expr(f"stack({len(columns)}, {stack}) as (feature, x)"))
-    out = long.groupBy("feature").agg(F.expr(f"percentile(x, 0.5) filter (where {label})").alias("median_event"), F.expr(f"percentile(x, 0.5) filter (where not {label})").alias("median_normal"))
+    found = grouped_quantiles(features, list(columns), (0.5,), (label,))
+    median = lambda of: F.max(F.when(of, F.col("value")))
+    out = found.groupBy(F.col("column").alias("feature")).agg(median(F.col(label)).alias("median_event"), median(~F.col(label)).alias("median_normal"))
+    names = features.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    out = names.join(F.broadcast(out), "feature", "left")  # a row a column, also if it has no values
     return out.withColumn("ratio", F.try_divide("median_event", F.when(F.col("median_normal") != 0, F.col("median_normal"))))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import PERSISTENCE_K, REPORT_K, TOP_K, PairConfig
 from tidemark.functions.core import above, below, cell, has_prefix, pair_of, share, time_bin
-from tidemark.functions.ranking import ranked
+from tidemark.functions.quantiles import grouped_quantiles, medians
+from tidemark.functions.ranking import cut, ranked
 
 
 def vessel_cells(points: DataFrame, c: PairConfig = PairConfig()) -> DataFrame:
@@ -204,9 +205,10 @@ def best_score(table: DataFrame, ks: tuple[int, ...] = (20, 50, 100, 200)) -> Da
 
 def class_baseline(scored: DataFrame, first: int = 12) -> DataFrame:
     """The commonest pairs of classes: edges, median and largest joint movement, truth edges."""
-    return scored.groupBy("class_pair").agg(
-        F.count("*").alias("n_edges"), F.expr("percentile(n_both_moving, 0.5)").alias("median_moving"), F.max("n_both_moving").alias("max_moving"), F.count_if("is_truth").alias("n_truth")
-    ).orderBy(F.desc("n_edges"), "class_pair").limit(first)
+    top = scored.groupBy("class_pair").agg(F.count("*").alias("n_edges"), F.max("n_both_moving").alias("max_moving"), F.count_if("is_truth").alias("n_truth")).orderBy(F.desc("n_edges"), "class_pair").limit(first)
+    top = cut(top)
+    middle = medians(scored.join(F.broadcast(top.select("class_pair")), "class_pair", "left_semi"), ["n_both_moving"], ("class_pair",)).withColumnRenamed("n_both_moving", "median_moving")
+    return top.join(middle, "class_pair", "left").select("class_pair", "n_edges", "median_moving", "max_moving", "n_truth").orderBy(F.desc("n_edges"), "class_pair")
 
 
 def truth_hits(scored: DataFrame, truth: DataFrame) -> DataFrame:
@@ -228,22 +230,21 @@ def evaluate(ranked_edges: DataFrame, truth: DataFrame, ks: tuple[int, ...] = TO
 
 def truth_summary(ranked_edges: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: truth pairs, those found as edges, their share, and the median, best and worst of their ranks."""
-    found = truth_hits(ranked_edges, truth).agg(
-        F.count("*").alias("n_found"), F.expr("percentile(rank, 0.5)").alias("median_rank"), F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank")
-    )
+    hits = cut(truth_hits(ranked_edges, truth))
+    found = hits.agg(F.count("*").alias("n_found"), F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank")).crossJoin(medians(hits, ["rank"]).withColumnRenamed("rank", "median_rank"))  # one row each
     return truth.agg(F.count("*").alias("n_truth")).crossJoin(found).withColumn("recall", share(F.col("n_found"), F.col("n_truth")))  # one row each
 
 
 def persistence(edges: DataFrame, periods: int) -> DataFrame:
     """One row: edges, those of every period, their share and truth edges among them, and medians of n_months and n_both_moving of all and of truth edges (is_truth)."""
     full = F.col("n_months") == periods
-    median = lambda c, which="": F.expr(f"percentile({c}, 0.5){which}")
-    truth = " filter (where is_truth)"
-    return edges.agg(
-        F.count("*").alias("n_edges"), F.count_if(full).alias("n_full"), share(F.count_if(full), F.count("*")).alias("full_share"), F.count_if(full & F.col("is_truth")).alias("n_full_truth"),
-        median("n_months").alias("median_months"), median("n_months", truth).alias("median_months_truth"),
-        median("n_both_moving").alias("median_moving"), median("n_both_moving", truth).alias("median_moving_truth"),
-    )
+    whole = edges.agg(
+        F.count("*").alias("n_edges"), F.count_if(full).alias("n_full"), share(F.count_if(full), F.count("*")).alias("full_share"), F.count_if(full & F.col("is_truth")).alias("n_full_truth")
+    )
+    found = grouped_quantiles(edges.select("n_months", "n_both_moving", *[F.when(F.col("is_truth"), F.col(c)).alias(f"{c}_truth") for c in ("n_months", "n_both_moving")]), ["n_months", "n_both_moving", "n_months_truth", "n_both_moving_truth"])
+    of = lambda c: F.max(F.when(F.col("column") == c, F.col("value")))
+    middle = found.agg(of("n_months").alias("median_months"), of("n_months_truth").alias("median_months_truth"), of("n_both_moving").alias("median_moving"), of("n_both_moving_truth").alias("median_moving_truth"))
+    return whole.crossJoin(middle)  # one row each
 
 
 def persistence_curve(scored: DataFrame, ks: tuple[int, ...] = PERSISTENCE_K) -> DataFrame:

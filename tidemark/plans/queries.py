@@ -11,6 +11,7 @@ from tidemark.config import AnomalyConfig, FederatedConfig, PairConfig, RuleConf
 from tidemark.functions.core import micros
 from tidemark.functions.ranking import cut, shared_path
 from tidemark.operators import eda, graph, ml, pairs, rules, tracks
+from tidemark.operators.louvain import louvain
 from tidemark.plans.sql import ORACLE  # noqa: F401  the entry reads both here
 from tidemark.sources import readers
 from tidemark.sources.adapters import incidents, points, supplier_cells
@@ -263,6 +264,16 @@ def ring_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cycles(traded(spark, sf)[1].where("type = 'trades_with'"))
 
 
+def edge_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Communities of greatest modularity of vessels that share two windows or more."""
+    return louvain(strong(spark, sf))[0]
+
+
+def edge_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Cycles of up to six vessels of a minimum cycle basis of the same graph."""
+    return graph.cycles(strong(spark, sf), "mmsi_a", "mmsi_b")
+
+
 def top_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.top_edges(strong(spark, sf), "n_windows", 100)
 
@@ -365,7 +376,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             cooccurrence_edges, edge_lift, voyages, voyage_kinematics, course_std, coverage_grid, signal_gaps, gap_rollup, draft_usability, voyage_features,
             edge_accumulate, edge_scores, class_scores, class_baseline, incident_pairs, validate_incidents, topk_curve, best_score, persistence, truth_hits,
             voyage_labels, incident_tracks, auc_exact, feature_contribution, ports, nearest_port, declarations, rule_checks, confusion, fusion, components,
-            degree_core, ego_network, ring_communities, ring_cycles, snapshot_union, snapshot_declared, eda_value_counts, null_rates, quantiles, overview, supplier_cooccurrence,
+            degree_core, ego_network, ring_communities, ring_cycles, edge_communities, edge_cycles, snapshot_union, snapshot_declared, eda_value_counts, null_rates, quantiles, overview, supplier_cooccurrence,
             iforest_scores, anomaly_ablation, federated, edge_evaluation, truth_summary, persistence_curve, persistence_ranks, truth_by_name, validate_month,
             moored_pairs, moving_pairs, trade_layer, top_edges, largest_component, showcase, incident_months, pruned_points, degrees, snapshot_tracks, snapshot_features, csv_points, track_of,
         )
