@@ -70,11 +70,8 @@ def build_edges(points: DataFrame, c: PairConfig = PairConfig()) -> DataFrame:
     return with_names(with_lift(cooccurrence(cells, c.min_windows), cells), vessel_attributes(points))
 
 
-def accumulate(points: DataFrame, period: Column, c: PairConfig = PairConfig(), filter_after: bool = False) -> DataFrame:
-    """Edges of each period summed: n_windows, n_both_stopped, n_both_moving, n_months (periods with an edge), names, classes, shares.
-
-    The threshold applies to each period's edges first; with filter_after, to the sums only. A cell's bin belongs to one period.
-    """
+def edges_by_period(points: DataFrame, period: Column, c: PairConfig = PairConfig(), filter_after: bool = False) -> DataFrame:
+    """Edges of each period on its own: period, mmsi_a, mmsi_b, n_windows, n_both_stopped, n_both_moving; of min_windows or more, unless filter_after leaves that to the sums. A cell's bin belongs to one period."""
     cells = (
         points.where(~has_prefix("mmsi", c.exclude_prefixes))
         .groupBy(period.alias("period"), time_bin("ts", c.bin_hours).alias("tbin"), cell("lat", c.cell).alias("ci"), cell("lon", c.cell).alias("cj"), "mmsi")
@@ -89,16 +86,25 @@ def accumulate(points: DataFrame, period: Column, c: PairConfig = PairConfig(),
         F.count_if(F.col("a.stopped") & F.col("b.stopped")).alias("n_both_stopped"),
         F.count_if(F.col("a.moving") & F.col("b.moving")).alias("n_both_moving"),
     )
-    if not filter_after:
-        by_period = by_period.where(F.col("n_windows") >= c.min_windows)
-    total = by_period.groupBy("mmsi_a", "mmsi_b").agg(
-        *[F.sum(x).alias(x) for x in ("n_windows", "n_both_stopped", "n_both_moving")], F.count_distinct("period").alias("n_months")
-    )
-    if filter_after:
-        total = total.where(F.col("n_windows") >= c.min_windows)
+    return by_period if filter_after else by_period.where(F.col("n_windows") >= c.min_windows)
+
+
+def merge_periods(edges: DataFrame, points: DataFrame, least: int | None = None) -> DataFrame:
+    """Edges (period, mmsi_a, mmsi_b, counts) summed, n_months the number of periods, with shares, names and classes; sums of fewer than `least` windows go."""
+    total = edges.groupBy("mmsi_a", "mmsi_b").agg(*[F.sum(x).alias(x) for x in ("n_windows", "n_both_stopped", "n_both_moving")], F.count_distinct("period").alias("n_months"))
+    if least is not None:
+        total = total.where(F.col("n_windows") >= least)
     return with_names(with_ratios(total), vessel_attributes(points))
 
 
+def accumulate(points: DataFrame, period: Column, c: PairConfig = PairConfig(), filter_after: bool = False) -> DataFrame:
+    """Edges of each period summed: n_windows, n_both_stopped, n_both_moving, n_months (periods with an edge), names, classes, shares.
+
+    The threshold applies to each period's edges first; with filter_after, to the sums only. `sources.store` keeps the periods' edges, so that a new period is added alone.
+    """
+    return merge_periods(edges_by_period(points, period, c, filter_after), points, c.min_windows if filter_after else None)
+
+
 def class_pair() -> Column:
     a, b = (F.coalesce(F.col(x).cast("string"), F.lit("nan")) for x in ("class_a", "class_b"))
     return F.concat_ws("/", *pair_of(a, b))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.config import AnomalyConfig, FederatedConfig, PairConfig, RuleConfig
 from tidemark.functions.core import micros
-from tidemark.functions.ranking import cut, shared_path
+from tidemark.functions.ranking import cut, remove, shared_path
 from tidemark.operators import eda, graph, ml, pairs, rules, tracks
 from tidemark.operators.louvain import louvain
 from tidemark.plans.sql import ORACLE  # noqa: F401  the entry reads both here
-from tidemark.sources import readers
+from tidemark.sources import readers, store
 from tidemark.sources.adapters import incidents, points, supplier_cells
 
 ANY = PairConfig(min_windows=1)
@@ -190,6 +190,28 @@ def pruned_points(spark: SparkSession, sf: str) -> DataFrame:
     return ml.prune_months(p, incidents(p), 0.5).groupBy("mmsi").agg(F.count("*").alias("n"))
 
 
+def stored_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points kept by day, of which only files of days near an incident are read: how many of each vessel."""
+    p, path = points(spark, sf), shared_path(spark, "points")
+    store.write_points(p, path, store.DAYS)
+    near = store.in_periods(store.read(spark, path), store.incident_periods(incidents(p).where("evidence = 'High'"), 0.5, store.DAYS))
+    out = cut(near.groupBy("mmsi").agg(F.count("*").alias("n")))
+    remove(spark, path)
+    return out
+
+
+def stored_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of each day kept as a store: those of odd days first, then the others are added alone, then all are summed."""
+    p, path, kept = points(spark, sf), shared_path(spark, "points"), shared_path(spark, "edges")
+    for rest in (1, 0):
+        store.write_points(p.where(F.dayofyear("ts") % 2 == rest), path, store.DAYS, mode="append")
+        store.update_edges(spark, path, kept, ANY)
+    out = cut(rounded(store.merged_edges(spark, path, kept)))
+    for x in (path, kept):
+        remove(spark, x)
+    return out
+
+
 def auc_exact(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ml.auc(labelled(spark, sf), "max_sog", "is_incident"))
 
@@ -378,7 +400,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             voyage_labels, incident_tracks, auc_exact, feature_contribution, ports, nearest_port, declarations, rule_checks, confusion, fusion, components,
             degree_core, ego_network, ring_communities, ring_cycles, edge_communities, edge_cycles, snapshot_union, snapshot_declared, eda_value_counts, null_rates, quantiles, overview, supplier_cooccurrence,
             iforest_scores, anomaly_ablation, federated, edge_evaluation, truth_summary, persistence_curve, persistence_ranks, truth_by_name, validate_month,
-            moored_pairs, moving_pairs, trade_layer, top_edges, largest_component, showcase, incident_months, pruned_points, degrees, snapshot_tracks, snapshot_features, csv_points, track_of,
+            moored_pairs, moving_pairs, trade_layer, top_edges, largest_component, showcase, incident_months, pruned_points, stored_points, stored_edges, degrees, snapshot_tracks, snapshot_features, csv_points, track_of,
         )
     },
 }
