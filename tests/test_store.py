@@ -63,3 +63,23 @@ def test_a_new_period_is_added_alone(spark, tmp_path):
     assert rows(store.merged_edges(spark, points, edges)) == want
     assert store.update_edges(spark, points, edges, c, ["2023_01", "1999_01"]) == ["2023_01"]
     assert rows(store.merged_edges(spark, points, edges)) == want
+
+
+def test_steps_follow_their_options_and_inputs(spark, tmp_path):
+    from tidemark.plans import pipeline
+
+    where = f"file://{tmp_path}/in"
+    reports(spark).where("ts is not null").withColumns({"cog": F.lit(0.0), "heading": F.lit(0.0)}).write.parquet(where)
+    only, out = {"voyage_points", "ports", "declarations", "overview"}, f"file://{tmp_path}/out"
+    i = spark.createDataFrame([], "incident_num long, mmsi long, t_start timestamp_ntz, t_end timestamp_ntz, incident_type string, evidence string")
+
+    def made(o=pipeline.Options(), **kw):
+        log = pipeline.run(spark, {"points": spark.read.parquet(where), "incidents": i}, out, only=only & kw.pop("some", only), o=o, **kw)
+        return {name for name, what in log if what == "made"}
+
+    assert made() == only and made() == set()
+    assert made(pipeline.Options(normal=2)) == {"declarations"} and made(pipeline.Options(normal=2, seed=7)) == set()
+    assert made(pipeline.Options(normal=2), force=True, some={"ports"}) == {"ports"}
+    assert made(pipeline.Options(normal=2)) == {"declarations"}  # its ports were remade
+    reports(spark).where("mmsi = 1").withColumns({"cog": F.lit(0.0), "heading": F.lit(0.0)}).write.mode("append").parquet(where)
+    assert {name for name, _ in pipeline.run(spark, {"points": spark.read.parquet(where), "incidents": i}, out, only=only, dry=True) if _ == "would run"} == only

@@ -45,7 +45,7 @@ def fill_rates(df: DataFrame, column: str, by: str) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str, qs: tuple[float, ...] = (0.5, 0.75, 0.9, 0.99)) -> DataFrame:
     """Exact quantiles, linear between values."""
-    return grouped_quantiles(df, [column], qs).select("q", "value")
+    return grouped_quantiles(df, [column], qs).select("q", "value").orderBy("q")
 
 
 def overview(points: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""The whole analysis as named steps, each written as Parquet and skipped where it is already there."""
+"""The whole analysis as named steps, each written as Parquet and kept while its options and what it was made from stay the same."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.config import AnomalyConfig, FederatedConfig, PairConfig
 from tidemark.functions.ranking import cut
 from tidemark.operators import eda, graph, ml, pairs, rules, tracks
+from tidemark.operators.louvain import louvain
 from tidemark.sources import readers
 
 
@@ -21,15 +24,18 @@ class Options:
     seed: int = 42
     repeats: int = 8
     epochs: int = 200
+    year: str | None = None
+    months: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class Step:
-    """make takes the options and, by name, the tables it needs."""
+    """make takes the options and, by name, the tables it needs; uses names the options on which it depends, besides those that chose the points."""
 
     name: str
     needs: tuple[str, ...]
     make: Callable[..., DataFrame]
+    uses: tuple[str, ...] = ()
 
 
 def apart(points: DataFrame) -> DataFrame:
@@ -72,17 +78,20 @@ STEPS = (
     Step("truth_hits", ("edges", "incidents"), lambda o, edges, incidents: pairs.truth_hits(pairs.score_edges(edges), pairs.truth_pairs(incidents))),
     Step("persistence", ("edges_scored",), lambda o, edges_scored: pairs.persistence(edges_scored, 12)),
     Step("persistence_curve", ("edges_scored",), lambda o, edges_scored: pairs.persistence_curve(edges_scored)),
+    Step("persistence_ranks", ("edges_scored",), lambda o, edges_scored: pairs.persistence_ranks(edges_scored)),
+    Step("best_score", ("score_comparison",), lambda o, score_comparison: pairs.best_score(score_comparison)),
+    Step("edge_communities", ("edges",), lambda o, edges: louvain(edges)[0]),
     Step("trade_edges", ("edges",), lambda o, edges: graph.trade_layer(edges)[1]),
     Step("communities", ("edges",), lambda o, edges: graph.communities(*graph.trade_layer(edges))),
     Step("cycles", ("trade_edges",), lambda o, trade_edges: graph.cycles(trade_edges.where("type = 'trades_with'"))),
     Step("ports", ("points",), lambda o, points: rules.detect_ports(points)),
-    Step("declarations", ("voyage_points", "ports"), lambda o, voyage_points, ports: rules.declarations(voyage_points, ports, normal=o.normal)),
+    Step("declarations", ("voyage_points", "ports"), lambda o, voyage_points, ports: rules.declarations(voyage_points, ports, normal=o.normal), ("normal",)),
     Step("rule_results", ("declarations", "voyage_points", "ports"), lambda o, declarations, voyage_points, ports: rules.apply_rules(declarations, voyage_points, ports)),
     Step("fusion", ("rule_results", "features", "edges"), lambda o, rule_results, features, edges: rules.fuse(rule_results, features, edges)),
     Step("voyage_labels", ("features", "incidents"), lambda o, features, incidents: ml.label_voyages(features, incidents)),
-    Step("anomaly_scores", ("voyage_labels",), lambda o, voyage_labels: ml.isolation_scores(voyage_labels, FOREST.features, replace(FOREST, seed=o.seed))),
-    Step("ablation", ("voyage_labels",), lambda o, voyage_labels: ml.ablation(voyage_labels, c=replace(FOREST, seed=o.seed))),
-    Step("federated", ("features",), lambda o, features: federated(o, features)),
+    Step("anomaly_scores", ("voyage_labels",), lambda o, voyage_labels: ml.isolation_scores(voyage_labels, FOREST.features, replace(FOREST, seed=o.seed)), ("seed",)),
+    Step("ablation", ("voyage_labels",), lambda o, voyage_labels: ml.ablation(voyage_labels, c=replace(FOREST, seed=o.seed)), ("seed",)),
+    Step("federated", ("features",), lambda o, features: federated(o, features), ("seed", "repeats", "epochs")),
     Step("snapshot_edges", ("edges", "declarations"), lambda o, edges, declarations: graph.snapshot(edges, declarations)),
     Step("snapshot_tracks", ("voyage_points", "declarations"), lambda o, voyage_points, declarations: of_declared(voyage_points, declarations)),
     Step("snapshot_features", ("features", "declarations"), lambda o, features, declarations: of_declared(features, declarations)),
@@ -90,29 +99,68 @@ STEPS = (
 )
 
 
+def file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    p, fs = file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """What a step was made from; empty where it wasn't finished."""
+    p, fs = file_system(spark, f"{path}/_manifest.json")
+    return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(p), "UTF-8")) if exists(spark, path) and fs.exists(p) else {}
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    p, fs = file_system(spark, f"{path}/_manifest.json")
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+    out.close()
+
+
+def files_of(df: DataFrame) -> list:
+    """(path, length, time of change) of a table's input files."""
+    out = []
+    for name in sorted(df.inputFiles()):
+        p, fs = file_system(df.sparkSession, name)
+        status = fs.getFileStatus(p)
+        out.append([name, status.getLen(), status.getModificationTime()])
+    return out
 
 
 def run(
     spark: SparkSession, inputs: dict[str, DataFrame], out: str, force: bool = False, only: set[str] | None = None, dry: bool = False, skip: set[str] = frozenset(), o: Options = Options()
 ) -> list[tuple[str, str]]:
-    """Runs the steps in order; (step, made | kept | would run). An error ends the run."""
+    """Runs the steps in order; (step, made | kept | would run). An error ends the run.
+
+    Each finished step holds a manifest: the options it uses, the files of inputs it read, and the stamps of the steps it read. A step is kept while they are what they would be now, so a changed option,
+    a changed input and a remade step remake all that depends on them, and nothing else.
+    """
     tables, log = dict(inputs), []
+    stamps: dict[str, object] = {name: {"files": files_of(df), "year": o.year, "months": sorted(o.months)} for name, df in inputs.items()}
     for step in STEPS:
+        path = f"{out}/{step.name}"
         if only and step.name not in only or step.name in skip:
-            if exists(spark, f"{out}/{step.name}"):
-                tables[step.name] = spark.read.parquet(f"{out}/{step.name}")
+            if exists(spark, path):
+                tables[step.name], stamps[step.name] = spark.read.parquet(path), read_manifest(spark, path).get("stamp")
             continue
-        path = f"{out}/{step.name}"
-        if exists(spark, path) and not force:
+        have = read_manifest(spark, path)
+        want = {"options": {k: getattr(o, k) for k in step.uses}, "needs": {n: stamps.get(n) for n in step.needs}}
+        if not force and have.get("made_from") == json.loads(json.dumps(want)):
             log.append((step.name, "kept"))
+            stamps[step.name] = have["stamp"]
         elif dry:
             log.append((step.name, "would run"))
+            stamps[step.name] = uuid.uuid4().hex  # what reads it would run as well
             continue
         else:
             step.make(o, **{n: tables[n] for n in step.needs}).write.mode("overwrite").parquet(path)
+            stamps[step.name] = uuid.uuid4().hex
+            write_manifest(spark, path, {"made_from": want, "stamp": stamps[step.name]})
             log.append((step.name, "made"))
         tables[step.name] = spark.read.parquet(path)
     return log
@@ -140,7 +188,7 @@ def main(args: list[str] | None = None) -> None:
         inputs["points"] = inputs["points"].where(F.date_format("ts", "yyyy") == o.year)
     if o.months:
         inputs["points"] = inputs["points"].where(F.date_format("ts", "yyyy_MM").isin(o.months))
-    options = Options(normal=o.n_normal, seed=o.seed, repeats=o.repeats)
+    options = Options(normal=o.n_normal, seed=o.seed, repeats=o.repeats, year=o.year, months=tuple(o.months or ()))
     for name, what in run(spark, inputs, o.out, o.force, set(o.only or ()) or None, o.dry_run, set(o.skip or ()), options):
         print(name, what)
 

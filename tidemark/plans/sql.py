@@ -354,7 +354,7 @@ ORACLE: dict[str, str] = {
         """SELECT mmsi, count(*) AS n FROM points WHERE date_trunc('day', ts) IN (SELECT unnest(generate_series(date_trunc('day', t_start - INTERVAL 30 MINUTE),
         date_trunc('day', t_end + INTERVAL 30 MINUTE), INTERVAL 1 DAY)) FROM incidents WHERE evidence = 'High') GROUP BY mmsi""",
     ),
-    "stored_edges": sql(POINTS.replace("4.32e11", "8.64e10"), CELLS, YEARLY, f"SELECT *, {RATIOS} FROM yearly"),
+    "stored_edges": sql(POINTS, CELLS.replace("4.32e11", "8.64e10"), YEARLY, f"SELECT *, {RATIOS} FROM yearly"),
     "auc_exact": sql(
         *VOYAGE_PARTS, INCIDENTS, LABELS,
         "ranked AS (SELECT is_incident, rank() OVER (ORDER BY max_sog) + (count(*) OVER (PARTITION BY max_sog) - 1) / CAST(2 AS DOUBLE) AS r FROM labels_v)",
