@@ -292,8 +292,8 @@ def edge_communities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edge_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    """Cycles of up to six vessels of a minimum cycle basis of the same graph."""
-    return graph.cycles(strong(spark, sf), "mmsi_a", "mmsi_b")
+    """Cycles of up to six vessels of a minimum cycle basis of all co-occurrence edges."""
+    return graph.cycles(pairs.cooccurrence(pairs.vessel_cells(points(spark, sf)), 1), "mmsi_a", "mmsi_b")
 
 
 def top_edges(spark: SparkSession, sf: str) -> DataFrame:
