@@ -33,7 +33,7 @@ SHAPES = re.compile(
     (?<![\w.+%-])(?P<email>[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
     |(?<![A-Za-z0-9])(?P<cloud>A[KS]IA[0-9A-Z]{16})(?![A-Za-z0-9])
     |(?<![A-Za-z0-9])(?ai:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?(?P<secret>[^\s"',;]{6,})
-    |(?<![A-Za-z0-9])(?P<hex>[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])
+    |(?<![A-Za-z0-9])(?P<hex>[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?=[0-9]*[a-f])[0-9a-f]{65,}|(?=[0-9]*[A-F])[0-9A-F]{65,})(?![A-Za-z0-9])
     |(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?)(?![A-Za-z0-9])
     |(?<![\w./-])(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-/.])[0-9]{2}(?P=s2)[0-9]{4})(?![\w]|[./-][0-9])
     |(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])
@@ -306,7 +306,7 @@ def _rewrite(key: bytes, count: bool):
 def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, text with pseudonyms under the secret key, n_pseudonyms.
 
-    Kinds: email addresses, cloud keys, named secrets, long hexadecimal numbers, IBANs, dates, IPv4 addresses, social security,
+    Kinds: email addresses, cloud keys, named secrets, hexadecimal numbers of 32 digits or more (of more than 64 if one is a letter), IBANs, dates, IPv4 addresses, social security,
     phone and card numbers. What doesn't validate (check digits, octets, calendar, lengths) stays; of IBANs and cards that run on into
     other groups, shorter ends at a group's border are tried. A null text stays null.
     Rows are independent: null and repeated doc_ids pass; extra columns are ignored.
