@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import AnomalyConfig, FederatedConfig
 from tidemark.functions.core import share
+from tidemark.functions.intervals import deal_moments, deal_spans, in_bucket
 from tidemark.functions.quantiles import grouped_quantiles, medians
 from tidemark.functions.ranking import cut, ranked, sums_before
 
@@ -19,19 +20,30 @@ SAMPLE_ROWS = 100_000  # rows an isolation forest draws its trees' samples from,
 
 
 def label_voyages(features: DataFrame, incidents: DataFrame, c: AnomalyConfig = AnomalyConfig()) -> DataFrame:
-    """features with is_incident: the voyage overlaps an incident of its vessel, widened by pad_hours on both sides; without an end, an incident ends at its start."""
+    """features with is_incident: the voyage overlaps an incident of its vessel, widened by pad_hours on both sides; without an end, an incident ends at its start.
+
+    Two spans overlap where one starts within the other. Both cases are joins of moments with spans by vessel and bucket of time, so a vessel of many voyages and incidents isn't one key.
+    """
     pad = F.expr(f"interval {int(c.pad_hours * 3600)} seconds")
-    spans = incidents.select(F.col("mmsi"), (F.col("t_start") - pad).alias("lo"), (F.coalesce("t_end", "t_start") + pad).alias("hi"))
-    f, i = features.select("mmsi", "voyage_id", "t_start", "t_end").alias("f"), spans.alias("i")
-    hit = f.join(i, (F.col("f.mmsi") == F.col("i.mmsi")) & (F.col("f.t_start") <= F.col("i.hi")) & (F.col("f.t_end") >= F.col("i.lo")), "left_semi")
-    return features.join(hit.select("voyage_id", F.lit(True).alias("is_incident")), "voyage_id", "left").withColumn("is_incident", F.coalesce("is_incident", F.lit(False)))
+    spans = incidents.select(F.col("mmsi").alias("_m"), (F.col("t_start") - pad).alias("_lo"), (F.coalesce("t_end", "t_start") + pad).alias("_hi"))
+    voyages = features.select("mmsi", "voyage_id", "t_start", "t_end")
+    overlap = (F.col("mmsi") == F.col("_m")) & (F.col("t_start") <= F.col("_hi")) & (F.col("t_end") >= F.col("_lo"))
+    wide, long = deal_spans(spans, "_lo", "_hi"), deal_spans(voyages, "t_start", "t_end")
+    hits = [
+        in_bucket(deal_moments(voyages, "t_start", wide), wide, overlap & (F.col("t_start") >= F.col("_lo")), "left_semi"),
+        in_bucket(long, deal_moments(spans, "_lo", long), overlap & (F.col("t_start") <= F.col("_lo")), "left_semi"),
+    ]
+    hit = hits[0].select("voyage_id").unionByName(hits[1].select("voyage_id")).distinct()
+    return features.join(hit.withColumn("is_incident", F.lit(True)), "voyage_id", "left").withColumn("is_incident", F.coalesce("is_incident", F.lit(False)))
 
 
 def incident_tracks(points: DataFrame, incidents: DataFrame, pad_hours: float = 6.0) -> DataFrame:
-    """Points of each incident's vessels from pad_hours before it to pad_hours after: an equi-join on the vessel with a time range."""
+    """Points of each incident's vessels from pad_hours before it to pad_hours after: an equi-join on the vessel and a bucket of time."""
     pad = F.expr(f"interval {int(pad_hours * 3600)} seconds")
     i = incidents.select("incident_num", F.col("mmsi").alias("_m"), (F.col("t_start") - pad).alias("_lo"), (F.coalesce("t_end", "t_start") + pad).alias("_hi"))
-    return points.join(i, (F.col("mmsi") == F.col("_m")) & F.col("ts").between(F.col("_lo"), F.col("_hi"))).select("incident_num", "mmsi", "ts", "lat", "lon", "sog")
+    spans = deal_spans(i, "_lo", "_hi")
+    near = deal_moments(points.select("mmsi", "ts", "lat", "lon", "sog"), "ts", spans)
+    return in_bucket(near, spans, (F.col("mmsi") == F.col("_m")) & F.col("ts").between(F.col("_lo"), F.col("_hi"))).select("incident_num", "mmsi", "ts", "lat", "lon", "sog")
 
 
 def incident_months(incidents: DataFrame, pad_hours: float = 6.0) -> DataFrame:

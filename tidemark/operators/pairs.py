@@ -20,20 +20,42 @@ def vessel_cells(points: DataFrame, c: PairConfig = PairConfig()) -> DataFrame:
     )
 
 
-def cooccurrence(cells: DataFrame, min_windows: int) -> DataFrame:
-    """mmsi_a < mmsi_b with n_windows (shared bins and cells), n_both_stopped, n_both_moving and their shares.
+HOT_CELL = 1_024  # vessels that a cell may hold before it is split
+HOT_CELLS = 100_000  # split cells that are broadcast, at most
 
-    The self-join is an equi-join on the cell; busy cells are split by the adaptive skew join, and pairs are counted before they are shuffled.
+
+def meetings(cells: DataFrame, by: tuple[str, ...] = ("tbin", "ci", "cj"), block: int = HOT_CELL) -> DataFrame:
+    """by, mmsi_a < mmsi_b, and stopped and moving (both vessels are), once for each cell that two vessels share; vessels without a number meet nobody.
+
+    The self-join is an equi-join on the cell. A cell of more than `block` vessels is dealt to n blocks of about that many and its pairs to the n(n + 1) / 2 pairs of blocks, each a key of its own:
+    a vessel's row goes n + 1 times, and no key holds more than about two blocks, however busy the cell. cells is read three times: cut it before.
     """
-    a, b = cells.alias("a"), cells.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("tbin", "ci", "cj")]
-    pairs = a.join(b, [*same, F.col("a.mmsi") < F.col("b.mmsi")])
-    edges = pairs.groupBy(F.col("a.mmsi").alias("mmsi_a"), F.col("b.mmsi").alias("mmsi_b")).agg(
-        F.count("*").alias("n_windows"),
-        F.count_if(F.col("a.stopped") & F.col("b.stopped")).alias("n_both_stopped"),
-        F.count_if(F.col("a.moving") & F.col("b.moving")).alias("n_both_moving"),
-    )
-    return with_ratios(edges.where(F.col("n_windows") >= min_windows))
+    cells = cells.where(F.col("mmsi").isNotNull())
+    hot = cut(cells.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > block))
+    many = hot.count()
+    keys, apart = list(by), F.lit(False)
+    if many:
+        n = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("long")
+        dealt = cells.join(F.broadcast(hot) if many <= HOT_CELLS else hot, keys, "left").withColumn("_n", n).withColumn("_k", F.pmod(F.xxhash64("mmsi"), F.col("_n")))
+        left = dealt.withColumns({"_x": F.col("_k"), "_y": F.explode(F.sequence(F.col("_k"), F.col("_n") - 1))})
+        right = dealt.withColumns({"_x": F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k"))), "_y": F.col("_k")})
+        keys, apart = [*by, "_x", "_y"], F.col("a._x") < F.col("a._y")
+    else:
+        left = right = cells
+    a, b = left.alias("a"), right.alias("b")
+    met = a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], apart | (F.col("a.mmsi") < F.col("b.mmsi"))])
+    low, high = pair_of("a.mmsi", "b.mmsi")
+    return met.select(*[F.col(f"a.{k}") for k in by], low.alias("mmsi_a"), high.alias("mmsi_b"), (F.col("a.stopped") & F.col("b.stopped")).alias("stopped"), (F.col("a.moving") & F.col("b.moving")).alias("moving"))
+
+
+def counted(met: DataFrame, *by: str) -> DataFrame:
+    """Meetings counted by pair, before they are shuffled."""
+    return met.groupBy(*by, "mmsi_a", "mmsi_b").agg(F.count("*").alias("n_windows"), F.count_if("stopped").alias("n_both_stopped"), F.count_if("moving").alias("n_both_moving"))
+
+
+def cooccurrence(cells: DataFrame, min_windows: int, block: int = HOT_CELL) -> DataFrame:
+    """mmsi_a < mmsi_b with n_windows (shared bins and cells), n_both_stopped, n_both_moving and their shares."""
+    return with_ratios(counted(meetings(cut(cells), block=block)).where(F.col("n_windows") >= min_windows))
 
 
 def with_ratios(edges: DataFrame) -> DataFrame:
@@ -66,8 +88,9 @@ def with_lift(edges: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def build_edges(points: DataFrame, c: PairConfig = PairConfig()) -> DataFrame:
-    cells = vessel_cells(points, c)
-    return with_names(with_lift(cooccurrence(cells, c.min_windows), cells), vessel_attributes(points))
+    cells = cut(vessel_cells(points, c))
+    edges = with_ratios(counted(meetings(cells)).where(F.col("n_windows") >= c.min_windows))
+    return with_names(with_lift(edges, cells), vessel_attributes(points))
 
 
 def edges_by_period(points: DataFrame, period: Column, c: PairConfig = PairConfig(), filter_after: bool = False) -> DataFrame:
@@ -77,15 +100,7 @@ def edges_by_period(points: DataFrame, period: Column, c: PairConfig = PairConfi
         .groupBy(period.alias("period"), time_bin("ts", c.bin_hours).alias("tbin"), cell("lat", c.cell).alias("ci"), cell("lon", c.cell).alias("cj"), "mmsi")
         .agg(F.max(below("sog", c.stopped_sog)).alias("stopped"), F.max(above("sog", c.moving_sog)).alias("moving"))
     )
-    a, b = cells.alias("a"), cells.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("period", "tbin", "ci", "cj")]
-    by_period = a.join(b, [*same, F.col("a.mmsi") < F.col("b.mmsi")]).groupBy(
-        F.col("a.period").alias("period"), F.col("a.mmsi").alias("mmsi_a"), F.col("b.mmsi").alias("mmsi_b")
-    ).agg(
-        F.count("*").alias("n_windows"),
-        F.count_if(F.col("a.stopped") & F.col("b.stopped")).alias("n_both_stopped"),
-        F.count_if(F.col("a.moving") & F.col("b.moving")).alias("n_both_moving"),
-    )
+    by_period = counted(meetings(cut(cells), ("period", "tbin", "ci", "cj")), "period")
     return by_period if filter_after else by_period.where(F.col("n_windows") >= c.min_windows)
 
 
