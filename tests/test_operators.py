@@ -1,6 +1,5 @@
 import datetime as dt
 import json
-import zipfile
 
 import numpy as np
 import pytest
@@ -312,14 +311,6 @@ def test_readers(spark, tmp_path):
     assert not r.has_draft and "draft" in r.missing_expected and json.loads(r.json)["columns"] == g.columns
 
 
-def test_zip_members(tmp_path):
-    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
-        z.writestr("b.csv", "x" * 5)
-        z.writestr("a.csv", "")
-        z.writestr("note.txt", "n")
-    assert readers.zip_members(str(tmp_path / "z.zip")) == [("a.csv", 0), ("b.csv", 5)]
-
-
 def test_showcase(spark):
     rows = [(1, "x", "High"), (2, "x", "High"), (3, "y", "High"), (4, "z", "Some")] + [(n, "t", "High") for n in (10, 11, 12) for _ in (0, 1)] + [(20, "t", "High")] * 3
     i = spark.createDataFrame([(n, m, at(0), at(1), t, e) for m, (n, t, e) in enumerate(rows)], "incident_num long, mmsi long, t_start timestamp, t_end timestamp, incident_type string, evidence string")

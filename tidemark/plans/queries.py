@@ -13,7 +13,7 @@ from tidemark.functions.ranking import cut, remove, shared_path
 from tidemark.operators import eda, graph, ml, pairs, rules, tracks
 from tidemark.operators.louvain import louvain
 from tidemark.plans.sql import ORACLE  # noqa: F401  the entry reads both here
-from tidemark.sources import readers, store
+from tidemark.sources import readers, store, zipped
 from tidemark.sources.adapters import incidents, points, supplier_cells
 
 ANY = PairConfig(min_windows=1)
@@ -329,19 +329,36 @@ def snapshot_features(spark: SparkSession, sf: str) -> DataFrame:
     return voyage_features(spark, sf).join(declarations(spark, sf).select("mmsi").distinct(), "mmsi", "left_semi")
 
 
-def csv_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Points written as CSV by their file names, in two folders, and read back by the profile that drops unreal places and unavailable headings."""
-    p = points(spark, sf).withColumn("heading", F.when(F.col("mmsi") % 3 == 0, 511.0).otherwise(90.0))
+def reported(p: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Points by the names that files have, with headings, of which a third is unavailable; and our names of these columns."""
+    p = p.withColumn("heading", F.when(F.col("mmsi") % 3 == 0, 511.0).otherwise(90.0))
     names = {short: long for long, (short, _) in readers.POINT_COLUMNS.items()}
     kept = [c for c in ("mmsi", "ts", "lat", "lon", "sog", "cog", "heading", "vessel_name") if c in p.columns]
+    return p.select(*[F.col(c).alias(names[c]) for c in kept]), kept
+
+
+def csv_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points written as CSV by their file names, in two folders, and read back by the profile that drops unreal places and unavailable headings."""
+    rows, kept = reported(points(spark, sf))
     base, paths = shared_path(spark, "points"), []
     for part in (0, 1):
         paths.append(f"{base}/{part}")
-        readers.write_csv(p.where(F.col("mmsi") % 2 == part).select(*[F.col(c).alias(names[c]) for c in kept]), paths[-1])
+        readers.write_csv(rows.where(F.col("MMSI") % 2 == part), paths[-1])
     out = readers.read_points(spark, paths, "features").select(*kept)
     return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
+def zipped_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points written as CSV in archives, one for each of eight groups of vessels, and read back by ranges, with the profile that keeps all places and headings."""
+    rows, kept = reported(points(spark, sf))
+    path = shared_path(spark, "archives")
+    zipped.write_zipped(rows.repartition(8, "MMSI"), path)
+    out = readers.clean_points(readers.typed(zipped.read_zipped(spark, path), readers.POINT_COLUMNS)).select(*kept)
+    out = cut(rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))))
+    remove(spark, path)
+    return out
+
+
 def track_of(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(tracks.track_of(points(spark, sf), 5).select("mmsi", "ts", "lat", "lon", "sog", "cog"))
 
@@ -400,7 +417,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             voyage_labels, incident_tracks, auc_exact, feature_contribution, ports, nearest_port, declarations, rule_checks, confusion, fusion, components,
             degree_core, ego_network, ring_communities, ring_cycles, edge_communities, edge_cycles, snapshot_union, snapshot_declared, eda_value_counts, null_rates, quantiles, overview, supplier_cooccurrence,
             iforest_scores, anomaly_ablation, federated, edge_evaluation, truth_summary, persistence_curve, persistence_ranks, truth_by_name, validate_month,
-            moored_pairs, moving_pairs, trade_layer, top_edges, largest_component, showcase, incident_months, pruned_points, stored_points, stored_edges, degrees, snapshot_tracks, snapshot_features, csv_points, track_of,
+            moored_pairs, moving_pairs, trade_layer, top_edges, largest_component, showcase, incident_months, pruned_points, stored_points, stored_edges, degrees, snapshot_tracks, snapshot_features, csv_points, zipped_points, track_of,
         )
     },
 }

@@ -427,6 +427,7 @@ ORACLE: dict[str, str] = {
     "snapshot_tracks": sql(POINTS, VOYAGES, PORTS, DECLARATIONS, f"SELECT mmsi, ts, {r6('lat', 'lon', 'sog', 'cog')}, voyage_id FROM voyages WHERE mmsi IN (SELECT mmsi FROM decl)"),
     "snapshot_features": sql(*VOYAGE_PARTS, PORTS, DECLARATIONS, f"SELECT {KIN_COLUMNS}, {r6('course_std', 'max_gap_hours')}, n_signal_conflict, n_gaps, {DRAFT_COLUMNS} FROM features WHERE mmsi IN (SELECT mmsi FROM decl)"),
     "csv_points": sql(POINTS, f"SELECT mmsi, ts, {r6('lat', 'lon', 'sog', 'cog')}, CASE WHEN mmsi % 3 = 0 THEN NULL ELSE CAST(90 AS DOUBLE) END AS heading, vessel_name FROM points"),
+    "zipped_points": sql(POINTS, f"SELECT mmsi, ts, {r6('lat', 'lon', 'sog', 'cog')}, CAST(CASE WHEN mmsi % 3 = 0 THEN 511 ELSE 90 END AS DOUBLE) AS heading, vessel_name FROM points"),
     "track_of": sql(POINTS, f"SELECT mmsi, ts, {r6('lat', 'lon', 'sog', 'cog')} FROM points WHERE mmsi = 5"),
     "top_edges": sql(POINTS, CELLS, EDGES, STRONG, "SELECT * FROM strong ORDER BY n_windows DESC, mmsi_a, mmsi_b LIMIT 100"),
     "largest_component": sql(

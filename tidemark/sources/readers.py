@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,15 +35,18 @@ INCIDENT_COLUMNS = {
 def read_csv(spark: SparkSession, path: str | list[str], columns: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """CSV with a header; doubled quotes are quotes. With columns, those the files have, typed leniently: what doesn't parse is null."""
     df = spark.read.option("header", True).option("escape", '"').csv(path)
-    if columns is None:
-        return df
+    return df if columns is None else typed(df, columns)
+
+
+def typed(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Those of columns that df has, renamed and typed leniently: what doesn't parse is null."""
     there = {c.strip().lstrip("﻿"): c for c in df.columns}
 
-    def typed(source: str, kind: str):
+    def one(source: str, kind: str):
         c = F.col(f"`{there[source]}`")
         return F.try_to_timestamp(c) if kind == "timestamp" else c.try_cast(kind)
 
-    return df.select(*[typed(s, kind).alias(name) for s, (name, kind) in columns.items() if s in there])
+    return df.select(*[one(s, kind).alias(name) for s, (name, kind) in columns.items() if s in there])
 
 
 def clean_points(df: DataFrame, profile: str = "network", c: TrackConfig = TrackConfig()) -> DataFrame:
@@ -102,9 +103,3 @@ def schema_report(df: DataFrame) -> DataFrame:
     ])
     out = df.sparkSession.createDataFrame([(bool(drafts), drafts, missing, df.columns)], schema)
     return out.withColumn("json", F.to_json(F.struct("*")))
-
-
-def zip_members(path: str, suffix: str = ".csv") -> list[tuple[str, int]]:
-    """Names and sizes of a zip file's members; the archive itself is read by its owner, not by Spark."""
-    with zipfile.ZipFile(path) as z:
-        return sorted((i.filename, i.file_size) for i in z.infolist() if i.filename.endswith(suffix))
