@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, pairs
+from tidemark.operators import blocks, graph, pairs
 from tidemark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,21 @@ def test_edges_beyond_held_rows_get_more_blocks(spark, monkeypatch):
     cells = spark.range(90).select(F.lit(0).cast("long").alias("tbin"), F.lit(0).cast("long").alias("ci"), F.lit(0).cast("long").alias("cj"), F.col("id").alias("mmsi"), F.lit(True).alias("stopped"), F.lit(False).alias("moving"))
     df = blocks.block_pairs(cells, ("tbin", "ci", "cj"))
     assert df.count() == 90 * 89 // 2 and df.rdd.getNumPartitions() >= 9 * 10 // 2 - 1
+
+
+@pytest.mark.parametrize("n", [1, 5])
+def test_ranks_by_blocks(spark, n):
+    """Many equal scores: places are those of a sort by score and numbers."""
+    rng = random.Random(n)
+    rows = [(0, t, c, 0, m, False, rng.random() < 0.7) for t in range(4) for c in range(3) for m in rng.sample(range(60), 25)]
+    df = blocks.block_pairs(spark.createDataFrame(rows, CELLS.format("long")), pairs.BY_PERIOD, periods=True, blocks=n, score=pairs.by_months)
+    got = sorted(df.collect(), key=lambda r: r.rank)
+    assert [r.rank for r in got] == list(range(1, len(got) + 1)) and len(got) > 300
+    assert [(r.mmsi_a, r.mmsi_b) for r in got] == [(r.mmsi_a, r.mmsi_b) for r in sorted(got, key=lambda r: (-r.score, r.mmsi_a, r.mmsi_b))]
+
+
+def test_tasks_leave_forests(spark):
+    """Of a dense graph's edges, at most two a node and task reach the rounds of labels."""
+    edges = spark.range(200).select(F.col("id").alias("mmsi_a")).crossJoin(spark.range(200).select(F.col("id").alias("mmsi_b"))).where("mmsi_a < mmsi_b and mmsi_a % 2 = mmsi_b % 2")
+    assert graph.thinned(edges, "mmsi_a", "mmsi_b").count() <= 2 * 8 * 200 < edges.count()
+    assert {(r.node, r.component) for r in graph.components(edges).collect()} == {(k, k % 2) for k in range(200)}
