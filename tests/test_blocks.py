@@ -91,3 +91,14 @@ def test_tasks_leave_forests(spark):
     edges = spark.range(200).select(F.col("id").alias("mmsi_a")).crossJoin(spark.range(200).select(F.col("id").alias("mmsi_b"))).where("mmsi_a < mmsi_b and mmsi_a % 2 = mmsi_b % 2")
     assert graph.thinned(edges, "mmsi_a", "mmsi_b").count() <= 2 * 8 * 200 < edges.count()
     assert {(r.node, r.component) for r in graph.components(edges).collect()} == {(k, k % 2) for k in range(200)}
+
+
+def test_truth_by_name(spark):
+    """Edges of unshared names aren't shuffled; shared and missing names are as by the join of all."""
+    edges = spark.createDataFrame([(1, 2, "A", "B", True), (3, 4, "B", "A", False), (1, 5, "A", None, True), (3, 6, "B", None, False), (4, 6, "A", "nan", False), (7, 8, "C", "D", True), (7, 9, "C", "E", False)], "mmsi_a long, mmsi_b long, name_a string, name_b string, is_truth boolean")
+    vessels = spark.createDataFrame([(1, "A"), (2, "B"), (3, "B"), (4, "A"), (5, None), (6, "nan"), (7, "C"), (8, "D"), (9, "E")], "mmsi long, name string")
+    want = pairs.with_truth(edges.drop("is_truth"), edges.where("is_truth").select("mmsi_a", "mmsi_b"), by_name=True)
+    got = pairs.truth_by_name(edges, vessels)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.where("is_truth").count() == 5
+    plan = QUERIES["truth_by_name"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert " hashpartitioning" not in plan.split("== Initial Plan ==")[-1].split("FlatMapGroupsInArrow")[0] and "SortMergeJoin" not in plan.split("FlatMapGroupsInArrow")[0]
