@@ -65,6 +65,21 @@ def test_a_new_period_is_added_alone(spark, tmp_path):
     assert rows(store.merged_edges(spark, points, edges)) == want
 
 
+def test_kept_edges_are_rows_of_vessels(spark, tmp_path):
+    """40 vessels that meet each day are 40 rows a day, not 780 pairs; periods may have thresholds of their own."""
+    points, edges = f"file://{tmp_path}/p", f"file://{tmp_path}/e"
+    rows = [(m, f"2023-0{k}-01 0{h}:10:00", 21.0, -158.0, 1.0, f"V{m}", "cargo", None) for k in (1, 2) for h in range(k) for m in range(40)]
+    df = spark.createDataFrame(rows, "mmsi long, t string, lat double, lon double, sog double, vessel_name string, vessel_class string, draft double")
+    store.write_points(df.withColumn("ts", F.to_timestamp("t").cast("timestamp_ntz")).drop("t"), points)
+    store.update_edges(spark, points, edges, PairConfig(min_windows=1), ["2023_01"])
+    store.update_edges(spark, points, edges, PairConfig(min_windows=2))
+    assert store.read(spark, edges).count() == 3 * 40
+    assert {(r.n_windows, r.n_months) for r in store.merged_edges(spark, points, edges).collect()} == {(3, 2)}
+    store.update_edges(spark, points, edges, PairConfig(min_windows=2), ["2023_01"])
+    got = store.merged_edges(spark, points, edges).collect()
+    assert {(r.n_windows, r.n_months) for r in got} == {(2, 1)} and len(got) == 780
+
+
 def test_steps_follow_their_options_and_inputs(spark, tmp_path):
     from tidemark.plans import pipeline
 
