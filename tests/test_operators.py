@@ -257,6 +257,26 @@ def test_isolation_forest_finds_outliers(spark):
     assert got.voyage_id == "far" and got.is_anomaly and 0 < got.score <= 1
 
 
+def test_scores_are_those_of_single_walks(spark):
+    """Each row's score by a walk down each tree; `ablation` prepares its features once and gives the areas of single forests."""
+    c = AnomalyConfig(trees=9, sample=64, ablations={"all": ("a", "b"), "one": ("b",)})
+    rows = [(f"v{i:03}", float(i * i % 31), float(i % 7) if i % 5 else None, i % 11 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "voyage_id string, a double, b double, is_incident boolean")
+    x = ml.prepared(df, ("a", "b")).select("voyage_id", "x_a", "x_b", F.xxhash64("voyage_id", F.lit(c.seed)).alias("h")).toPandas().sort_values("h")
+    trees, want = ml.grow_trees(x[["x_a", "x_b"]].to_numpy(float), c), {}
+    for r in x.itertuples():
+        total = 0.0
+        for t in trees:
+            at = depth = 0
+            while t[at][0] >= 0:
+                at, depth = int(t[at][2] if (r.x_a, r.x_b)[int(t[at][0])] < t[at][1] else t[at][3]), depth + 1
+            total += depth + ml._path_length(t[at][4])
+        want[r.voyage_id] = 2.0 ** (-total / len(trees) / ml._path_length(64))
+    assert {r.voyage_id: r.score for r in ml.isolation_scores(df, ("a", "b"), c).collect()} == pytest.approx(want)
+    got = {r.feature_set: r.auc for r in ml.ablation(df, c=c).collect()}
+    assert got == {name: pytest.approx(ml.auc(ml.isolation_scores(df, k, c), "score", "is_incident").first().auc) for name, k in c.ablations.items()}
+
+
 def test_federated_equals_centralized(spark):
     """Weights and areas equal those of gradient descent over whole NumPy arrays."""
     c = FederatedConfig(epochs=6)

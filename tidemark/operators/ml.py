@@ -108,37 +108,59 @@ def grow_trees(sample: np.ndarray, c: AnomalyConfig) -> list[list[list[float]]]:
     return trees
 
 
-def isolation_scores(features: DataFrame, columns: list[str] | tuple[str, ...], c: AnomalyConfig = AnomalyConfig()) -> DataFrame:
-    """features with score, larger for what random cuts isolate sooner (from 0 to 1), and is_anomaly for the contamination share.
+def scoring_trees(trees: list[list[list[float]]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Each tree as (column, cut, right child, path length at a leaf, depth), a left child beside its right one; a leaf is its own right child and nothing is below its cut."""
+    out = []
+    for nodes in trees:
+        order, depths, right = [0], [0], []
+        for at, depth in zip(order, depths):  # both grow
+            k, _, left, other, _ = nodes[at]
+            right.append(len(order) if k >= 0 else len(right))
+            if k >= 0:
+                order += [int(other), int(left)]
+                depths += [depth + 1] * 2
+        rows = [nodes[at] for at in order]
+        ends = np.array([d + _path_length(r[4]) for r, d in zip(rows, depths)])
+        out.append((np.array([max(int(r[0]), 0) for r in rows]), np.array([r[1] if r[0] >= 0 else -np.inf for r in rows]), np.array(right), ends, max(depths)))
+    return out
 
-    Trees are grown on samples of at most SAMPLE_ROWS rows, drawn by a hash of the voyage, as the method samples anyway; every row is scored.
-    """
-    x = [f"x_{k}" for k in columns]
-    df = prepared(features, columns)
-    drawn = df.select(*x, F.xxhash64("voyage_id", F.lit(c.seed)).alias("_h")).orderBy("_h").limit(SAMPLE_ROWS).select(*x).toPandas().to_numpy(float)
+
+def forest_scores(df: DataFrame, sets: dict[str, list[str]], c: AnomalyConfig) -> DataFrame | None:
+    """voyage_id and, under each set's name, the score of a forest on its columns: one pass over df for the samples of all sets, one for the scores. None without rows."""
+    every = sorted({k for x in sets.values() for k in x})
+    drawn = df.select(*every, F.xxhash64("voyage_id", F.lit(c.seed)).alias("_h")).orderBy("_h").limit(SAMPLE_ROWS).select(*every).toPandas()
     if not len(drawn):
-        return features.withColumns({"score": F.lit(None).cast("double"), "is_anomaly": F.lit(False)})
-    forest = json.dumps(grow_trees(drawn, c))
+        return None
+    forests = {name: json.dumps(grow_trees(drawn[x].to_numpy(float), c)) for name, x in sets.items()}
     norm = _path_length(min(c.sample, len(drawn))) or 1.0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = [np.array(t, float) for t in json.loads(forest)]
+        grown = {name: scoring_trees(json.loads(f)) for name, f in forests.items()}
         for pdf in batches:
-            m = pdf[x].to_numpy(float)
-            total = np.zeros(len(m))
-            for t in trees:
-                at, depth = np.zeros(len(m), int), np.zeros(len(m))
-                live = t[at, 0] >= 0
-                while live.any():
-                    i = np.flatnonzero(live)
-                    node = t[at[i]]
-                    at[i] = np.where(m[i, node[:, 0].astype(int)] < node[:, 1], node[:, 2], node[:, 3]).astype(int)
-                    depth[i] += 1
-                    live[i] = t[at[i], 0] >= 0
-                total += depth + np.array([_path_length(s) for s in t[:, 4]])[at]
-            yield pd.DataFrame({"voyage_id": pdf["voyage_id"], "score": 2.0 ** (-total / len(trees) / norm)})
-
-    scores = cut(df.select("voyage_id", *x).mapInPandas(score, "voyage_id string, score double"))
+            out = {"voyage_id": pdf["voyage_id"]}
+            for name, x in sets.items():
+                m = np.ascontiguousarray(pdf[x].to_numpy(float))
+                flat, first = m.ravel(), np.arange(len(m)) * len(x)
+                total = np.zeros(len(m))
+                for column, limit, right, ends, depth in grown[name]:
+                    at = np.zeros(len(m), int)
+                    for _ in range(depth):
+                        at = right.take(at) + (flat.take(first + column.take(at)) < limit.take(at))
+                    total += ends.take(at)
+                out[name] = 2.0 ** (-total / len(grown[name]) / norm)
+            yield pd.DataFrame(out)
+
+    return cut(df.select("voyage_id", *every).mapInPandas(score, ", ".join(["voyage_id string", *[f"{name} double" for name in sets]])))
+
+
+def isolation_scores(features: DataFrame, columns: list[str] | tuple[str, ...], c: AnomalyConfig = AnomalyConfig()) -> DataFrame:
+    """features with score, larger for what random cuts isolate sooner (from 0 to 1), and is_anomaly for the contamination share.
+
+    Trees are grown on samples of at most SAMPLE_ROWS rows, drawn by a hash of the voyage, as the method samples anyway; every row is scored.
+    """
+    scores = forest_scores(prepared(features, columns), {"score": [f"x_{k}" for k in columns]}, c)
+    if scores is None:
+        return features.withColumns({"score": F.lit(None).cast("double"), "is_anomaly": F.lit(False)})
     return features.join(scores, "voyage_id").crossJoin(F.broadcast(upper_share(scores, "score", c.contamination))).withColumn("is_anomaly", F.col("score") > F.col("limit")).drop("limit")  # one row
 
 
@@ -180,10 +202,14 @@ def aucs(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
 
 
 def ablation(features: DataFrame, label: str = "is_incident", c: AnomalyConfig = AnomalyConfig(), k: int = 100) -> DataFrame:
-    """For each feature set: n_features, auc, hits among the k of largest score, lift."""
+    """For each feature set: n_features, auc, hits among the k of largest score, lift. Features are prepared once, and all forests score them in one pass."""
     out = None
+    whole = prepared(features, sorted({k for columns in c.ablations.values() for k in columns}))
+    scores = forest_scores(cut(whole), {f"s_{name}": [f"x_{k}" for k in columns] for name, columns in c.ablations.items()}, c)
+    sets = [f"s_{name}" for name in c.ablations]
+    scores = features.select("voyage_id", label, *[F.lit(None).cast("double").alias(x) for x in sets]) if scores is None else cut(features.select("voyage_id", label).join(scores, "voyage_id"))
     for name, columns in c.ablations.items():
-        scored = cut(isolation_scores(features, columns, c).select("voyage_id", "score", label))
+        scored = scores.select("voyage_id", F.col(f"s_{name}").alias("score"), label)
         hits = scored.orderBy(F.desc("score"), "voyage_id").limit(k).agg(F.count_if(label).alias("hits"), F.count("*").alias("k"))
         whole = scored.agg(F.count_if(label).alias("t"), F.count("*").alias("n"))
         row = auc(scored, "score", label).crossJoin(hits).crossJoin(whole).select(  # one row each
@@ -253,25 +279,37 @@ def fit_logistic(task: DataFrame, models: dict[str, list[list[str]]], c: Federat
     groups = {tuple(g) for m in models.values() for g in m}
     every = sorted({k for g in groups for k in g})
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # once: epochs read numbers as they lie in memory, a row a batch
+        for pdf in batches:
+            flags = pdf[[f"{k}_{r}" for k in ("label", "train") for r in range(repeats)]].to_numpy(bool)
+            yield pd.DataFrame({"n": [len(pdf)], "z": [pdf[every].to_numpy(float).tobytes()], "flags": [np.packbits(flags.T, axis=1).tobytes()]})
+
     def gradient(w: dict[tuple[str, int], dict[str, float]]):  # weights go along as data: as literals they would make Spark compile each epoch anew
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = 0.0
             for pdf in batches:
-                held = {k: pdf[k].to_numpy(float) for k in every}
-                party = {g: np.column_stack([held[k] for k in g]) for g in groups}  # what each party has
-                out = [float(pdf[f"train_{r}"].sum()) for r in range(repeats)]
-                for m, r in keys:
-                    rows = pdf[f"train_{r}"].to_numpy(float)
-                    partial = [party[g] @ np.array([w[m, r][k] for k in g]) for g in map(tuple, models[m])]
-                    residual = (sigmoid(sum(partial)) - pdf[f"label_{r}"].to_numpy(float)) * rows
-                    out += [float(v) for g in map(tuple, models[m]) for v in party[g].T @ residual]
-                yield pd.DataFrame({"i": range(len(out)), "v": out})
+                for n, z, flags in zip(pdf["n"], pdf["z"], pdf["flags"]):
+                    z = np.frombuffer(z).reshape(n, -1)
+                    flags = np.unpackbits(np.frombuffer(flags, np.uint8).reshape(2 * repeats, -1), axis=1, count=n).T.astype(float)
+                    label, train = flags[:, :repeats], flags[:, repeats:]
+                    party = {g: np.ascontiguousarray(z[:, [every.index(k) for k in g]]) for g in groups}  # what each party has
+                    out = [train.sum(axis=0)]
+                    for m in models:  # all repeats of a model at once
+                        score = sum(party[g] @ np.array([[w[m, r][k] for r in range(repeats)] for k in g]) for g in map(tuple, models[m]))
+                        residual = (sigmoid(score) - label) * train
+                        out.append(np.concatenate([party[g].T @ residual for g in map(tuple, models[m])]).T.ravel())
+                    total = total + np.concatenate(out)
+            if np.ndim(total):
+                yield pd.DataFrame({"i": range(len(total)), "v": total})
 
         return run
 
+    packed = task.select(*every, *[f"{k}_{r}" for k in ("label", "train") for r in range(repeats)]).mapInPandas(pack, "n long, z binary, flags binary").persist()
     for _ in range(c.epochs):
-        g = {r.i: r.v for r in task.mapInPandas(gradient(w), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}  # a row a weight
+        g = {r.i: r.v for r in packed.mapInPandas(gradient(w), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}  # a row a weight
         mean = {(key, k): g.get(repeats + i, 0.0) / (g.get(key[1]) or 1.0) for i, (key, k) in enumerate(names)}
         w = {key: {k: x[k] - c.rate * (mean[key, k] + c.l2 * x[k]) for k in x} for key, x in w.items()}
+    packed.unpersist()
     return w
 
 
