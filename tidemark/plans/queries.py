@@ -90,6 +90,11 @@ def scored_truth(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.build_scores(with_truth(spark, sf))
 
 
+def counted_truth(spark: SparkSession, sf: str) -> pairs.Counted:
+    p = points(spark, sf)
+    return pairs.counted(p, period(), ANY, incidents(p))
+
+
 def edge_accumulate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(yearly(spark, sf))
 
@@ -116,11 +121,11 @@ def validate_incidents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topk_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pairs.report(scored_truth(spark, sf)))
+    return rounded(pairs.report(counted_truth(spark, sf)))
 
 
 def best_score(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pairs.best_score(pairs.report(scored_truth(spark, sf))))
+    return rounded(pairs.best_score(pairs.report(counted_truth(spark, sf))))
 
 
 def persistence(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +149,7 @@ def truth_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def persistence_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.persistence_curve(scored_truth(spark, sf))
+    return pairs.persistence_curve(counted_truth(spark, sf))
 
 
 def persistence_ranks(spark: SparkSession, sf: str) -> DataFrame:
