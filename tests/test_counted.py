@@ -52,6 +52,14 @@ def test_reports_are_those_of_all_edges(spark, monkeypatch, both):
     same(pairs.report(c, ks=(7, 50)), pairs.report(edges, ks=(7, 50)))
 
 
+def test_middles_and_shares(both):
+    edges, args = both
+    c = pairs.counted(*args)
+    same(pairs.class_baseline(c, 2), pairs.class_baseline(edges, 2))
+    for x in (c, pairs.counted(*args, classes=False)):
+        same(pairs.persistence(x, 4), pairs.persistence(edges, 4))
+
+
 def test_few_edges_are_made(both):
     edges, args = both
     c = pairs.counted(*args)
@@ -63,7 +71,8 @@ def test_few_edges_are_made(both):
 def test_no_edges(spark, both):
     p, period, c, i = both[1]
     none = pairs.counted(p.where("false"), period, c, i)
-    assert pairs.report(none).collect() == [] and pairs.persistence_curve(none).collect() == []
+    assert pairs.report(none).collect() == [] and pairs.persistence_curve(none).collect() == [] and pairs.class_baseline(none).collect() == []
+    assert tuple(pairs.persistence(none, 4).first()) == (0, 0, None, 0, None, None, None, None)
 
 
 def test_kinds_are_passed_on(both, monkeypatch):

@@ -41,6 +41,22 @@ class Coder:
     def codes(self, a: np.ndarray, b: np.ndarray, moving: np.ndarray, months: np.ndarray) -> np.ndarray:
         return ((self.x[a] * self.wide + self.y[b]) << 2 * self.bits) | (moving << self.bits) | months
 
+    def tally(self, a: np.ndarray, b: np.ndarray, moving: np.ndarray, months: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kinds, in twice their codes, one more for true ones, and how many there are of each."""
+        top, most = int(moving.max()) + 1, int(months.max()) + 1
+        if self.wide**2 * top * most > FEW:
+            found, n = np.unique(self.codes(a, b, moving, months) << 1 | truth, return_counts=True)
+            return found, n
+        place = self.x[a] * self.wide + self.y[b]
+        for v, k in ((moving, top), (months, most), (truth, 2)):
+            place *= k
+            place += v
+        n = np.bincount(place)
+        place = np.flatnonzero(n)
+        pair, rest = np.divmod(place, top * most * 2)
+        moving, rest = np.divmod(rest, most * 2)
+        return (pair << 2 * self.bits + 1) | (moving << self.bits + 1) | rest, n[place]
+
     def kinds(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         low = (1 << self.bits) - 1
         pair = code >> 2 * self.bits
@@ -65,11 +81,10 @@ def tallied(classes: bool) -> Callable:
 
         codes, sizes, held = [], [], 0
         for a, b, counts, months, truth in pieces:
-            found = np.sort(coder.codes(a, b, counts[2], months) << 1 | truth)
-            starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-            codes.append(found[starts])
-            sizes.append(np.diff(np.append(starts, len(found))))
-            held += len(starts)
+            found, n = coder.tally(a, b, counts[2], months, truth)
+            codes.append(found)
+            sizes.append(n)
+            held += len(found)
             if held > KEPT:
                 codes, sizes = ([v] for v in summed(codes, sizes))
                 held = len(codes[0])
@@ -95,13 +110,15 @@ def chosen(kinds: list[tuple], classes: bool, most: int) -> Callable:
         code, above, equal = np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], bool), np.array([k[2] for k in known], np.int64)
         names = pa.array(coder.names, pa.string())
         taken = dict.fromkeys([k for k in range(62) if int(np.bitwise_or.reduce(equal)) >> k & 1], 0)
+        least = int((code >> coder.bits & low - 1).min())
         for a, b, counts, months, truth in pieces:
-            own = coder.codes(a, b, counts[2], months)
+            hit = np.flatnonzero(counts[2] >= least)
+            own = coder.codes(a[hit], b[hit], counts[2][hit], months[hit])
             place = np.minimum(np.searchsorted(code, own), len(code) - 1)
-            hit = np.flatnonzero(code[place] == own)
+            some = code[place] == own
+            hit, place = hit[some], place[some]
             if not len(hit):
                 continue
-            place = place[hit]
             keep = above[place].copy()
             for k in taken:
                 some = np.flatnonzero(equal[place] >> k & 1)[: most - taken[k]]

@@ -86,13 +86,9 @@ def with_truth(spark: SparkSession, sf: str, score: Callable | None = None) -> D
     return pairs.accumulate(p, period(), ANY, incidents=incidents(p), score=score)
 
 
-def scored_truth(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.build_scores(with_truth(spark, sf))
-
-
-def counted_truth(spark: SparkSession, sf: str) -> pairs.Counted:
+def counted_truth(spark: SparkSession, sf: str, classes: bool = True) -> pairs.Counted:
     p = points(spark, sf)
-    return pairs.counted(p, period(), ANY, incidents(p))
+    return pairs.counted(p, period(), ANY, incidents(p), classes)
 
 
 def edge_accumulate(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +104,7 @@ def class_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pairs.class_baseline(scored_truth(spark, sf)))
+    return rounded(pairs.class_baseline(counted_truth(spark, sf)))
 
 
 def incident_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,7 +125,7 @@ def best_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def persistence(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pairs.persistence(scored_truth(spark, sf), 2))
+    return rounded(pairs.persistence(counted_truth(spark, sf, False), 2))
 
 
 def truth_hits(spark: SparkSession, sf: str) -> DataFrame:
