@@ -60,6 +60,18 @@ def test_middles_and_shares(both):
         same(pairs.persistence(x, 4), pairs.persistence(edges, 4))
 
 
+def test_ranks_of_true_edges(spark, both):
+    """Among many edges of the same score; an odd and an even number of true ones, one and none."""
+    p, period, c, i = both[1]
+    for of in (i, i.where("incident_num < 3"), i.where("incident_num = 0"), i.where("mmsi < 2"), i.where("false")):
+        truth = pairs.truth_pairs(of).localCheckpoint()
+        edges = pairs.accumulate(p, period, c, incidents=of, score=pairs.by_months).localCheckpoint()
+        x, n = pairs.counted(p, period, c, of, False), pairs.count_truth_pairs(of)
+        assert n.first().t == truth.count()
+        same(pairs.truth_summary_counted(x, pairs.by_months, n), pairs.truth_summary(edges, truth))
+        same(pairs.evaluate_counted(x, pairs.by_months, n, (1, 7, 60, 10_000)), pairs.evaluate(edges, truth, (1, 7, 60, 10_000)))
+
+
 def test_few_edges_are_made(both):
     edges, args = both
     c = pairs.counted(*args)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import cut
+from tidemark.functions.ranking import cut, sums_before
 from tidemark.operators.blocks import Dealt, Side
 
 KEPT = 1 << 20  # kinds that a task holds before it passes them on
@@ -184,3 +184,72 @@ def by_kind(kinds: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarr
             yield b.append_column("score", pa.array(np.asarray(score(b["n_both_moving"].to_numpy(), b["n_months"].to_numpy()), np.float64)))
 
     return kinds.mapInArrow(run, ", ".join(f"{c} {'long' if t == 'bigint' else t}" for c, t in [*kinds.dtypes, ("score", "double")]))
+
+
+def pairs_alone(x: Side, y: Side, pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The number of a task's pairs."""
+    n = sum(len(p[0]) for p in pieces)
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+
+def placed(levels: dict[tuple[int, int], int], only: dict[int, set[int]] | None) -> Callable:
+    """(level, mmsi_a, n, t): of edges whose (n_both_moving, n_months) has a level, how many there are of each level and vessel, and how many are true. With only, the vessels of each level that count, edges are rows, with mmsi_b."""
+
+    def fold(x: Side, y: Side, pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        known = sorted(levels)
+        shift = max(k[1] for k in known).bit_length()
+        code, level = np.array([m << shift | k for m, k in known], np.int64), np.array([levels[k] for k in known], np.int64)
+        wanted = None if only is None else {k: np.flatnonzero(np.isin(x.mmsi, np.array(sorted(v), np.int64))) for k, v in only.items()}
+        for a, b, counts, months, truth in pieces:
+            own = np.where(months < 1 << shift, counts[2] << shift | months, -1)
+            place = np.minimum(np.searchsorted(code, own), len(code) - 1)
+            hit = np.flatnonzero(code[place] == own)
+            at, a, b, truth = level[place[hit]], a[hit], b[hit], truth[hit]
+            if wanted is not None:
+                keep = np.zeros(len(at), bool)
+                for k, who in wanted.items():
+                    keep |= (at == k) & np.isin(a, who)
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(at[keep]), pa.array(x.mmsi[a[keep]]), pa.array(y.mmsi[b[keep]]), pa.array(truth[keep].astype(np.int64))], names=["level", "mmsi_a", "mmsi_b", "t"])
+            elif len(at):
+                found, back = np.unique(at * len(x.mmsi) + a, return_inverse=True)
+                n, t = np.bincount(back), np.bincount(back, truth).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found // len(x.mmsi)), pa.array(x.mmsi[found % len(x.mmsi)]), pa.array(n), pa.array(t)], names=["level", "mmsi_a", "n", "t"])
+
+    return fold
+
+
+def true_places(edges: Counted, score: Callable[[np.ndarray, np.ndarray], np.ndarray], wanted: list[int]) -> dict[int, int]:
+    """For each of wanted, the rank (from 1, by score downwards and ids) of the true edge that has so many true ones before it.
+
+    The value that such an edge has is known from the kinds; edges of these values are counted by their first vessel, and of the vessels that are met there, by their second one."""
+    kinds = by_kind(edges.kinds.groupBy("n_both_moving", "n_months").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("is_truth"), F.col("n")).otherwise(0)).alias("t")), score)
+    kinds = cut(kinds)
+
+    def found(df: DataFrame, order: list, keys: list[str], within: dict[int, tuple[int, int, int]]) -> dict[int, tuple]:
+        """Of each number w, the row of df (keys, n, t) that holds the true edge of w, with the edges and true edges that lie before it. within: (level, edges, true edges) before level's first row."""
+        sums = sums_before(df, order, {"before": F.col("n"), "t_before": F.col("t")})
+        if "level" in df.columns:
+            least = sums.groupBy("level").agg(F.min("before").alias("_b"), F.min("t_before").alias("_t"))
+            sums = sums.join(F.broadcast(least), "level").withColumns({"before": F.col("before") - F.col("_b"), "t_before": F.col("t_before") - F.col("_t")})  # a row a level, few
+        sums, out = cut(sums), {}
+        for w, (level, n, t) in within.items():
+            here = (F.col("t_before") <= w - t) & (F.col("t_before") + F.col("t") > w - t)
+            row = sums.where(here if level is None else here & (F.col("level") == level)).first()
+            out[w] = (*[row[k] for k in keys], n + row.before, t + row.t_before)
+        return out
+
+    by_value = found(kinds.groupBy("score").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), [F.desc("score")], ["score"], {w: (None, 0, 0) for w in wanted})
+    scores = sorted({v[0] for v in by_value.values()})
+    levels = {(r.n_both_moving, r.n_months): scores.index(r.score) for r in kinds.where(F.col("score").isin(scores)).collect()}  # kinds of four values at most
+    rows = edges.dealt.pairs(**edges.least, fold=(placed(levels, None), "level long, mmsi_a long, n long, t long")).groupBy("level", "mmsi_a").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    by_vessel = found(rows, ["level", "mmsi_a"], ["level", "mmsi_a"], {w: (scores.index(v[0]), *v[1:]) for w, v in by_value.items()})
+    only: dict[int, set[int]] = {}
+    for level, a, *_ in by_vessel.values():
+        only.setdefault(level, set()).add(a)
+    rows = edges.dealt.pairs(**edges.least, fold=(placed(levels, only), "level long, mmsi_a long, mmsi_b long, t long"), only={a for v in only.values() for a in v})
+    rows, out = cut(rows.withColumn("n", F.lit(1).cast("long"))), {}
+    for w, (level, a, n, t) in by_vessel.items():
+        last = found(rows.where((F.col("level") == level) & (F.col("mmsi_a") == a)).drop("level"), ["mmsi_b"], ["mmsi_b"], {w: (None, n, t)})
+        out[w] = last[w][1] + 1
+    return out

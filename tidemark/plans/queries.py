@@ -136,12 +136,16 @@ def evaluated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return with_truth(spark, sf, pairs.by_months), pairs.truth_pairs(incidents(points(spark, sf)))
 
 
+def evaluated_counted(spark: SparkSession, sf: str) -> tuple:
+    return counted_truth(spark, sf, False), pairs.by_months, pairs.count_truth_pairs(incidents(points(spark, sf)))
+
+
 def edge_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pairs.evaluate(*evaluated(spark, sf)))
+    return rounded(pairs.evaluate_counted(*evaluated_counted(spark, sf)))
 
 
 def truth_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pairs.truth_summary(*evaluated(spark, sf)))
+    return rounded(pairs.truth_summary_counted(*evaluated_counted(spark, sf)))
 
 
 def persistence_curve(spark: SparkSession, sf: str) -> DataFrame:
